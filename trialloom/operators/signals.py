@@ -10,6 +10,7 @@ from trialloom.constants import POSE_LIKELIHOOD, QC_STEP_SECONDS, QC_WINDOW_SECO
 from trialloom.functions.columns import safe_div
 from trialloom.functions.distribution import grouped_quantiles
 from trialloom.functions.joins import skew_join
+from trialloom.session import cut_lineage
 from trialloom.functions.scan import ordered_scan, time_chunk
 
 
@@ -44,6 +45,7 @@ def pchip_resample(signal: DataFrame, keys: list[str], t: str, value: str, fs: f
     chunk = time_chunk(t, chunk_width)
     s = ordered_scan(signal.select(*keys, t, value), keys, [t], chunk, lag={"__tp": t, "__vp": value},
                      lead={"__tn": t, "__vn": value})
+    s = cut_lineage(s)
     s = s.withColumns({"__hb": F.col(t) - F.col("__tp"), "__hf": F.col("__tn") - F.col(t)})
     s = s.withColumns({"__db": (F.col(value) - F.col("__vp")) / F.col("__hb"), "__df": (F.col("__vn") - F.col(value)) / F.col("__hf")})
     s = ordered_scan(s, keys, [t], chunk, lag={"__hb2": "__hb", "__db2": "__db"}, lead={"__hf2": "__hf", "__df2": "__df"})
@@ -361,9 +363,11 @@ def preprocess(indexed: DataFrame, keys: list[str], idx: str, t: str, signal: st
     for band in (signal, reference):
         lp = lowpass(indexed, keys, idx, band, out="__lp", **filter_args)
         corrected = corrected.join(lp, ids).withColumn(band, safe_div(F.col(band) - F.col("__lp"), "__lp")).drop("__lp")
+    corrected = cut_lineage(corrected)
     line = corrected.groupBy(*keys).agg(F.regr_slope(signal, reference).alias("__s"), F.regr_intercept(signal, reference).alias("__i"))
     clean = skew_join(corrected, line, keys).select(
         *ids, t, (F.col(signal) - F.coalesce(F.col("__s") * F.col(reference) + F.col("__i"), F.lit(0.0))).alias("value"))
+    clean = cut_lineage(clean)
     stats = clean.groupBy(*keys).agg(F.avg("value").alias("__m"), F.stddev_pop("value").alias("__sd"))
     z = skew_join(clean, stats, keys).select(*keys, t, safe_div(F.col("value") - F.col("__m"), "__sd").alias("value"))
     return pchip_resample(z, keys, t, "value", fs, chunk_width)

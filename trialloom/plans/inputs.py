@@ -127,7 +127,7 @@ SESSIONS_SQL = f"""sessions AS (SELECT o_orderkey AS eid, o_custkey AS subject,
  CASE WHEN o_orderkey % 5 = 0 THEN 'InsufficientTrials' WHEN o_orderkey % 7 = 0 THEN 'VideoLengthMismatch' END AS error_type,
  CASE WHEN o_orderkey % 6 = 0 THEN [0.0, 6.25, 12.5, 25.0, 50.0, 100.0]::DOUBLE[] ELSE [100.0, 25.0, 12.5, 6.25, 0.0]::DOUBLE[] END AS contrasts,
  o_totalprice AS price, o_orderpriority AS priority FROM orders)"""
-_C = "[0, 0.0625, 0.125, 0.25, 1]::DOUBLE[]"
+_C = "([0, 0.0625, 0.125, 0.25, 1]::DOUBLE[])"
 TRIALS_SQL = f"""trials AS (SELECT l_suppkey AS eid, l_suppkey % 40 AS subject,
  ['VTA-DA','SNc-DA','DR-5HT','LC-NE','NBM-ACh'][CAST(l_suppkey % 5 AS INT) + 1] AS target_NM,
  ['l','r',''][CAST(l_suppkey % 3 AS INT) + 1] AS hemisphere,
@@ -138,7 +138,7 @@ TRIALS_SQL = f"""trials AS (SELECT l_suppkey AS eid, l_suppkey % 40 AS subject,
  CASE WHEN l_linestatus = 'F' THEN {_C}[CAST(round(l_discount * 100) AS INT) % 5 + 1] END AS contrastRight,
  CASE l_returnflag WHEN 'A' THEN 1 WHEN 'R' THEN -1 ELSE 0 END AS choice,
  CASE WHEN l_tax < 0.045 THEN 1 ELSE -1 END AS feedbackType,
- [0.5, 0.2, 0.8]::DOUBLE[][CAST(year(l_shipdate) % 3 AS INT) + 1] AS probabilityLeft,
+ ([0.5, 0.2, 0.8]::DOUBLE[])[CAST(year(l_shipdate) % 3 AS INT) + 1] AS probabilityLeft,
  l_linenumber + 0.25::DOUBLE AS stimOn_times,
  CASE WHEN l_quantity < 50 THEN l_linenumber + 0.25::DOUBLE + (l_quantity - 3) / 100 END AS firstMovement_times,
  l_linenumber + 0.25::DOUBLE + l_quantity / 50 AS feedback_times,
@@ -153,5 +153,5 @@ RECORDINGS_SQL = SESSIONS_SQL + """, recordings AS (SELECT eid, subject, session
  FROM sessions WHERE len(brain_region) = len(hemisphere) AND len(brain_region) > 0)"""
 
 
-def with_sql(prefix: str, body: str) -> str:
-    return f"WITH {prefix} {body}"
+def with_sql(prefix: str, *body: str) -> str:
+    return " ".join(["WITH", prefix, *body])

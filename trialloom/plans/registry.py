@@ -20,7 +20,7 @@ def query(name: str, sql: str | None = None):
             raise ValueError(f"query {name} registered twice")
         QUERIES[name] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
         if sql is not None:
-            ORACLES[name] = sql
+            ORACLES[name] = expand_rounding(sql)
         return fn
 
     return wrap
@@ -34,9 +34,23 @@ def rnd(col, digits: int = 6):
     return F.round(col + F.lit(10.0 ** -(digits + 3)), digits)
 
 
-def R(expr: str, digits: int = 6) -> str:
-    """Oracle text of ``rnd``."""
-    return f"(round(({expr}) + 1e-{digits + 3}, {digits}) + 0.0)"
+def expand_rounding(sql: str) -> str:
+    """Write ``rnd(expr[, digits])`` in oracle text as plain SQL."""
+    while (at := sql.find("rnd(")) >= 0:
+        depth, pos, cut = 1, at + 4, None
+        while depth:
+            ch = sql[pos]
+            depth += ch in "([" 
+            depth -= ch in ")]"
+            if ch == "," and depth == 1:
+                cut = pos
+            pos += 1
+        body = sql[at + 4: pos - 1]
+        digits = 6
+        if cut is not None:
+            body, digits = sql[at + 4: cut], int(sql[cut + 1: pos - 1])
+        sql = f"{sql[:at]}(round(({body}) + 1e-{digits + 3}, {digits}) + 0.0){sql[pos:]}"
+    return sql
 
 
 def load_all() -> None:

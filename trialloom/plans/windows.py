@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from trialloom.operators import windows as op
 from trialloom.plans.inputs import INDEXED_SQL, Tables, with_sql
-from trialloom.plans.registry import R, query, rnd
+from trialloom.plans.registry import query, rnd
 
 DAY = 86400.0
 KEYS = ["eid", "event", "trial"]
@@ -37,11 +37,11 @@ INDEX_WINDOWS_SQL = INDEXED_SQL + """, last AS (SELECT eid, max(idx) AS last FRO
 @query("event_response_means", with_sql(INDEX_WINDOWS_SQL + """, base AS (
  SELECT *, response - avg(CASE WHEN time >= -5 AND time < 0 THEN response END) OVER (PARTITION BY eid, trial) AS r FROM win),
  mag AS (SELECT eid, trial, avg(CASE WHEN time >= 0 AND time < 5 THEN r END) AS m FROM base GROUP BY eid, trial)""",
-    "SELECT eid, count(m) AS n_trials, round(avg(m), 6) AS mean_response FROM mag GROUP BY eid"))
+    "SELECT eid, count(m) AS n_trials, rnd(avg(m), 6) AS mean_response FROM mag GROUP BY eid"))
 def event_response_means(t):
     rows = op.subtract_baseline(index_windows(t), ["eid", "trial"], (-5, 0))
     mag = op.response_magnitude(rows, ["eid", "trial"], (0, 5))
-    return mag.groupBy("eid").agg(F.count("response").alias("n_trials"), F.round(F.avg("response"), 6).alias("mean_response"))
+    return mag.groupBy("eid").agg(F.count("response").alias("n_trials"), rnd(F.avg("response")).alias("mean_response"))
 
 
 def trial_events(t: Tables):
@@ -84,9 +84,9 @@ TIMED_SQL = TRIAL_EVENTS_SQL + """, ev AS (SELECT eid, trial, 'stimOn_times' AS
   FROM offs o LEFT JOIN us s ON s.eid = o.eid AND s.idx = least(greatest(o.anchor + o.off, 0), o.last))"""
 
 
-@query("event_windows", with_sql(TIMED_SQL, 'SELECT eid, trial, event, "offset", round(time, 6) AS time, response FROM win'))
+@query("event_windows", with_sql(TIMED_SQL, 'SELECT eid, trial, event, "offset", rnd(time, 6) AS time, response FROM win'))
 def event_windows(t):
-    return timed_windows(t).select("eid", "trial", "event", "offset", F.round("time", 6).alias("time"), "response")
+    return timed_windows(t).select("eid", "trial", "event", "offset", rnd("time").alias("time"), "response")
 
 
 @query("event_windows_with_end", with_sql(TRIAL_EVENTS_SQL + """, ln AS (SELECT eid, coalesce(max(feedback_times - stimOn_times), 2.0) AS len FROM tr GROUP BY eid),
@@ -95,23 +95,23 @@ def event_windows(t):
   coalesce(stimOn_times - 2.0 >= tmin AND stimOn_times + len <= tmax, false) AS good
   FROM anc JOIN rates r USING (eid) JOIN bounds b USING (eid) JOIN ln USING (eid)),
  offs AS (SELECT *, unnest(generate_series(lo, hi)) AS off FROM pl)""",
-    """SELECT o.eid, o.trial, o.off AS "offset", round(o.off / o.fs::DOUBLE, 6) AS time,
+    """SELECT o.eid, o.trial, o.off AS "offset", rnd(o.off / o.fs::DOUBLE, 6) AS time,
  CASE WHEN good AND (feedback_times IS NULL OR o.off / o.fs::DOUBLE <= feedback_times - stimOn_times) THEN s.value END AS response
  FROM offs o LEFT JOIN us s ON s.eid = o.eid AND s.idx = least(greatest(o.anchor + o.off, 0), o.last)"""))
 def event_windows_with_end(t):
-    return timed_windows(t, end=True).select("eid", "trial", "offset", F.round("time", 6).alias("time"), "response")
+    return timed_windows(t, end=True).select("eid", "trial", "offset", rnd("time").alias("time"), "response")
 
 
 @query("response_magnitudes", with_sql(TIMED_SQL,
-    "SELECT eid, event, trial, round(avg(CASE WHEN time >= 1 AND time < 3 THEN response END), 6) AS response FROM win GROUP BY eid, event, trial"))
+    "SELECT eid, event, trial, rnd(avg(CASE WHEN time >= 1 AND time < 3 THEN response END), 6) AS response FROM win GROUP BY eid, event, trial"))
 def response_magnitudes(t):
-    return op.response_magnitude(timed_windows(t), KEYS, (1, 3)).withColumn("response", F.round("response", 6))
+    return op.response_magnitude(timed_windows(t), KEYS, (1, 3)).withColumn("response", rnd("response"))
 
 
 @query("baseline_subtraction", with_sql(TIMED_SQL,
-    """SELECT eid, event, trial, "offset", round(response - avg(CASE WHEN time >= -2 AND time < 0 THEN response END) OVER (PARTITION BY eid, event, trial), 6) AS response FROM win"""))
+    """SELECT eid, event, trial, "offset", rnd(response - avg(CASE WHEN time >= -2 AND time < 0 THEN response END) OVER (PARTITION BY eid, event, trial), 6) AS response FROM win"""))
 def baseline_subtraction(t):
-    return op.subtract_baseline(timed_windows(t), KEYS, (-2, 0)).select(*KEYS, "offset", F.round("response", 6).alias("response"))
+    return op.subtract_baseline(timed_windows(t), KEYS, (-2, 0)).select(*KEYS, "offset", rnd("response").alias("response"))
 
 
 def masked(t):
@@ -129,26 +129,26 @@ def mask_next_event(t):
     return masked(t).select(*KEYS, "offset", "response")
 
 
-@query("normalized_responses", with_sql(TIMED_SQL, """SELECT eid, event, trial, "offset", round((response - b) / nullif(b, 0), 6) AS response FROM (
+@query("normalized_responses", with_sql(TIMED_SQL, """SELECT eid, event, trial, "offset", rnd((response - b) / nullif(b, 0), 6) AS response FROM (
  SELECT *, CASE WHEN count(CASE WHEN time >= -2 AND time < 0 THEN response END) OVER w = count(CASE WHEN time >= -2 AND time < 0 THEN 1 END) OVER w
   THEN avg(CASE WHEN time >= -2 AND time < 0 THEN response END) OVER w END AS b FROM win WINDOW w AS (PARTITION BY eid, event, trial))"""))
 def normalized_responses(t):
-    return op.normalize_responses(timed_windows(t), KEYS, (-2, 0), divide=True).select(*KEYS, "offset", F.round("response", 6).alias("response"))
+    return op.normalize_responses(timed_windows(t), KEYS, (-2, 0), divide=True).select(*KEYS, "offset", rnd("response").alias("response"))
 
 
-@query("response_traces", with_sql(MASKED_SQL, """SELECT eid, event, trial, "offset", round(response - avg(CASE WHEN time >= -1 AND time < 0 THEN response END)
+@query("response_traces", with_sql(MASKED_SQL, """SELECT eid, event, trial, "offset", rnd(response - avg(CASE WHEN time >= -1 AND time < 0 THEN response END)
  OVER (PARTITION BY eid, event, trial), 6) AS response FROM masked"""))
 def response_traces(t):
     rows = timed_windows(t).join(trial_events(t), ["eid", "trial"])
-    return op.response_traces(rows, KEYS, ["stimOn_times", "feedback_times"], (-1, 0)).select(*KEYS, "offset", F.round("response", 6).alias("response"))
+    return op.response_traces(rows, KEYS, ["stimOn_times", "feedback_times"], (-1, 0)).select(*KEYS, "offset", rnd("response").alias("response"))
 
 
-@query("window_delta", with_sql(TIMED_SQL, """SELECT eid, event, round(
+@query("window_delta", with_sql(TIMED_SQL, """SELECT eid, event, rnd(
  CASE WHEN count(CASE WHEN time >= 0 AND time < 3 THEN response END) >= 5 THEN avg(CASE WHEN time >= 0 AND time < 3 THEN response END) END -
  CASE WHEN count(CASE WHEN time >= -2 AND time < 0 THEN response END) >= 5 THEN avg(CASE WHEN time >= -2 AND time < 0 THEN response END) END, 6) AS delta
  FROM win GROUP BY eid, event"""))
 def window_delta(t):
-    return op.window_delta(timed_windows(t), ["eid", "event"], (0, 3), (-2, 0), 5).withColumn("delta", F.round("delta", 6))
+    return op.window_delta(timed_windows(t), ["eid", "event"], (0, 3), (-2, 0), 5).withColumn("delta", rnd("delta"))
 
 
 @query("peak_velocity", with_sql(TIMED_SQL, "SELECT eid, event, trial, max(abs(response - 100)) AS peak_velocity FROM win GROUP BY eid, event, trial"))
@@ -159,15 +159,15 @@ def peak_velocity(t):
 @query("mean_traces", with_sql(TIMED_SQL, """, means AS (SELECT eid, event, time, avg(response) AS r FROM win GROUP BY eid, event, time),
  f AS (SELECT eid, event, min("offset") AS first FROM win GROUP BY eid, event),
  n AS (SELECT w.eid, w.event, count(DISTINCT trial) AS n FROM win w JOIN f ON f.eid = w.eid AND f.event = w.event AND w."offset" = f.first WHERE response IS NOT NULL GROUP BY w.eid, w.event)
- SELECT eid, event, round(time, 6) AS time, round(r, 6) AS response, coalesce(n, 0) AS n_trials FROM means LEFT JOIN n USING (eid, event)"""))
+ SELECT eid, event, rnd(time, 6) AS time, rnd(r, 6) AS response, coalesce(n, 0) AS n_trials FROM means LEFT JOIN n USING (eid, event)"""))
 def mean_traces(t):
     out = op.mean_traces(timed_windows(t), ["eid", "event"], ["trial"])
-    return out.select("eid", "event", F.round("time", 6).alias("time"), F.round("response", 6).alias("response"), "n_trials")
+    return out.select("eid", "event", rnd("time").alias("time"), rnd("response").alias("response"), "n_trials")
 
 
-@query("session_panels", with_sql(TIMED_SQL, """SELECT eid, event, round(time, 6) AS time, round(avg(response), 6) AS response FROM win
+@query("session_panels", with_sql(TIMED_SQL, """SELECT eid, event, rnd(time, 6) AS time, rnd(avg(response), 6) AS response FROM win
  WHERE eid IN (SELECT user_id FROM events WHERE event_type = 'purchase') GROUP BY eid, event, time"""))
 def session_panels(t):
     allowed = t["events"].where("event_type = 'purchase'").select(F.col("user_id").alias("eid"))
     out = op.session_panels(timed_windows(t), ["eid", "event"], allowed)
-    return out.select("eid", "event", F.round("time", 6).alias("time"), F.round("response", 6).alias("response"))
+    return out.select("eid", "event", rnd("time").alias("time"), rnd("response").alias("response"))
