@@ -46,7 +46,7 @@ def ordered_scan(
     base = df.withColumn(CHUNK, chunk)
     ordering = F.struct(*order)
 
-    aggs = [F.count(F.lit(1)).alias("__n")]
+    aggs = [F.count(F.lit(1)).alias("__scan_n")]
     aggs += [F.max_by(F.col(v), ordering).alias(f"__lag_{k}") for k, v in lag.items()]
     aggs += [F.min_by(F.col(v), ordering).alias(f"__lead_{k}") for k, v in lead.items()]
     aggs += [F.sum(v).alias(f"__run_{k}") for k, v in running.items()]
@@ -57,9 +57,9 @@ def ordered_scan(
     by_chunk = W.partitionBy(*keys).orderBy(CHUNK)
     before = by_chunk.rowsBetween(W.unboundedPreceding, -1)
     after = by_chunk.rowsBetween(1, W.unboundedFollowing)
-    carry = [F.col("__n"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off")]
+    carry = [F.col("__scan_n"), F.coalesce(F.sum("__scan_n").over(before), F.lit(0)).alias("__scan_off")]
     if total:
-        carry.append(F.sum("__n").over(W.partitionBy(*keys)).alias(total))
+        carry.append(F.sum("__scan_n").over(W.partitionBy(*keys)).alias(total))
     carry += [F.lag(f"__lag_{k}").over(by_chunk).alias(f"__lag_{k}") for k in lag]
     carry += [F.lead(f"__lead_{k}").over(by_chunk).alias(f"__lead_{k}") for k in lead]
     carry += [F.coalesce(F.sum(f"__run_{k}").over(before), F.lit(0)).alias(f"__run_{k}") for k in running]
@@ -73,13 +73,13 @@ def ordered_scan(
     rn = F.row_number().over(inside)
     out = []
     if index:
-        out.append((F.col("__off") + rn - 1).alias(index))
+        out.append((F.col("__scan_off") + rn - 1).alias(index))
     if total:
         out.append(F.col(total))
     for k, v in lag.items():
         out.append(F.when(rn == 1, F.col(f"__lag_{k}")).otherwise(F.lag(v).over(inside)).alias(k))
     for k, v in lead.items():
-        out.append(F.when(rn == F.col("__n"), F.col(f"__lead_{k}")).otherwise(F.lead(v).over(inside)).alias(k))
+        out.append(F.when(rn == F.col("__scan_n"), F.col(f"__lead_{k}")).otherwise(F.lead(v).over(inside)).alias(k))
     for k, v in running.items():
         out.append((F.coalesce(F.sum(v).over(upto), F.lit(0)) + F.col(f"__run_{k}")).alias(k))
     for k, v in prev_valid.items():

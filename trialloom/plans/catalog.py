@@ -289,12 +289,13 @@ def code_predictors(t):
     return out.select(*TCOLS, rnd("contrast").alias("contrast"), "side", "choice_side", "reward")
 
 
-@query("trial_regressors", with_sql(CON_SQL, f"""SELECT {TID}, contrast, stim_side, choice, rnd(firstMovement_times - stimOn_times) AS reaction_time, rnd(feedback_times - firstMovement_times) AS movement_time,
+@query("trial_regressors", with_sql(CON_SQL, f"""SELECT {TID}, eid, day, contrast, stim_side, choice, rnd(firstMovement_times - stimOn_times) AS reaction_time, rnd(feedback_times - firstMovement_times) AS movement_time,
  rnd(feedback_times - stimOn_times) AS response_time, wheel AS peak_velocity FROM con"""))
 def trial_regressors(t):
-    peak = t.trials.select(*TCOLS, F.col("wheel").alias("peak_velocity"))
-    out = derive.trial_regressors(contrasted(t), TCOLS, peak)
-    return out.select(*TCOLS, "contrast", "stim_side", "choice", *[rnd(x).alias(x) for x in ("reaction_time", "movement_time", "response_time")], "peak_velocity")
+    keys = [*TCOLS, "eid", "day"]
+    peak = t.trials.select(*keys, F.col("wheel").alias("peak_velocity"))
+    out = derive.trial_regressors(contrasted(t), keys, peak)
+    return out.select(*TCOLS, "eid", F.col("day").cast("long").alias("day"), "contrast", "stim_side", "choice", *[rnd(x).alias(x) for x in ("reaction_time", "movement_time", "response_time")], "peak_velocity")
 
 
 @query("fiber_tips", """SELECT p_partkey, rnd(p_size - p_retailprice * sin(radians(p_size)) * cos(radians(p_partkey % 360))) AS tip_x, rnd(p_size * 2 - p_retailprice * sin(radians(p_size)) * sin(radians(p_partkey % 360))) AS tip_y,
