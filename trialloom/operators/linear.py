@@ -149,6 +149,8 @@ def paired_moments(
         res = pd.DataFrame(out)
         return res[res[unit] != res["donor"]]
 
+    # toDF gives both sides column identities of their own.
+    f_side, d_side = f_side.toDF(*f_side.columns), d_side.toDF(*d_side.columns)
     partial = f_side.groupBy(*keys).cogroup(d_side.groupBy(*keys)).applyInPandas(multiply, schema)
     return partial.groupBy(*group, unit, "donor").agg(*[F.sum(p).alias(p) for p in products])
 
