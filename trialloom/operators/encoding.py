@@ -59,17 +59,19 @@ def expand_events(impulses: DataFrame, keys: list[str], block: str, basis: list[
 
 
 def event_block(events: DataFrame, bounds: DataFrame, keys: list[str], t: str, block: str, basis, modulators: dict[str, Column] | None = None,
-                interactions: list[tuple[str, str]] = (), split: str | None = None) -> DataFrame:
-    """Main-effect columns of an event plus one block per modulator and interaction; ``split`` makes a block per level."""
+                interactions: list[tuple[str, str]] = (), split: str | None = None, dt: float = ENCODING_DT) -> DataFrame:
+    """Main-effect columns of an event plus one block per modulator and interaction.
+
+    With ``split`` every block has columns of its own per level of that column.
+    """
     mods = modulators or {}
-    parts = [(block, F.lit(1.0))] + [(f"{block}*{n}", c) for n, c in mods.items()] + [(f"{block}*{a}*{b}", mods[a] * mods[b]) for a, b in interactions]
+    parts = {block: F.lit(1.0), **{f"{block}*{n}": c for n, c in mods.items()}, **{f"{block}*{a}*{b}": mods[a] * mods[b] for a, b in interactions}}
+    by = [*keys, split] if split else keys
+    spans = bounds.join(events.select(*by).distinct(), keys) if split else bounds
     out = None
-    for name, height in parts:
-        if split is None:
-            rows = expand_events(event_impulses(events, bounds, keys, t, height), keys, name, basis)
-        else:
-            rows = expand_events(event_impulses(events, bounds, [*keys, split], t, height) if split in bounds.columns
-                                 else event_impulses(events, bounds.join(events.select(*keys, split).distinct(), keys), [*keys, split], t, height), [*keys, split], name, basis)
+    for name, height in parts.items():
+        rows = expand_events(event_impulses(events, spans, by, t, height, dt), by, name, basis)
+        if split:
             rows = rows.select(*keys, "bin", F.concat_ws("@", "feature", F.col(split).cast("string")).alias("feature"), "value")
         out = rows if out is None else out.unionByName(rows)
     return out

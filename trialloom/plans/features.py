@@ -142,8 +142,8 @@ def target(t):
 
 def moments(t):
     basis = [(i, i - 2, 1.0) for i in range(5)]
-    d = enc.event_block(errors(t), bounds(t), ["eid"], "t", "err", basis, {"k": F.col("k") / 100})
-    d = d.unionByName(enc.event_block(t.signal.where("event_type = 'view'").select("eid", "t", "k", "event_type"), bounds(t), ["eid"], "t", "view", basis, split="event_type"))
+    d = enc.event_block(errors(t), bounds(t), ["eid"], "t", "err", basis, {"k": F.col("k") / 100}, dt=DT)
+    d = d.unionByName(enc.event_block(t.signal.where("event_type = 'view'").select("eid", "t", "k", "event_type"), bounds(t), ["eid"], "t", "view", basis, split="event_type", dt=DT))
     return enc.design_gram(d, target(t), ["eid"], "bin", "y")
 
 
