@@ -1,16 +1,15 @@
 """Exact order statistics without a whole group in one task.
 
-Equal values are counted first (partial aggregation), then the distinct values of
-a group are cut into buckets at the edges of a bounded quantile sketch, so buckets
-hold about equally many distinct values whatever the distribution. Ranks are
-running sums inside a bucket plus the total of the buckets before it.
+Equal values are counted first (partial aggregation). The distinct (key, value) rows are
+range-partitioned, so Spark's own sampling balances the parts whatever the distribution, and
+ranks are running sums inside a part plus the totals of the key's parts before it.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-BUCKETS = 64
+from trialloom.session import cut_lineage
 
 
 def value_counts(df: DataFrame, keys: list[str], value: str, n: str = "n") -> DataFrame:
@@ -18,22 +17,18 @@ def value_counts(df: DataFrame, keys: list[str], value: str, n: str = "n") -> Da
 
 
 def with_cumulative(
-    counts: DataFrame, keys: list[str], value: str, n: str = "n", *, cum: str = "cum", total: str = "total",
-    buckets: int = BUCKETS, keep=None,
+    counts: DataFrame, keys: list[str], value: str, n: str = "n", *, cum: str = "cum", total: str = "total", keep=None,
 ) -> DataFrame:
     """Add the inclusive cumulative count of ``n`` along ``value`` per key.
 
-    ``counts`` has one row per (keys, value). ``keep`` may prune buckets before the
-    windows: a function of (low, high, total) rank bounds returning a condition.
+    ``counts`` has one row per (keys, value). ``keep`` may prune parts before the windows: a
+    function of (low, high, total) rank bounds returning a condition. The range partitioning is
+    written out once, because the part numbers are read twice and must not change in between.
     """
-    probs = [i / buckets for i in range(1, buckets)]
-    edges = counts.groupBy(*keys).agg(F.percentile_approx(value, probs, 1000).alias("__edges"))
-    bucketed = _attach(counts, edges, keys).withColumn(
-        "__b", F.size(F.filter("__edges", lambda e: e < F.col(value)))
-    ).drop("__edges")
-    per_bucket = bucketed.groupBy(*keys, "__b").agg(F.sum(n).alias("__bn"))
+    parts = cut_lineage(counts.repartitionByRange(*keys, value).withColumn("__b", F.spark_partition_id()))
+    per_part = parts.groupBy(*keys, "__b").agg(F.sum(n).alias("__bn"))
     wk = W.partitionBy(*keys)
-    offsets = per_bucket.select(
+    offsets = per_part.select(
         *keys, "__b",
         F.coalesce(F.sum("__bn").over(wk.orderBy("__b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__off"),
         F.col("__bn"),
@@ -42,16 +37,11 @@ def with_cumulative(
     if keep is not None:
         offsets = offsets.where(keep(F.col("__off"), F.col("__off") + F.col("__bn"), F.col(total)))
     inside = W.partitionBy(*keys, "__b").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-    return bucketed.join(offsets.drop("__bn"), [*keys, "__b"]).select(
+    return parts.join(offsets.drop("__bn"), [*keys, "__b"]).select(
         *counts.columns, (F.col("__off") + F.sum(n).over(inside)).alias(cum), F.col(total)
     )
 
 
-def _attach(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    # Without keys the right side is one row by construction (a global aggregate).
-    return left.join(right, keys) if keys else left.crossJoin(F.broadcast(right))
-
-
 def grouped_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per key.
 

@@ -116,6 +116,22 @@ def ols(gram: np.ndarray, columns: list[int]):
     return beta, cov, (1 - rss / tss if tss > 0 else np.nan), n
 
 
+def ols_r2(grams: np.ndarray, columns: list[int]) -> np.ndarray:
+    """Centred R2 for a stack of moment matrices; NaN where the design is rank deficient."""
+    n, y = grams[:, 0, 0], grams.shape[1] - 1
+    xtx, xty = grams[:, columns][:, :, columns], grams[:, columns, y]
+    d = np.sqrt(np.einsum("kii->ki", xtx))
+    scale = np.where(d > 0, d, 1.0)
+    corr = xtx / (scale[:, :, None] * scale[:, None, :])
+    ok = (d > 0).all(axis=1) & (np.linalg.eigvalsh(corr)[:, 0] > 1e-10)
+    safe = np.where(ok[:, None, None], xtx, np.eye(len(columns)))
+    beta = np.linalg.solve(safe, xty[:, :, None])[:, :, 0]
+    tss = grams[:, y, y] - grams[:, 0, y] ** 2 / n
+    rss = np.maximum(grams[:, y, y] - (beta * xty).sum(axis=1), 0.0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(ok & (tss > 0), 1 - rss / tss, np.nan)
+
+
 class SubjectSums:
     """What a random-intercept fit needs: the total moments and, per subject size, the sums of outer products."""
 
@@ -142,39 +158,28 @@ class SubjectSums:
         if n <= p or not _full_rank(t[:p, :p]):
             return None
 
-        def at(ratio: float):
-            w = ratio / (1 + ratio * self.sizes)
+        def at(ratios: np.ndarray):
+            """Criterion and pieces of the fit for several variance ratios at once."""
+            w = ratios[:, None] / (1 + ratios[:, None] * self.sizes)
             a = t - np.tensordot(w, o, axes=1)
-            beta = np.linalg.solve(a[:p, :p], a[:p, p])
-            rss = max(a[p, p] - beta @ a[:p, p], 1e-300)
-            score = self.counts @ np.log1p(ratio * self.sizes)
+            axx, axy = a[:, :p, :p], a[:, :p, p]
+            beta = np.linalg.solve(axx, axy[:, :, None])[:, :, 0]
+            rss = np.maximum(a[:, p, p] - (beta * axy).sum(axis=1), 1e-300)
+            score = np.log1p(ratios[:, None] * self.sizes) @ self.counts
             if reml:
-                score += (n - p) * np.log(rss) + np.linalg.slogdet(a[:p, :p])[1]
-            else:
-                score += n * np.log(rss)
-            return score, a, beta, rss, w
-
-        grid = np.concatenate([[0.0], np.exp(np.linspace(np.log(1e-6), np.log(1e4), 24))])
-        best = int(np.argmin([at(r)[0] for r in grid]))
-        lo, hi = grid[max(best - 1, 0)], grid[min(best + 1, len(grid) - 1)]
-        golden = (np.sqrt(5) - 1) / 2
-        a, b = hi - golden * (hi - lo), lo + golden * (hi - lo)
-        fa, fb = at(a)[0], at(b)[0]
-        for _ in range(40):
-            if fa <= fb:
-                hi, b, fb = b, a, fa
-                a = hi - golden * (hi - lo)
-                fa = at(a)[0]
+                score = score + (n - p) * np.log(rss) + np.linalg.slogdet(axx)[1]
             else:
-                lo, a, fa = a, b, fb
-                b = lo + golden * (hi - lo)
-                fb = at(b)[0]
-        ratio = (lo + hi) / 2
-        if at(0.0)[0] <= at(ratio)[0]:
-            ratio = 0.0
-        _, a, beta, rss, w = at(ratio)
-        sigma2 = rss / (n - p if reml else n)
-        return MixedFit(self, columns, beta, np.linalg.inv(a[:p, :p]) * sigma2, ratio, sigma2, w)
+                score = score + n * np.log(rss)
+            return score, axx, beta, rss, w
+
+        grid = np.concatenate([[0.0], np.exp(np.linspace(np.log(1e-6), np.log(1e4), 48))])
+        for _ in range(7):
+            best = int(np.argmin(at(grid)[0]))
+            grid = np.linspace(grid[max(best - 1, 0)], grid[min(best + 1, len(grid) - 1)], 17)
+        score, axx, beta, rss, w = at(grid)
+        i = int(np.argmin(score))
+        sigma2 = rss[i] / (n - p if reml else n)
+        return MixedFit(self, columns, beta[i], np.linalg.inv(axx[i]) * sigma2, grid[i], sigma2, w[i])
 
 
 class MixedFit:

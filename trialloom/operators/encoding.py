@@ -11,6 +11,7 @@ from trialloom.functions.columns import ERF_A, ERF_P, psychometric_curve
 from trialloom.functions.joins import skew_join
 from trialloom.functions.smallmath import ridge_path
 from trialloom.operators.linear import _key_types, _per_group
+from trialloom.session import spread
 
 
 # --- design ---------------------------------------------------------------------------
@@ -144,7 +145,7 @@ def fit_encoding(moments: DataFrame, keys: list[str], alphas: list[float]) -> Da
             out.append((*key, block, int(col), level or None, float(c), fit["alpha"], float(fit["r2"]), float(fit["cv_r2"])))
         return pd.DataFrame(out, columns=[p.split()[0] for p in schema.split(", ")])
 
-    return moments.groupBy(*keys).applyInPandas(solve, schema)
+    return spread(moments, *keys).groupBy(*keys).applyInPandas(solve, schema)
 
 
 def encoding_block_loss(moments: DataFrame, keys: list[str], alphas: list[float], cross_validated: bool = False) -> DataFrame:
@@ -169,7 +170,7 @@ def encoding_block_loss(moments: DataFrame, keys: list[str], alphas: list[float]
         rows = [(*key, b, float(full - r2([i for i, x in enumerate(blocks) if x != b]))) for b in dict.fromkeys(blocks)]
         return pd.DataFrame(rows, columns=[p.split()[0] for p in schema.split(", ")])
 
-    return moments.groupBy(*keys).applyInPandas(solve, schema)
+    return spread(moments, *keys).groupBy(*keys).applyInPandas(solve, schema)
 
 
 # --- psychometric ------------------------------------------------------------------------
@@ -225,7 +226,7 @@ def fit_psychometric(counts: DataFrame, keys: list[str], contrast: str = "signed
         r2 = max(0.0, 1 - res / tot) if tot > 0 else float(res == 0)
         return [dict(bias=b[0], threshold=b[1], lapse_left=b[2], lapse_right=b[3], r_squared=r2, n_trials=int(n.sum()))]
 
-    return _per_group(packed, keys, "bias double, threshold double, lapse_left double, lapse_right double, r_squared double, n_trials long", rows)
+    return _per_group(spread(packed, *keys), keys, "bias double, threshold double, lapse_left double, lapse_right double, r_squared double, n_trials long", rows)
 
 
 def psychometric_by_block(trials: DataFrame, keys: list[str], probability: str = "probabilityLeft", min_trials: int = 10) -> DataFrame:

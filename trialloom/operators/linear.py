@@ -8,8 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from trialloom.functions.smallmath import ols, unpack
-from trialloom.session import cut_lineage
+from trialloom.functions.smallmath import ols, ols_r2, unpack
+from trialloom.session import cut_lineage, spread
 from trialloom.operators.derive import drop_one_family, term_name, term_value
 
 
@@ -151,7 +151,7 @@ def paired_moments(
 
     # toDF gives both sides column identities of their own.
     f_side, d_side = f_side.toDF(*f_side.columns), d_side.toDF(*d_side.columns)
-    partial = f_side.groupBy(*keys).cogroup(d_side.groupBy(*keys)).applyInPandas(multiply, schema)
+    partial = spread(f_side, *keys).groupBy(*keys).cogroup(spread(d_side, *keys).groupBy(*keys)).applyInPandas(multiply, schema)
     return partial.groupBy(*group, unit, "donor").agg(*[F.sum(p).alias(p) for p in products])
 
 
@@ -174,19 +174,17 @@ def swap_null(rows: DataFrame, group: list[str], unit: str, rank: str, terms, pr
     sums = paired_moments(rows, group, unit, rank, focal, {"one": F.lit(1.0), "x": x, "xx": x * x}, products)
     full = list(range(size - 1))
     reduced = [i for i in full if not swapped[i]]
-    keys = [*group, unit, "donor"]
+    keys, names = [*group, unit, "donor"], list(products)
 
     def run(batches):
         for pdf in batches:
-            g = pdf[list(products)].to_numpy()
-            vals = []
-            for row in g:
-                m = unpack(row, size)
-                a, b = ols(m, full), ols(m, reduced)
-                vals.append(None if a is None or b is None else a[2] - b[2])
-            yield pdf[keys].assign(predictor=predictor, delta_r2=vals).dropna(subset=["delta_r2"])
-
-    return sums.mapInPandas(run, f"{_key_types(sums, keys)}, predictor string, delta_r2 double")
+            m = np.zeros((len(pdf), size, size))
+            rows_, cols_ = np.triu_indices(size)
+            m[:, rows_, cols_] = m[:, cols_, rows_] = pdf[names].to_numpy()
+            delta = ols_r2(m, full) - ols_r2(m, reduced)
+            yield pdf[keys].assign(predictor=predictor, delta_r2=delta).dropna(subset=["delta_r2"])
+
+    return spread(sums, *keys).mapInPandas(run, f"{_key_types(sums, keys)}, predictor string, delta_r2 double")
 
 
 def permutation_pvalues(null: DataFrame, observed: DataFrame, keys: list[str], value: str, alternative: str = "greater") -> DataFrame:

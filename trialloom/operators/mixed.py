@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from trialloom.functions.columns import all_of
 from trialloom.functions.smallmath import SubjectSums, f_sf, normal_sf, ols, unpack
 from trialloom.operators.derive import drop_one_family, term_name
+from trialloom.session import spread
 from trialloom.operators.linear import _key_types, _per_group, family_columns_of, model_gram
 
 FOLD_SCHEMA = "fold string, predictor string, n_trials long, r2 double, delta_r2 double"
@@ -95,8 +96,7 @@ def _leave_one_out(grams, sums, keys, subject, terms, predictors, min_subjects,
     size = len(terms) + 2
     cols = family_columns_of(terms, drop_one_family(terms, predictors))
     # The folds are few rows but each costs a search, so they are spread over all tasks.
-    tasks = int(grams.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    j = grams.join(sums.where(F.col("n_subjects") >= min_subjects), keys).repartition(tasks, *keys, subject)
+    j = spread(grams.join(sums.where(F.col("n_subjects") >= min_subjects), keys), *keys, subject)
 
     def rows(rec):
         g = unpack(rec["gram"], size)

@@ -226,7 +226,7 @@ def rank_normal(df: DataFrame, ids: list[str], metrics: list[str]) -> DataFrame:
     out = df.select(*ids, *metrics)
     for m in metrics:
         r = average_ranks(df, [], m, "__rank").select(m, probit((F.col("__rank") - 1) / F.greatest(F.col("total") - 1, F.lit(1))).alias(f"__z_{m}"))
-        out = skew_join(out, r, [m], "left")
+        out = out.join(r, m, "left")
     return out.select(*ids, *[F.col(f"__z_{m}").alias(m) for m in metrics])
 
 

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from trialloom.functions.columns import null_if_not_finite
 from trialloom.functions.distribution import average_ranks, with_cumulative
-from trialloom.functions.joins import skew_join
 from trialloom.functions.smallmath import chi2_sf, normal_sf, t_two_sided
 
 
@@ -111,7 +110,7 @@ def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     rx = average_ranks(ok, keys, "__x", "rx").select(*keys, "__x", "rx")
     ry = average_ranks(ok, keys, "__y", "ry").select(*keys, "__y", "ry")
     pairs = ok.groupBy(*keys, "__x", "__y").agg(F.count(F.lit(1)).alias("w"))
-    j = skew_join(skew_join(pairs, rx, [*keys, "__x"]), ry, [*keys, "__y"])
+    j = pairs.join(rx, [*keys, "__x"]).join(ry, [*keys, "__y"])  # both sides are large; AQE splits a hot value
     w, a, b = F.col("w"), F.col("rx"), F.col("ry")
     s = j.groupBy(*keys).agg(F.sum(w).alias("n"), F.sum(w * a).alias("sa"), F.sum(w * b).alias("sb"), F.sum(w * a * a).alias("saa"), F.sum(w * b * b).alias("sbb"), F.sum(w * a * b).alias("sab"))
     n = F.col("n")

@@ -11,6 +11,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trialloom.functions.scan import ordered_scan, time_chunk
+from trialloom.session import cut_lineage
 
 EPOCH_US = 1704067200000000  # 2024-01-01, start of the events table
 
@@ -34,8 +35,8 @@ class Tables:
 
     @cached_property
     def indexed_signal(self) -> DataFrame:
-        """signal plus the 0-based sample index of each recording."""
-        return ordered_scan(self.signal, ["eid"], ["t", "event_id"], time_chunk("t", 86400.0), index="idx")
+        """signal plus the 0-based sample index of each recording, written out once per query."""
+        return cut_lineage(ordered_scan(self.signal, ["eid"], ["t", "event_id"], time_chunk("t", 86400.0), index="idx"))
 
     @cached_property
     def sessions(self) -> DataFrame:

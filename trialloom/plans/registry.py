@@ -15,10 +15,16 @@ def query(name: str, sql: str | None = None):
 
     def wrap(fn):
         from trialloom.plans.inputs import Tables
+        from trialloom.session import ship_package
 
         if name in QUERIES:
             raise ValueError(f"query {name} registered twice")
-        QUERIES[name] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
+            return fn(Tables(spark, sf_dir))
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = expand_rounding(sql)
         return fn
