@@ -33,16 +33,16 @@ def group_sums(grams: DataFrame, keys: list[str], size: int) -> DataFrame:
     row = [g(i) for i in range(size)]  # first matrix row: n, sums of the columns, sum of the response
     total = grams.groupBy(*keys).agg(F.array(*[F.sum(g(i)) for i in range(m)]).alias("total"), F.count(F.lit(1)).alias("n_subjects"))
     outer = [F.sum(row[i] * row[j]) for i in range(size) for j in range(i, size)]
-    by_n = grams.groupBy(*keys, g(0).alias("n")).agg(F.count(F.lit(1)).alias("k"), F.array(*outer).alias("outer"), F.array(*[F.sum(r) for r in row]).alias("first"))
-    packed = by_n.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("n", "k", "outer", "first"))).alias("sizes"))
+    by_n = grams.groupBy(*keys, g(0).alias("__n")).agg(F.count(F.lit(1)).alias("__k"), F.array(*outer).alias("__outer"), F.array(*[F.sum(r) for r in row]).alias("__first"))
+    packed = by_n.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("__n", "__k", "__outer", "__first"))).alias("sizes"))
     return total.join(packed, keys)
 
 
 def _sums(rec, size: int) -> SubjectSums:
     s = rec["sizes"]
     field = lambda k: [x[k] for x in s]
-    return SubjectSums(unpack(rec["total"], size), np.array(field("n"), float), np.array(field("k"), float),
-                       np.stack([unpack(o, size) for o in field("outer")]), np.stack([np.asarray(f, float) for f in field("first")]))
+    return SubjectSums(unpack(rec["total"], size), np.array(field("__n"), float), np.array(field("__k"), float),
+                       np.stack([unpack(o, size) for o in field("__outer")]), np.stack([np.asarray(f, float) for f in field("__first")]))
 
 
 def mixed_fits(sums: DataFrame, keys: list[str], terms, family: dict[str, list], reml: bool = True, min_subjects: int = 2) -> DataFrame:
@@ -171,10 +171,10 @@ def anova_rm(cells: DataFrame, subject: str, within: list[str], response: str) -
     Otherwise a type III model with subjects ignored, and ``method`` says so.
     """
     names = [*within, subject]
-    cube = cells.cube(*names).agg(F.sum(response).alias("s"), F.count(response).alias("n"), F.grouping_id().alias("gid"))
-    table = cube.groupBy("gid").agg(F.sum(F.col("s") ** 2 / F.col("n")).alias("u"), F.count(F.lit(1)).alias("levels"), F.sum("n").alias("n"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+    cube = cells.cube(*names).agg(F.sum(response).alias("__s"), F.count(response).alias("__n"), F.grouping_id().alias("__gid"))
+    table = cube.groupBy("__gid").agg(F.sum(F.col("__s") ** 2 / F.col("__n")).alias("u"), F.count(F.lit(1)).alias("levels"), F.max("__n").alias("hi"))
     k = len(names)
-    by_set = {r["gid"]: r for r in table.collect()}  # 2^k rows, one per margin
+    by_set = {r["__gid"]: r for r in table.collect()}  # 2^k rows, one per margin
     gid = lambda s: sum(1 << (k - 1 - i) for i, n in enumerate(names) if n not in s)
     full = by_set[gid(names)]
     levels = {n: by_set[gid([n])]["levels"] for n in names}

@@ -15,16 +15,16 @@ from trialloom.functions.smallmath import chi2_sf, normal_sf, t_two_sided
 
 def _cell_ranks(cells: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(keys, value, n, rank, total) of pooled values from rows carrying counts ``c``."""
-    pooled = cells.groupBy(*keys, value).agg(F.sum("c").alias("n"))
-    cum = with_cumulative(pooled, keys, value)
-    return cum.select(*keys, value, "n", (F.col("cum") - (F.col("n") - 1) / 2).alias("rank"), "total")
+    pooled = cells.groupBy(*keys, value).agg(F.sum("__c").alias("__n"))
+    cum = with_cumulative(pooled, keys, value, "__n", cum="__cum", total="__total")
+    return cum.select(*keys, value, "__n", (F.col("__cum") - (F.col("__n") - 1) / 2).alias("__rank"), "__total")
 
 
 def _counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     ok = F.col(value).isNotNull()
     for k in keys:
         ok = ok & F.col(k).isNotNull()
-    return df.where(ok).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c"))
+    return df.where(ok).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
 
 
 @F.pandas_udf(T.DoubleType())
@@ -42,13 +42,13 @@ def kruskal_wallis(df: DataFrame, keys: list[str], group: str, value: str) -> Da
     cells = _counts(df, [*keys, group], value)
     ranks = _cell_ranks(cells, keys, value)
     j = cells.join(ranks, [*keys, value])
-    per = j.groupBy(*keys, group).agg(F.sum(F.col("c") * F.col("rank")).alias("r"), F.sum("c").alias("m"))
-    sums = per.groupBy(*keys).agg(F.sum(F.col("r") ** 2 / F.col("m")).alias("s"), F.sum("m").cast("double").alias("n"), F.count(F.lit(1)).alias("n_groups"))
-    ties = ranks.groupBy(*keys).agg(F.sum(F.pow("n", F.lit(3)) - F.col("n")).alias("t"))
+    per = j.groupBy(*keys, group).agg(F.sum(F.col("__c") * F.col("__rank")).alias("__r"), F.sum("__c").alias("__m"))
+    sums = per.groupBy(*keys).agg(F.sum(F.col("__r") ** 2 / F.col("__m")).alias("__s"), F.sum("__m").cast("double").alias("__n"), F.count(F.lit(1)).alias("n_groups"))
+    ties = ranks.groupBy(*keys).agg(F.sum(F.pow("__n", F.lit(3)) - F.col("__n")).alias("__t"))
     both = sums.join(ties, keys) if keys else sums.crossJoin(F.broadcast(ties))
-    n = F.col("n")
-    fix = 1 - F.col("t") / (F.pow(n, F.lit(3)) - n)
-    h = F.when((F.col("n_groups") >= 2) & (fix > 0), (12 / (n * (n + 1)) * F.col("s") - 3 * (n + 1)) / F.when(fix > 0, fix))
+    n = F.col("__n")
+    fix = 1 - F.col("__t") / (F.pow(n, F.lit(3)) - n)
+    h = F.when((F.col("n_groups") >= 2) & (fix > 0), (12 / (n * (n + 1)) * F.col("__s") - 3 * (n + 1)) / F.when(fix > 0, fix))
     return both.select(*keys, h.alias("h"), "n_groups").withColumn("p_value", chi2_tail("h", F.col("n_groups") - 1))
 
 
@@ -88,35 +88,36 @@ def pairwise_mannwhitney(df: DataFrame, group: str, value: str, bonferroni: bool
     The pairs are those of the few group labels; only value counts take part.
     """
     cells = _counts(df, [group], value)
-    labels = cells.select(F.col(group).alias("label")).distinct()
-    pairs = labels.select(F.col("label").alias("group_a")).join(labels.select(F.col("label").alias("group_b")), F.col("group_a") < F.col("group_b"))
+    labels = cells.select(F.col(group).alias("__label")).distinct()
+    pairs = labels.select(F.col("__label").alias("group_a")).join(labels.select(F.col("__label").alias("group_b")), F.col("group_a") < F.col("group_b"))
     sided = cells.join(F.broadcast(pairs), (F.col(group) == F.col("group_a")) | (F.col(group) == F.col("group_b")))
     k = ["group_a", "group_b"]
     ranks = _cell_ranks(sided, k, value)
     first = F.col(group) == F.col("group_a")
-    j = sided.join(ranks.select(*k, value, "rank"), [*k, value])
-    s = j.groupBy(*k).agg(F.sum(F.when(first, F.col("c") * F.col("rank"))).alias("ra"), F.sum(F.when(first, F.col("c"))).alias("na"), F.sum(F.when(~first, F.col("c"))).alias("nb"))
-    ties = ranks.groupBy(*k).agg(F.sum(F.pow("n", F.lit(3)) - F.col("n")).alias("t"))
-    out = s.join(ties, k).withColumn("U", F.col("ra") - F.col("na") * (F.col("na") + 1) / 2)
-    out = out.withColumn("p", mannwhitney_p("U", "na", "nb", "t"))
-    m = pairs.agg(F.count(F.lit(1)).alias("m"))
-    scaled = F.least(F.lit(1.0), F.col("p") * F.col("m")) if bonferroni else F.col("p")
+    j = sided.join(ranks.select(*k, value, "__rank"), [*k, value])
+    s = j.groupBy(*k).agg(F.sum(F.when(first, F.col("__c") * F.col("__rank"))).alias("__ra"), F.sum(F.when(first, F.col("__c"))).alias("__na"), F.sum(F.when(~first, F.col("__c"))).alias("__nb"))
+    ties = ranks.groupBy(*k).agg(F.sum(F.pow("__n", F.lit(3)) - F.col("__n")).alias("__t"))
+    out = s.join(ties, k).withColumn("U", F.col("__ra") - F.col("__na") * (F.col("__na") + 1) / 2)
+    out = out.withColumn("p", mannwhitney_p("U", "__na", "__nb", "__t"))
+    m = pairs.agg(F.count(F.lit(1)).alias("__m"))
+    scaled = F.least(F.lit(1.0), F.col("p") * F.col("__m")) if bonferroni else F.col("p")
     return out.crossJoin(F.broadcast(m)).select(*k, "U", scaled.alias("p_corrected"))
 
 
 def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """Rank correlation over rows finite in both columns, with the t approximation of p."""
     ok = df.select(*keys, null_if_not_finite(F.col(x).cast("double")).alias("__x"), null_if_not_finite(F.col(y).cast("double")).alias("__y")).dropna(subset=["__x", "__y"])
-    rx = average_ranks(ok, keys, "__x", "rx").select(*keys, "__x", "rx")
-    ry = average_ranks(ok, keys, "__y", "ry").select(*keys, "__y", "ry")
-    pairs = ok.groupBy(*keys, "__x", "__y").agg(F.count(F.lit(1)).alias("w"))
+    rx = average_ranks(ok, keys, "__x", "__rx").select(*keys, "__x", "__rx")
+    ry = average_ranks(ok, keys, "__y", "__ry").select(*keys, "__y", "__ry")
+    pairs = ok.groupBy(*keys, "__x", "__y").agg(F.count(F.lit(1)).alias("__w"))
     j = pairs.join(rx, [*keys, "__x"]).join(ry, [*keys, "__y"])  # both sides are large; AQE splits a hot value
-    w, a, b = F.col("w"), F.col("rx"), F.col("ry")
-    s = j.groupBy(*keys).agg(F.sum(w).alias("n"), F.sum(w * a).alias("sa"), F.sum(w * b).alias("sb"), F.sum(w * a * a).alias("saa"), F.sum(w * b * b).alias("sbb"), F.sum(w * a * b).alias("sab"))
+    w, a, b = F.col("__w"), F.col("__rx"), F.col("__ry")
+    s = j.groupBy(*keys).agg(F.sum(w).alias("__n"), F.sum(w * a).alias("__sa"), F.sum(w * b).alias("__sb"), F.sum(w * a * a).alias("__saa"), F.sum(w * b * b).alias("__sbb"), F.sum(w * a * b).alias("__sab"))
+    n = F.col("__n")
+    va, vb = F.col("__saa") - F.col("__sa") ** 2 / n, F.col("__sbb") - F.col("__sb") ** 2 / n
+    rho = F.when((va > 0) & (vb > 0), (F.col("__sab") - F.col("__sa") * F.col("__sb") / n) / F.sqrt(F.when((va > 0) & (vb > 0), va * vb)))
+    r = s.select(*keys, rho.alias("rho"), n.alias("n"))
     n = F.col("n")
-    va, vb = F.col("saa") - F.col("sa") ** 2 / n, F.col("sbb") - F.col("sb") ** 2 / n
-    rho = F.when((va > 0) & (vb > 0), (F.col("sab") - F.col("sa") * F.col("sb") / n) / F.sqrt(F.when((va > 0) & (vb > 0), va * vb)))
-    r = s.select(*keys, rho.alias("rho"), "n")
     t = F.when((F.abs("rho") < 1) & (n > 2), F.col("rho") * F.sqrt((n - 2) / (1 - F.when(F.abs("rho") < 1, F.col("rho")) ** 2)))
     return r.withColumn("p_value", t_tail(t, n - 2))
 

@@ -74,7 +74,8 @@ def _with_halo(indexed: DataFrame, keys: list[str], idx: str, size: int, halo: i
     """Rows with the piece they belong to, plus copies for the pieces within ``halo`` rows."""
     i = F.col(idx)
     pieces = F.sequence(F.greatest(F.floor((i - halo) / size), F.lit(0).cast("long")), F.floor((i + halo) / size))
-    return indexed.withColumn("__piece", F.explode(pieces))
+    rows = indexed.withColumn("__piece", F.explode(pieces))
+    return rows.where(F.col("__piece") * size <= F.col("__last")) if "__last" in rows.columns else rows
 
 
 def quadratic_spline(indexed: DataFrame, keys: list[str], idx: str, t: str, value: str, fs: float,
