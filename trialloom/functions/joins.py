@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, functions as F
 def skew_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", salts: int = 16) -> DataFrame:
     """``big`` joined with ``small`` (one row per key) with each key spread over ``salts`` tasks.
 
-    ``how`` is inner or left. ``small`` is repeated ``salts`` times, ``big`` only once.
+    ``how`` is inner or left. ``small`` is repeated ``salts`` times, ``big`` travels once. A key
+    with a third of the rows is so cut into ``salts`` reduce partitions, and AQE splits those again
+    by size where they exceed the advisory partition size.
     """
     spread = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = big.withColumn("__salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int"))

@@ -8,6 +8,7 @@ from trialloom.functions.columns import safe_div
 from trialloom.functions.distribution import grouped_quantiles
 from trialloom.functions.joins import skew_join
 from trialloom.operators.ordered import min_max_scale
+from trialloom.session import cut_lineage
 
 
 def session_matrix(sessions: DataFrame, keep: Column, category: str, subject: str = "subject", number: str = "session_n", start: str = "start_time") -> DataFrame:
@@ -80,11 +81,16 @@ def subject_means(df: DataFrame, keys: list[str], subject: str, value: str) -> D
 
 def contrast_responses(df: DataFrame, group: list[str], response: str, min_trials: int = 10, pooled: bool = True, subject: str = "subject") -> DataFrame:
     """Response by contrast, side and feedback after removing subject means; cells need more than ``min_trials`` trials."""
-    subj = df.groupBy(*group, subject).agg(F.avg(response).alias("__sm"))
-    grand = df.groupBy(*group).agg(F.avg(response).alias("__gm"))
-    adj = skew_join(skew_join(df, subj, [*group, subject]), grand, group).withColumn("__r", F.col(response) - F.col("__sm") + F.col("__gm"))
+    # Count, sum and sum of squares per cell hold all that the shifted means and errors need, so the
+    # trials are read once and the subject and grand means come from the (small) cell table.
     cell = [*group, subject, "side", "feedbackType", "contrast"]
-    per = adj.groupBy(*cell).agg(F.count("__r").alias("n"), F.sum("__r").alias("s"), F.sum(F.col("__r") ** 2).alias("ss")).where(F.col("n") > min_trials)
+    r = F.col(response)
+    sums = cut_lineage(df.groupBy(*cell).agg(F.count(r).alias("n"), F.sum(r).alias("s0"), F.sum(r * r).alias("ss0")))
+    subj = sums.groupBy(*group, subject).agg((F.sum("s0") / F.sum("n")).alias("__sm"))
+    grand = sums.groupBy(*group).agg((F.sum("s0") / F.sum("n")).alias("__gm"))
+    shift = F.col("__gm") - F.col("__sm")
+    per = sums.where(F.col("n") > min_trials).join(subj, [*group, subject]).join(grand, group).withColumns({
+        "s": F.col("s0") + F.col("n") * shift, "ss": F.col("ss0") + 2 * shift * F.col("s0") + F.col("n") * shift * shift})
     keys = [*group, "side", "feedbackType", "contrast"]
     if pooled:
         n = F.sum("n")
@@ -98,10 +104,11 @@ def mean_response_traces(traces: DataFrame, group: list[str], recording: list[st
                          min_trials: int = 5, baseline=(-0.15, 0.0)) -> DataFrame:
     """Mean and standard error trace per group: enough trials, baseline removed, subject means removed per time."""
     few = traces.groupBy(*group, subject).agg(F.min_by("n_trials", F.struct(*recording, time)).alias("__n")).where(F.col("__n") >= min_trials).select(*group, subject)
-    t = skew_join(traces, few, [*group, subject])
+    t = cut_lineage(skew_join(traces, few, [*group, subject]))
     inside = (F.col(time) >= baseline[0]) & (F.col(time) < baseline[1])
     base = t.groupBy(*group, *recording).agg(F.avg(F.when(inside, F.col(value))).alias("__b"))
     t = skew_join(t, base, [*group, *recording]).withColumn("__v", F.col(value) - F.coalesce("__b", F.lit(0.0)))
+    t = cut_lineage(t.select(*group, subject, time, "__v"))
     per_subject = t.groupBy(*group, time, subject).agg(F.avg("__v").alias("__sm"))
     grand = t.groupBy(*group, time).agg(F.avg("__v").alias("__gm"))
     a = skew_join(skew_join(t, per_subject, [*group, time, subject]), grand, [*group, time]).withColumn("__a", F.col("__v") - F.col("__sm") + F.col("__gm"))

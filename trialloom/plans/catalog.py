@@ -343,7 +343,14 @@ def trial_display(t):
     return df.select(*TCOLS, "stim_side", "correct", rnd("to_stimOn_times").alias("to_stim"), rnd("to_firstMovement_times").alias("to_move"), "alpha")
 
 
-@query("psychometric_curves")
+def _erf_sql(x: str) -> str:
+    t = f"(1 / (1 + 0.3275911 * abs({x})))"
+    poly = f"((((1.061405429 * {t} - 1.453152027) * {t} + 1.421413741) * {t} - 0.284496736) * {t} + 0.254829592) * {t}"
+    return f"(sign({x}) * (1 - {poly} * exp(-({x}) * ({x}))))"
+
+
+@query("psychometric_curves", "SELECT s_nationkey, rnd(-100 + 2 * i) AS x, rnd(avg(0.1 + 0.85 * (" + _erf_sql("((-100 + 2 * i - s_acctbal / 500) / (10 + s_suppkey % 20))")
+       + " + 1) / 2)) AS p, count(*) AS n_fits FROM supplier, (SELECT unnest(range(101)) AS i) GROUP BY s_nationkey, i")
 def psychometric_curves(t):
     fits = t["supplier"].selectExpr("s_nationkey", "s_acctbal / 500 AS bias", "10 + s_suppkey % 20 AS threshold", "0.1D AS lapse_left", "0.05D AS lapse_right")
     out = derive.curve_table(fits, ["s_nationkey"])

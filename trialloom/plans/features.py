@@ -118,7 +118,9 @@ def lag_design(t):
     return enc.expand_events(imp, ["eid"], "err", [(i, i - 2, 1.0) for i in range(5)])
 
 
-@query("raised_cosine_design")
+@query("raised_cosine_design", with_sql(BIN_SQL, """, im1 AS (SELECT eid, CAST(round_even(t / 21600, 0) AS BIGINT) AS bin FROM signal WHERE event_type = 'error' AND round_even(t / 21600, 0) < 120 GROUP BY ALL),
+ bs AS (SELECT c, j, power(cos(pi() / 2 * greatest(-1, least(1, (ln(j + 1) - c * ln(11) / 3) / (2 * ln(11) / 3)))), 2) AS w FROM (SELECT unnest(range(4)) AS c), (SELECT unnest(range(10)) AS j))
+ SELECT eid, bin + j AS bin, 'err:' || lpad(CAST(c AS VARCHAR), 3, '0') AS feature, rnd(sum(w)) AS value FROM im1, bs WHERE w > 1e-12 AND bin + j < 120 GROUP BY ALL"""))
 def raised_cosine_design(t):
     imp = enc.event_impulses(errors(t), bounds(t), ["eid"], "t", None, DT)
     return enc.expand_events(imp, ["eid"], "err", enc.raised_cosine_basis(4, 2.5, 0.2, 0.25)).withColumn("value", rnd("value"))

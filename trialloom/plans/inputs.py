@@ -36,7 +36,12 @@ class Tables:
     @cached_property
     def indexed_signal(self) -> DataFrame:
         """signal plus the 0-based sample index of each recording, written out once per query."""
-        return cut_lineage(ordered_scan(self.signal, ["eid"], ["t", "event_id"], time_chunk("t", 86400.0), index="idx"))
+        return self.indexed("event_type", "value", "k")
+
+    def indexed(self, *columns: str) -> DataFrame:
+        """The index with only the columns a query needs: what is written out cannot be pruned later."""
+        s = self.signal.select("event_id", "eid", "t", *columns)
+        return cut_lineage(ordered_scan(s, ["eid"], ["t", "event_id"], time_chunk("t", 86400.0), index="idx"))
 
     @cached_property
     def sessions(self) -> DataFrame:

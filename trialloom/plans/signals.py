@@ -44,7 +44,7 @@ def pchip_resample(t):
 
 @query("quadratic_interpolation")
 def quadratic_interpolation(t):
-    return op.quadratic_spline(t.indexed_signal, ["eid"], "idx", "t", "value", FS).select("eid", "grid", rnd("value").alias("value"))
+    return op.quadratic_spline(t.indexed("value"), ["eid"], "idx", "t", "value", FS).select("eid", "grid", rnd("value").alias("value"))
 
 
 def _pose(t):
@@ -75,7 +75,7 @@ XC_SQL = INDEXED_SQL + """, n AS (SELECT eid, max(idx) + 1 AS n FROM idx_signal
 
 
 def _thirds_cc(t):
-    s = op.session_thirds(t.indexed_signal.select("eid", "idx", "value", F.col("k").cast("double").alias("k")), ["eid"], "idx")
+    s = op.session_thirds(t.indexed("value", "k").select("eid", "idx", "value", F.col("k").cast("double").alias("k")), ["eid"], "idx")
     return op.lagged_crosscorr(s, ["eid", "third"], "idx_in_third", "value", "k", 5)
 
 
@@ -140,12 +140,12 @@ def sliding_ar_score(t):
 
 @query("lowpass_signal")
 def lowpass_signal(t):
-    return op.lowpass(t.indexed_signal, ["eid"], "idx", "value", cutoff=0.2, half=256).select("eid", "idx", rnd("lowpass").alias("lowpass"))
+    return op.lowpass(t.indexed("value"), ["eid"], "idx", "value", cutoff=0.2, half=256).select("eid", "idx", rnd("lowpass").alias("lowpass"))
 
 
 @query("preprocess_signal")
 def preprocess_signal(t):
-    s = t.indexed_signal.select("eid", "idx", "t", F.col("value") + 50, F.col("k").cast("double") + 50).toDF("eid", "idx", "t", "value", "k")
+    s = t.indexed("value", "k").select("eid", "idx", "t", F.col("value") + 50, F.col("k").cast("double") + 50).toDF("eid", "idx", "t", "value", "k")
     out = op.preprocess(s, ["eid"], "idx", "t", "value", "k", fs=FS, chunk_width=DAY, cutoff=0.2, half=256)
     return out.select("eid", "grid", rnd("value").alias("value"))
 

@@ -16,7 +16,7 @@ UNIT = 36000.0
 
 def index_windows(t: Tables):
     """Samples -5..+9 around every error event, by sample index."""
-    s = t.indexed_signal
+    s = t.indexed("event_type", "value")
     anchors = s.where("event_type = 'error'").select(
         "eid", F.col("event_id").alias("trial"), "idx", F.lit(-5).cast("long").alias("lo"), F.lit(9).cast("long").alias("hi"))
     bounds = s.groupBy("eid").agg(F.max("idx").alias("last"))
@@ -53,7 +53,7 @@ def trial_events(t: Tables):
 
 
 def unit_signal(t: Tables):
-    return t.indexed_signal.select("eid", "idx", (F.col("t") / UNIT).alias("u"), "value")
+    return t.indexed("value").select("eid", "idx", (F.col("t") / UNIT).alias("u"), "value")
 
 
 def timed_windows(t: Tables, end=False):

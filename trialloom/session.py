@@ -18,6 +18,7 @@ def get_session(cores: str = "8", app: str = "trialloom") -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
         .getOrCreate()
@@ -30,8 +31,10 @@ _shipped: set[str] = set()
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the Python workers, once per application.
 
-    Tasks that call its helpers must be able to import it wherever they run.
+    Tasks that call its helpers must be able to import it wherever they run. AQE may also
+    split a hot partition of a join whose result is grouped again by the same key.
     """
+    spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return

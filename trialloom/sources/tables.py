@@ -165,7 +165,8 @@ class GroupStore:
             kept = (self.spark.read.parquet(self._path(group)).join(F.broadcast(touched), "bucket", "left_semi")
                     .join(rows.select(self.key).distinct(), self.key, "left_anti"))
             rows = cut_lineage(kept.unionByName(rows, allowMissingColumns=True))
-        (rows.repartition(self.buckets, "bucket", F.pmod(F.xxhash64(*rows.columns), F.lit(4)))
+        # rebalance: AQE cuts large buckets into several even files and merges small ones
+        (rows.hint("rebalance", "bucket")
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self._path(group)))
 
     def load(self, groups: list[str], sessions: DataFrame | None = None) -> dict[str, DataFrame | None]:
