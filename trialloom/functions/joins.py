@@ -10,10 +10,11 @@ def skew_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inn
 
     ``how`` is inner or left. ``small`` is repeated ``salts`` times, ``big`` travels once. A key
     with a third of the rows is so cut into ``salts`` reduce partitions, and AQE splits those again
-    by size where they exceed the advisory partition size.
+    by size where they exceed the advisory partition size. The salt is the number of the input
+    partition a row comes from, so no column is read only to be hashed.
     """
     spread = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = big.withColumn("__salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int"))
+    salted = big.withColumn("__salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
     return salted.join(spread, [*keys, "__salt"], how).drop("__salt")
 
 

@@ -69,7 +69,7 @@ def response_summary(responses: DataFrame, group: str, subject: str, session: st
     """Distinct subjects, sessions and trials per group; sketches when an estimate is enough."""
     d = F.approx_count_distinct if approximate else F.count_distinct
     return responses.groupBy(group).agg(d(subject).alias("n_subjects"), d(session).alias("n_sessions"),
-                                        d(F.struct(*trial) if approximate else F.xxhash64(*trial)).alias("n_trials"))
+                                        d(F.struct(*trial)).alias("n_trials"))
 
 
 def density_histogram(df: DataFrame, group: str, measure: str, groups: list[str], bins: int) -> DataFrame:

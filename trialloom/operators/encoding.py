@@ -21,12 +21,17 @@ def nearest_bin(t, start, dt: float = ENCODING_DT) -> Column:
     return F.bround((t - start) / F.lit(float(dt))).cast("long")
 
 
-def event_impulses(events: DataFrame, bounds: DataFrame, keys: list[str], t: str, height: Column | None = None, dt: float = ENCODING_DT) -> DataFrame:
-    """(keys, bin, height): one impulse per event bin of the grid, the last event of a bin wins."""
+def placed_events(events: DataFrame, bounds: DataFrame, keys: list[str], t: str, heights: dict[str, Column], dt: float = ENCODING_DT) -> DataFrame:
+    """(keys, bin, n_bins, one column per height): an event per grid bin, the last event of a bin wins."""
     j = skew_join(events.where(F.col(t).isNotNull()), bounds, keys)
     j = j.withColumn("bin", nearest_bin(F.col(t), F.col("t_start"), dt)).where((F.col("bin") >= 0) & (F.col("bin") < F.col("n_bins")))
-    h = height if height is not None else F.lit(1.0)
-    return j.groupBy(*keys, "bin", "n_bins").agg(F.max_by(h.cast("double"), F.col(t)).alias("height"))
+    last = F.struct(*[h.cast("double").alias(n) for n, h in heights.items()])
+    return j.groupBy(*keys, "bin", "n_bins").agg(F.max_by(last, F.col(t)).alias("__h")).select(*keys, "bin", "n_bins", "__h.*")
+
+
+def event_impulses(events: DataFrame, bounds: DataFrame, keys: list[str], t: str, height: Column | None = None, dt: float = ENCODING_DT) -> DataFrame:
+    """(keys, bin, height): one impulse per event bin of the grid."""
+    return placed_events(events, bounds, keys, t, {"height": height if height is not None else F.lit(1.0)}, dt)
 
 
 def lag_basis(n_lags: int = ENCODING_LAGS) -> list[tuple[int, int, float]]:
@@ -50,12 +55,16 @@ def raised_cosine_basis(n_basis: int = BASIS_COUNT, duration: float = BASIS_SECO
     return [(i, j, float(bumps[i, j])) for i in range(n_basis) for j in range(n) if bumps[i, j] > 1e-12]
 
 
-def expand_events(impulses: DataFrame, keys: list[str], block: str, basis: list[tuple[int, int, float]]) -> DataFrame:
-    """Sparse design rows (keys, bin, feature, value): impulses spread over a basis table of fixed size."""
+def expand_events(impulses: DataFrame, keys: list[str], block, basis: list[tuple[int, int, float]]) -> DataFrame:
+    """Sparse design rows (keys, bin, feature, value): impulses spread over a basis table of fixed size.
+
+    ``block`` is a name or a column that holds the block's name.
+    """
+    name = F.lit(block) if isinstance(block, str) else block
     table = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(o).alias("o"), F.lit(w).alias("w")) for c, o, w in basis])
-    rows = impulses.select(*keys, "bin", "n_bins", "height", F.inline(table))
+    rows = impulses.select(*keys, "bin", "n_bins", "height", name.alias("__block"), F.inline(table))
     rows = rows.withColumn("bin", F.col("bin") + F.col("o")).where((F.col("bin") >= 0) & (F.col("bin") < F.col("n_bins")) & (F.col("height") != 0))
-    return rows.groupBy(*keys, "bin", F.concat(F.lit(f"{block}:"), F.lpad(F.col("c").cast("string"), 3, "0")).alias("feature")).agg(
+    return rows.groupBy(*keys, "bin", F.concat("__block", F.lit(":"), F.lpad(F.col("c").cast("string"), 3, "0")).alias("feature")).agg(
         F.sum(F.col("height") * F.col("w")).alias("value"))
 
 
@@ -69,13 +78,13 @@ def event_block(events: DataFrame, bounds: DataFrame, keys: list[str], t: str, b
     parts = {block: F.lit(1.0), **{f"{block}*{n}": c for n, c in mods.items()}, **{f"{block}*{a}*{b}": mods[a] * mods[b] for a, b in interactions}}
     by = [*keys, split] if split else keys
     spans = bounds.join(events.select(*by).distinct(), keys) if split else bounds
-    out = None
-    for name, height in parts.items():
-        rows = expand_events(event_impulses(events, spans, by, t, height, dt), by, name, basis)
-        if split:
-            rows = rows.select(*keys, "bin", F.concat_ws("@", "feature", F.col(split).cast("string")).alias("feature"), "value")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    named = {f"h{i}": h for i, h in enumerate(parts.values())}
+    placed = placed_events(events, spans, by, t, named, dt)
+    each = F.inline(F.array(*[F.struct(F.lit(n).alias("__name"), F.col(h).alias("height")) for n, h in zip(parts, named)]))
+    rows = expand_events(placed.select(*by, "bin", "n_bins", each), by, F.col("__name"), basis)
+    if not split:
+        return rows
+    return rows.select(*keys, "bin", F.concat_ws("@", "feature", F.col(split).cast("string")).alias("feature"), "value")
 
 
 def tonic_block(trials: DataFrame, bounds: DataFrame, keys: list[str], start: str, end: str, value: Column, block: str, dt: float = ENCODING_DT) -> DataFrame:

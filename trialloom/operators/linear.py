@@ -105,7 +105,7 @@ def drop_one(grams: DataFrame, keys: list[str], terms, predictors: list[str], mi
 
 def paired_moments(
     rows: DataFrame, group: list[str], unit: str, rank: str, focal: dict[str, Column], donor: dict[str, Column],
-    products: dict[str, tuple[str, str]], block: int = 32, chunk: int = 512,
+    products: dict[str, tuple[str, str]], block: int = 128, chunk: int = 512,
 ) -> DataFrame:
     """Sums over common ranks of focal x donor products for every ordered pair of units in a group.
 
@@ -245,7 +245,7 @@ def session_permutation_test(rows: DataFrame, group: list[str], unit: str, rank:
     A draw is a hash of (unit, iteration, seed) over the unit's donors; each distinct pair is fitted
     once and counted as often as it was drawn. A unit without donors gets an error text.
     """
-    pairs = pair_regressions(rows, group, unit, rank, fixed, swapped).where(F.col(statistic).isNotNull())
+    pairs = cut_lineage(pair_regressions(rows, group, unit, rank, fixed, swapped).where(F.col(statistic).isNotNull()))
     ordered = pairs.withColumn("__i", F.row_number().over(W.partitionBy(*group, unit).orderBy("donor")) - 1)
     n = pairs.groupBy(*group, unit).agg(F.count(F.lit(1)).alias("__nd"))
     draws = n.withColumn("__it", F.explode(F.sequence(F.lit(1), F.lit(n_iter)))).select(

@@ -95,18 +95,27 @@ def random_intercepts(grams: DataFrame, sums: DataFrame, keys: list[str], subjec
 def _leave_one_out(grams, sums, keys, subject, terms, predictors, min_subjects, score) -> DataFrame:
     size = len(terms) + 2
     cols = family_columns_of(terms, drop_one_family(terms, predictors))
-    # The folds are few rows but each costs a search, so they are spread over all tasks.
-    j = spread(grams.join(sums.where(F.col("n_subjects") >= min_subjects), keys), *keys, subject)
-
-    def rows(rec):
-        g = unpack(rec["gram"], size)
-        rest = _sums(rec, size).without(g)
-        r2 = score(rest, g, cols)
-        if r2 is None:
-            return []
-        return [dict(fold=str(rec[subject]), predictor=p, n_trials=int(g[0, 0]), r2=r2["full"], delta_r2=r2["full"] - r2[p]) for p in predictors]
-
-    folds = _per_group(j, keys, FOLD_SCHEMA, rows)
+    # Folds meet their group's sums in blocks: the sums are unpacked once per block, and the blocks
+    # of one group run as separate tasks.
+    blocks = int(grams.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = [*keys, "__block"]
+    left = grams.withColumn("__block", F.pmod(F.xxhash64(subject), F.lit(blocks)).cast("int"))
+    right = sums.where(F.col("n_subjects") >= min_subjects).withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    left, right = left.toDF(*left.columns), right.toDF(*right.columns)
+    names = [p.split()[0] for p in FOLD_SCHEMA.split(", ")]
+
+    def solve(key, folds: pd.DataFrame, group: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(group) and len(folds):
+            total = _sums(group.iloc[0], size)
+            for name, flat in zip(folds[subject], folds["gram"]):
+                g = unpack(flat, size)
+                r2 = score(total.without(g), g, cols)
+                if r2 is not None:
+                    out += [(*key[:-1], str(name), p, int(g[0, 0]), float(r2["full"]), float(r2["full"] - r2[p])) for p in predictors]
+        return pd.DataFrame(out, columns=[*keys, *names])
+
+    folds = spread(left, *by).groupBy(*by).cogroup(spread(right, *by).groupBy(*by)).applyInPandas(solve, f"{_key_types(grams, keys)}, {FOLD_SCHEMA}")
     overall = folds.groupBy(*keys, "predictor").agg(F.sum("n_trials").alias("n_trials"), F.avg("r2").alias("r2"), F.avg("delta_r2").alias("delta_r2"))
     return folds.unionByName(overall.withColumn("fold", F.lit("aggregate")))
 

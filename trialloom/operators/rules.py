@@ -58,8 +58,17 @@ def with_subject_start(df: DataFrame, subject: str = "subject", start: str = "st
     return skew_join(df, first, [subject], "left")
 
 
-def filter_sessions(df: DataFrame, **filters) -> DataFrame:
-    return df.where(all_of(session_predicates(df, **filters).values()))
+def filter_sessions(df: DataFrame, *, start_min=None, subject: str = "subject", start: str = "start_time", **filters) -> DataFrame:
+    """Sessions passing every asked filter.
+
+    The row filters come first and reach the scan; a subject's first start is taken over all its
+    sessions and applied as a semi-join.
+    """
+    kept = df.where(all_of(session_predicates(df, **filters).values()))
+    if not start_min or not {subject, start} <= set(df.columns):
+        return kept
+    first = df.groupBy(subject).agg(F.min(start).alias("__first")).where(F.col("__first") >= start_min).select(subject)
+    return kept.join(first, subject, "left_semi")
 
 
 def removal_counts(df: DataFrame, **filters) -> DataFrame:

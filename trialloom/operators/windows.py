@@ -11,10 +11,16 @@ from trialloom.functions.scan import ordered_scan, time_chunk
 BLOCK = 64
 
 
-def sampling_rates(signal: DataFrame, keys: list[str], t: str, chunk_width: float) -> DataFrame:
-    """fs = round(1 / median interval) per key, exact and without gathering a key."""
-    steps = ordered_scan(signal, keys, [t], time_chunk(t, chunk_width), lead={"__next": t})
-    steps = steps.select(*keys, (F.col("__next") - F.col(t)).alias("__dt"))
+def sampling_rates(signal: DataFrame, keys: list[str], t: str, chunk_width: float, step: str | None = None) -> DataFrame:
+    """fs = round(1 / median interval) per key, exact and without gathering a key.
+
+    ``step`` names a column that already holds the interval to the next sample.
+    """
+    if step is None:
+        steps = ordered_scan(signal.select(*keys, t), keys, [t], time_chunk(t, chunk_width), lead={"__next": t})
+        steps = steps.select(*keys, (F.col("__next") - F.col(t)).alias("__dt"))
+    else:
+        steps = signal.select(*keys, F.col(step).alias("__dt"))
     med = grouped_quantiles(steps, keys, "__dt", {"dt": 0.5})
     return med.select(*keys, F.bround(1 / F.col("dt")).cast("long").alias("fs"))
 

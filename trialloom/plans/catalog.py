@@ -394,8 +394,7 @@ FILTERS = dict(session_types=K.ANALYSED_SESSION_TYPES[:2], exclude_subjects=[1,
 
 def filterable(t):
     s = derive.target_nm_from_region(t.sessions)
-    s = s.withColumn("logged_errors", F.array_compact(F.array("error_type")))
-    return rules.with_subject_start(s)
+    return s.withColumn("logged_errors", F.array_compact(F.array("error_type")))
 
 
 FILTER_SQL = SESSIONS_SQL + """, f AS (SELECT eid, session_type IN ('training','biased') AS session_types, subject NOT IN (1,2,3) AS exclude_subjects, eid NOT IN (10, 20) AS exclude_eids,
@@ -412,7 +411,7 @@ def filter_sessions(t):
 
 @query("filter_removals", with_sql(FILTER_SQL, " UNION ALL ".join(f"SELECT '{p}' AS predicate, count(*) AS n_removed FROM f WHERE NOT {p}" for p in PREDICATES)))
 def filter_removals(t):
-    return rules.removal_counts(filterable(t), **FILTERS)
+    return rules.removal_counts(rules.with_subject_start(filterable(t)), **FILTERS)
 
 
 @query("clean_sessions", with_sql(SESSIONS_SQL, "SELECT eid, subject, session_type FROM sessions WHERE subject NOT IN (4, 5, 6) AND session_type NOT IN ('ephys')"))

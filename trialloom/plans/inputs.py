@@ -41,7 +41,7 @@ class Tables:
     def indexed(self, *columns: str) -> DataFrame:
         """The index with only the columns a query needs: what is written out cannot be pruned later."""
         s = self.signal.select("event_id", "eid", "t", *columns)
-        return cut_lineage(ordered_scan(s, ["eid"], ["t", "event_id"], time_chunk("t", 86400.0), index="idx"))
+        return cut_lineage(ordered_scan(s, ["eid"], ["t", "event_id"], time_chunk("t", 86400.0), index="idx", lead={"t_next": "t"}))
 
     @cached_property
     def sessions(self) -> DataFrame:

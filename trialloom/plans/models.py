@@ -60,8 +60,10 @@ SWAP_SQL = NUMBERED_SQL + """, sw AS (SELECT eid, subject, target_NM, trial, CAS
 
 
 def swap_rows(t):
-    r = t.numbered_trials.select("eid", "subject", "target_NM", "trial", F.col("response").alias("y"), F.when(F.col("contrastLeft").isNull(), 0.5).otherwise(-0.5).alias("side"), F.col("wheel").alias("q"))
-    return ordered_scan(r.where("y IS NOT NULL"), ["eid"], ["trial"], F.floor(F.col("trial") / 4096), index="rk")
+    """Trials with a response and their rank among those, numbered in one scan."""
+    r = t.trials.select("eid", "subject", "target_NM", *TRIAL_ORDER, F.col("response").alias("y"), F.when(F.col("contrastLeft").isNull(), 0.5).otherwise(-0.5).alias("side"), F.col("wheel").alias("q"))
+    r = ordered_scan(r, ["eid"], TRIAL_ORDER, time_chunk("day", 180.0), running={"__k": F.when(F.col("y").isNotNull(), 1).otherwise(0)})
+    return r.where("y IS NOT NULL").select("eid", "subject", "target_NM", "y", "side", "q", (F.col("__k") - 1).alias("rk"))
 
 
 @query("pair_regressions", with_sql(SWAP_SQL, "SELECT target_NM, eid, donor, count(*) AS n, rnd(regr_slope(y, dq)) AS slope, rnd(regr_r2(y, dq)) AS r2 FROM pr GROUP BY ALL"))

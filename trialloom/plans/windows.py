@@ -53,12 +53,12 @@ def trial_events(t: Tables):
 
 
 def unit_signal(t: Tables):
-    return t.indexed("value").select("eid", "idx", (F.col("t") / UNIT).alias("u"), "value")
+    return t.indexed("value").select("eid", "idx", (F.col("t") / UNIT).alias("u"), "value", ((F.col("t_next") - F.col("t")) / UNIT).alias("step"))
 
 
 def timed_windows(t: Tables, end=False):
     s = unit_signal(t)
-    rates = op.sampling_rates(s.select("eid", "u"), ["eid"], "u", 4.0).withColumn("fs", F.greatest("fs", F.lit(1).cast("long")))
+    rates = op.sampling_rates(s, ["eid"], "u", 4.0, "step").withColumn("fs", F.greatest("fs", F.lit(1).cast("long")))
     if end:
         ev = trial_events(t)
         return op.event_windows(s, ev, keys=["eid"], t="u", idx="idx", value="value", event_time="stimOn_times",

@@ -82,7 +82,9 @@ def cut_lineage(df):
 def spread(df, *keys):
     """Hash partitioning by ``keys`` over a fixed number of tasks.
 
-    For small inputs with heavy work per row, which AQE would otherwise merge into one task.
+    For small inputs with heavy work per row, which AQE would otherwise merge into one task. Twice
+    the usual number of partitions: more even, and never equal to a partitioning that is already
+    there, in which case Spark would drop the step and merge after all.
     """
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(tasks, *keys)
