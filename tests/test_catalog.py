@@ -151,3 +151,20 @@ def test_stages_stop_or_go_on(spark):
     jobs = {"a": lambda: None, "b": bad, "c": lambda: None}
     assert rows(batch.run_stages(spark, jobs), "stage", "ok") == [("a", True), ("b", False)]
     assert rows(batch.run_stages(spark, jobs, stop_on_error=False, start="b"), "stage", "ok") == [("b", False), ("c", True)]
+
+
+def test_guarded_group_function(spark):
+    def fit(pdf):
+        if pdf["x"].sum() > 5:
+            raise RuntimeError("too large")
+        return pdf[["x"]].sum().to_frame().T
+
+    df = spark.createDataFrame([(1, 1.0), (1, 2.0), (2, 9.0)], "eid long, x double")
+    run = rules.guarded(fit, ["eid"], ["eid", "x"])
+
+    def call(key, pdf):
+        return run(key, pdf)
+
+    out = df.groupBy("eid").applyInPandas(call, "eid long, x double, error_type string, error_message string, traceback string")
+    ok, log = rules.split_results(out, "eid", ["x"])
+    assert rows(ok, "eid", "x") == [(1, 3.0)] and rows(log, "eid", "error_type", "error_message") == [(2, "RuntimeError", "too large")]

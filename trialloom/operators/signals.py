@@ -170,6 +170,17 @@ def movement_trace(speeds: DataFrame, keys: list[str], value: str, reduction: st
     return speeds.groupBy(*keys).agg(agg.alias(out))
 
 
+def movement_channels(pose: DataFrame, energy: DataFrame, keys: list[str], t: str, part: str, x: str, y: str, likelihood: str, chunk_width: float, groups: dict[str, list[str]]) -> DataFrame:
+    """Movement channels (keys, channel, t, value): summed speed per group of keypoints, and motion energy.
+
+    A session that lacks one of the sources has no rows of it.
+    """
+    speed = keypoint_speed(pose, [*keys, part], t, x, y, likelihood, chunk_width)
+    of = F.coalesce(*[F.when(F.col(part).isin(parts), F.lit(name)) for name, parts in groups.items()])
+    moves = movement_trace(speed.withColumn("channel", of).where(F.col("channel").isNotNull()), [*keys, "channel", t], "speed", out="value")
+    return moves.unionByName(energy.select(*keys, F.lit("motion_energy").alias("channel"), t, F.col("value").cast("double").alias("value")))
+
+
 def lagged_crosscorr(pairs: DataFrame, keys: list[str], idx: str, a: str, b: str, max_lag: int, block: int = 1024) -> DataFrame:
     """Normalised cross-correlation for lags -max_lag..max_lag, one row per (keys, lag).
 

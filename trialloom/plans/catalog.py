@@ -181,6 +181,22 @@ def subject_info(t):
     return out.select("eid", "strain", F.col("NM").alias("nm"), "subject_error")
 
 
+@query("enrich_sessions", with_sql(SESSIONS_SQL, """, one AS (SELECT c_custkey AS subject, CASE WHEN c_nationkey % 3 = 0 THEN 'DA' ELSE 'ACh' END AS nm FROM customer WHERE c_custkey % 50 <> 0),
+ r AS (SELECT s.eid, one.subject IS NULL AS no_subject, one.nm AS nm, CASE WHEN len(brain_region) > 0 AND eid % 2 = 0 THEN brain_region WHEN eid % 3 = 0 THEN ['LC-l', 'DR'] END AS rg, s.session_type FROM sessions s LEFT JOIN one USING (subject)),
+ tg AS (SELECT *, list_transform(rg, lambda x: regexp_replace(x, '-[lr]$', '') || '-' || nm) AS tg FROM r)
+ SELECT eid, CASE WHEN eid % 11 = 0 OR eid % 13 = 0 THEN NULL ELSE session_type END AS session_type, array_to_string(rg, ',') AS brain_region,
+ concat_ws(',', CASE WHEN no_subject THEN 'SubjectNotUnique' END, CASE WHEN rg IS NULL THEN 'MissingBrainRegion' END, CASE WHEN eid % 11 = 0 OR eid % 13 = 0 THEN 'InvalidSessionType' END,
+  CASE WHEN len(list_filter(tg, lambda x: x IS NOT NULL AND NOT list_contains(['VTA-DA','SNc-DA','DR-5HT','MR-5HT','LC-NE','NBM-ACh','SI-ACh','PPT-ACh'], x))) > 0 THEN 'InvalidTargetNM' END,
+  CASE WHEN eid % 19 = 0 OR eid % 24 = 23 THEN 'InvalidSessionLength' END) AS logged_errors FROM tg"""))
+def enrich_sessions(t):
+    s = t.sessions
+    sub = t["customer"].where("c_custkey % 50 <> 0").selectExpr("c_custkey AS subject", "CASE WHEN c_nationkey % 3 = 0 THEN 'Ai148xDATCre' ELSE 'Ai148xChATCre' END AS strain", "CAST(NULL AS string) AS line")
+    desc = s.where("size(brain_region) > 0 AND eid % 2 = 0").select("eid", F.col("brain_region").alias("regions"))
+    loc = s.where("eid % 3 = 0").select("eid", F.array(F.lit("LC-l"), F.lit("DR")).alias("regions"))
+    out = src.enrich_sessions(s.select("eid", "subject", "task_protocol", "start_time", "end_time"), sub, desc, loc, K.STRAIN_TO_NM, K.LINE_TO_NM)
+    return out.select("eid", "session_type", joined("brain_region").alias("brain_region"), joined("logged_errors").alias("logged_errors"))
+
+
 @query("id_allow_list", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 48)")
 def id_allow_list(t):
     path = src.scratch_path(t.spark, "ids")

@@ -182,3 +182,13 @@ def video_measures(t):
 def trim_to_session(t):
     bounds = t["customer"].selectExpr("c_custkey AS eid", "100000 + c_acctbal * 10 AS s", "2000000 + c_acctbal * 50 AS e")
     return op.trim_to_session(t.signal, bounds, ["eid"], "t", "s", "e").select("event_id", "eid", "value")
+
+
+@query("movement_channels", with_sql(SIGNAL_SQL, """, sp AS (SELECT eid, event_type AS part, t, CASE WHEN k >= 10 THEN sqrt(pow(value - lag(value) OVER w, 2) + pow(k - lag(k) OVER w, 2)) END AS s FROM signal WINDOW w AS (PARTITION BY eid, event_type ORDER BY t)),
+ ch AS (SELECT eid, CASE WHEN part IN ('click', 'error') THEN 'paw' WHEN part = 'view' THEN 'nose' END AS channel, t, sum(s) AS value FROM sp WHERE part IN ('click', 'error', 'view') GROUP BY ALL
+  UNION ALL SELECT eid, 'motion_energy', t, value FROM signal WHERE eid % 2 = 0) SELECT eid, channel, count(*) AS n, rnd(sum(value), 4) AS total FROM ch GROUP BY ALL"""))
+def movement_channels(t):
+    s = t.signal
+    pose = s.select("eid", "t", F.col("event_type").alias("part"), F.col("value").alias("x"), F.col("k").cast("double").alias("y"), F.when(F.col("k") >= 10, 0.95).otherwise(0.5).alias("lik"))
+    ch = op.movement_channels(pose, s.where("eid % 2 = 0").select("eid", "t", "value"), ["eid"], "t", "part", "x", "y", "lik", DAY, {"paw": ["click", "error"], "nose": ["view"]})
+    return ch.groupBy("eid", "channel").agg(F.count(F.lit(1)).alias("n"), rnd(F.sum("value"), 4).alias("total"))

@@ -273,3 +273,17 @@ def merge_labels(automatic: DataFrame, manual: DataFrame, fields: list[str], key
     keep = lambda f: F.when(F.col(f"__{f}") != unset, F.col(f"__{f}"))
     return j.select(*[c for c in automatic.columns if c not in fields],
                     *[F.coalesce(keep(f), F.col(f), F.lit(unset)).alias(f) for f in fields])
+
+
+def enrich_sessions(sessions: DataFrame, subjects: DataFrame, descriptions: DataFrame, locations: DataFrame, strain_to_nm: dict, line_to_nm: dict) -> DataFrame:
+    """Catalog rows with subject, regions, type, targets and length; problems are collected, never raised.
+
+    ``logged_errors`` lists the typed errors of all steps.
+    """
+    from trialloom.operators import derive
+
+    out = subject_info(sessions, subjects, strain_to_nm, line_to_nm)
+    out = resolve_regions(out, descriptions, locations)
+    out = derive.session_length(derive.target_nm(derive.session_type(out)))
+    steps = ["subject_error", "region_error", "type_error", "target_error", "length_error"]
+    return out.withColumn("logged_errors", F.array_compact(F.array(*steps))).drop(*steps)
