@@ -307,7 +307,8 @@ def session_coefs(t):
 
 
 VAR_SQL = """se AS (SELECT l_linestatus AS event, l_suppkey % 10 AS subject, l_suppkey, regr_slope(l_extendedprice / 1000, l_quantity) AS b, sqrt(regr_syy(l_extendedprice / 1000, l_quantity) * (1 - regr_r2(l_extendedprice / 1000, l_quantity)) / (count(*) - 2) / regr_sxx(l_extendedprice / 1000, l_quantity)) AS s FROM lineitem GROUP BY ALL),
- z AS (SELECT event, subject, (b - avg(b) OVER w) / stddev_pop(b) OVER w AS z, s / stddev_pop(b) OVER w AS s FROM se WINDOW w AS (PARTITION BY event)), g AS (SELECT (i + 0.5) * 0.05 AS tau FROM (SELECT unnest(range(60)) AS i)),
+ big AS (SELECT event, subject FROM se GROUP BY ALL HAVING count(*) >= 5), ok AS (SELECT event FROM big GROUP BY event HAVING count(*) >= 4),
+ z AS (SELECT event, subject, (b - avg(b) OVER w) / stddev_pop(b) OVER w AS z, s / stddev_pop(b) OVER w AS s FROM se JOIN big USING (event, subject) JOIN ok USING (event) WINDOW w AS (PARTITION BY event)), g AS (SELECT (i + 0.5) * 0.05 AS tau FROM (SELECT unnest(range(60)) AS i)),
  m AS (SELECT event, subject, ts.tau AS ts, sum(1 / (s * s + ts.tau * ts.tau)) AS w, sum(z / (s * s + ts.tau * ts.tau)) AS wz, sum(z * z / (s * s + ts.tau * ts.tau)) AS wzz, sum(-ln(s * s + ts.tau * ts.tau)) AS l FROM z, g ts GROUP BY ALL),
  p AS (SELECT event, ts, tm.tau AS tm, sum(w / (1 + tm.tau * tm.tau * w)) AS a, sum(wz / (1 + tm.tau * tm.tau * w)) AS b, sum(wzz - tm.tau * tm.tau / (1 + tm.tau * tm.tau * w) * wz * wz) AS c, sum(l - ln(1 + tm.tau * tm.tau * w)) AS d FROM m, g tm GROUP BY ALL),
  lp AS (SELECT event, ts, tm, 0.5 * (d - ln(a + 1) + b * b / (a + 1) - c - ts * ts - tm * tm) AS lp FROM p), pp AS (SELECT event, ts, tm, exp(lp - max(lp) OVER (PARTITION BY event)) AS p FROM lp)"""
