@@ -395,7 +395,8 @@ def bleaching_tau(samples: DataFrame, keys: list[str], t: str, value: str, tau_m
     """Time constant of value = a + b exp(-t / tau): for a fixed tau a straight line.
 
     Every pass tries ``grid`` log-spaced taus with one-pass regression sums, keeps the
-    one with the least squared error and narrows the range around it.
+    one with the least unexplained share and narrows the range around it. Shares equal to nine
+    digits are ties, the smallest tau wins, so the order of the sums cannot decide.
     """
     lo = samples.select(*keys).distinct().select(*keys, F.lit(float(tau_min)).alias("__lo"), F.lit(float(tau_max)).alias("__hi"))
     best = None
@@ -404,7 +405,7 @@ def bleaching_tau(samples: DataFrame, keys: list[str], t: str, value: str, tau_m
         tried = tried.withColumn("__tau", F.col("__lo") * F.pow(F.col("__hi") / F.col("__lo"), F.col("__g") / (grid - 1)))
         x = F.exp(-F.col(t) / F.col("__tau"))
         fits = tried.groupBy(*keys, "__g", "__lo", "__hi", "__tau").agg(
-            (F.regr_syy(value, x) * (1 - F.regr_r2(value, x))).alias("__sse"))
+            F.round(1 - F.regr_r2(value, x), 9).alias("__sse"))
         best = fits.where(F.col("__sse").isNotNull()).groupBy(*keys).agg(
             F.min_by(F.struct("__tau", "__lo", "__hi"), F.struct("__sse", "__g")).alias("b"))
         step = F.pow(F.col("b.__hi") / F.col("b.__lo"), F.lit(1.0 / (grid - 1)))

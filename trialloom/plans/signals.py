@@ -157,7 +157,7 @@ def iso_correlation(t):
 
 def _tau_pass(rng: str, name: str) -> str:
     return f"""{name}t AS (SELECT s.eid, g, lo, hi, lo * pow(hi / lo, g / 23.0::DOUBLE) AS tau, value, exp(-t / (lo * pow(hi / lo, g / 23.0::DOUBLE))) AS x FROM signal s JOIN {rng} r USING (eid), (SELECT unnest(range(24)) AS g)),
- {name}f AS (SELECT eid, g, lo, hi, tau, regr_syy(value, x) * (1 - regr_r2(value, x)) AS sse FROM {name}t GROUP BY ALL),
+ {name}f AS (SELECT eid, g, lo, hi, tau, round(1 - regr_r2(value, x), 9) AS sse FROM {name}t GROUP BY ALL),
  {name} AS (SELECT eid, b.tau AS tau, b.tau / pow(b.hi / b.lo, 1 / 23.0::DOUBLE) AS lo, b.tau * pow(b.hi / b.lo, 1 / 23.0::DOUBLE) AS hi FROM
   (SELECT eid, arg_min(struct_pack(tau := tau, lo := lo, hi := hi), struct_pack(s := sse, g := g)) AS b FROM {name}f WHERE sse IS NOT NULL GROUP BY eid))"""
 
