@@ -99,11 +99,27 @@ def test_fills(spark):
 
 
 def test_fibers(spark):
-    fib = spark.createDataFrame([("a", "VTA", 0, -100.0), ("a", "SNc", 1, 50.0), ("b", "DR", 0, 10.0), ("b", "DR", 1, -10.0)], "subject string, region string, fiber long, x_ml double")
-    assert rows(rel.fiber_hemispheres(fib).fillna("none"), "subject", "region", "fiber_hemisphere") == [("a", "SNc", "r"), ("a", "VTA", "l"), ("b", "DR", "none")]
-    s = spark.createDataFrame([(1, "a", [], []), (2, "a", ["VTA"], [""]), (3, "b", [], []), (4, "c", [], []), (5, "a", ["LC"], [None])], "eid long, subject string, brain_region array<string>, hemisphere array<string>")
+    fib = spark.createDataFrame(
+        [("a", "NBM", 0, -1500.0), ("a", "SI", 1, 1200.0), ("b", "NBM", 0, -1500.0), ("b", "NBM", 1, 1500.0), ("c", "DR", 0, 0.0), ("d", "VTA", 0, 10.0), ("d", "VTA", 1, 0.0), ("e", "LC", 0, 0.0), ("e", "LC", 1, 9.0)],
+        "subject string, region string, fiber long, x_ml double")
+    assert rows(rel.fiber_hemispheres(fib).fillna("none"), "subject", "region", "fiber_hemisphere") == [
+        ("a", "NBM", "r"), ("a", "SI", "l"), ("b", "NBM", "none"), ("c", "DR", "none"), ("d", "VTA", "l"), ("e", "LC", "none")]
+    s = spark.createDataFrame(
+        [(1, "a", [], []), (2, "a", ["SI"], [""]), (3, "b", [], []), (4, "c", [], []), (5, "z", [], []), (6, "a", ["LC", "NBM-r"], [None, None]), (7, "a", None, None), (8, "b", ["NBM"], [None]), (9, "z", ["DR"], [None])],
+        "eid long, subject string, brain_region array<string>, hemisphere array<string>")
     got = {r["eid"]: (r["brain_region"], r["hemisphere"]) for r in rel.fill_regions_from_fibers(s, fib).collect()}
-    assert got[1] == (["VTA-l", "SNc-r"], ["l", "r"]) and got[2] == (["VTA"], ["l"]) and got[3] == (["DR"], [""]) and got[4] == ([], []) and got[5] == (["LC"], [""])
+    assert got[1] == (["NBM", "SI"], ["r", "l"]) and got[2] == (["SI"], ["l"]) and got[3] == (["NBM", "NBM"], ["", ""]) and got[4] == (["DR"], [""])
+    assert got[5] == ([], []) and got[6] == (["LC", "NBM-r"], ["", "r"]) and got[7] == (None, None) and got[8] == (["NBM"], [""]) and got[9] == (["DR"], [""])
+
+
+def test_hemisphere_rule_order(spark):
+    lookup = spark.createDataFrame([("a", "NBM", "r"), ("a", "DR", None)], "subject string, region string, fiber_hemisphere string")
+    s = spark.createDataFrame(
+        [(1, "a", ["NBM-l"], ["l"]), (2, "a", ["NBM"], [""]), (3, "a", ["DR"], [""]), (4, "a", ["DR-l"], ["l"]), (5, "a", ["VTA-l"], ["l"]), (6, "a", [], []), (7, "a", ["NBM-r"], ["r"]),
+         (8, "a", ["NBM-r", "NBM", "NBM-l"], ["r", None, "l"]), (9, "a", ["NBM"], None)],
+        "eid long, subject string, brain_region array<string>, hemisphere array<string>")
+    got = {r["eid"]: r["error_type"] for r in rules.hemisphere_errors(s, lookup).collect()}
+    assert got == {1: "HemisphereMismatch", 2: "MissingHemiSuffix", 3: "MissingInsertion", 4: "MissingInsertion", 5: "MissingInsertion", 6: "MissingHemisphere", 8: "MissingHemiSuffix", 9: "MissingHemisphere"}
 
 
 def test_duplicates(spark):

@@ -67,36 +67,37 @@ def fill_parallel_lists(df: DataFrame, columns: list[str], group: str) -> DataFr
 
 
 def hemisphere_of_fiber(ml: str) -> Column:
-    """Side of a fiber from the sign of its medio-lateral coordinate."""
-    return F.when(F.col(ml) < 0, "l").when(F.col(ml) > 0, "r")
+    """Side of a fiber from the sign of its medio-lateral coordinate: positive is left; null on the midline."""
+    return F.when(F.col(ml) > 0, "l").when(F.col(ml) < 0, "r")
 
 
 def fiber_hemispheres(fibers: DataFrame, ml: str = "x_ml") -> DataFrame:
-    """(subject, region) -> side; null when its fibers lie on both sides or the midline."""
+    """(subject, region) -> side of its first fiber, if its fibers off the midline lie on one side; else null."""
     side = hemisphere_of_fiber(ml)
-    return fibers.groupBy("subject", "region").agg(
-        F.when((F.min(side) == F.max(side)) & (F.count(side) == F.count(F.lit(1))), F.min(side)).alias("fiber_hemisphere"))
+    return fibers.groupBy("subject", "region").agg(F.when(F.min(side) == F.max(side), F.min_by(side, F.col("fiber"))).alias("fiber_hemisphere"))
 
 
 def fill_regions_from_fibers(sessions: DataFrame, fibers: DataFrame, ml: str = "x_ml") -> DataFrame:
-    """Empty region lists take the subject's fibers; missing sides come from (subject, region) when unambiguous.
+    """Empty region lists take all fibers of the subject in order; missing sides come from (subject, region).
 
-    A subject has a handful of fibers, and a list column holds them by definition.
+    Sides stay empty when the subject has several fibers in one region only, and a missing side stays
+    empty unless the region's fibers agree on one. Null lists stay as they are. A subject has a handful
+    of fibers, and a list column holds them by definition.
     """
-    side = hemisphere_of_fiber(ml)
-    both = F.count_distinct(side)
-    per_region = fibers.groupBy("subject", "region").agg(F.min("fiber").alias("fiber"), F.when(both == 1, F.min(side)).otherwise(F.lit("")).alias("side"))
-    lists = per_region.groupBy("subject").agg(F.sort_array(F.collect_list(F.struct("fiber", "region", "side"))).alias("__f"))
+    side = F.coalesce(hemisphere_of_fiber(ml), F.lit("")).alias("side")
+    lists = fibers.groupBy("subject").agg(F.sort_array(F.collect_list(F.struct("fiber", "region", side))).alias("__f"))
     j = skew_join(sessions, lists, ["subject"], "left")
-    empty = (F.coalesce(F.size("brain_region"), F.lit(0)) == 0) & F.col("__f").isNotNull()
-    named = F.transform("__f", lambda x: F.when(x["side"] == "", x["region"]).otherwise(F.concat(x["region"], F.lit("-"), x["side"])))
-    filled = j.withColumns({"brain_region": F.when(empty, named).otherwise(F.col("brain_region")),
-                            "hemisphere": F.when(empty, F.col("__f.side")).otherwise(F.col("hemisphere"))})
-    known = F.map_from_entries(F.transform("__f", lambda x: F.struct(x["region"], x["side"])))
-    second = F.transform(F.arrays_zip("brain_region", "hemisphere"), lambda z: F.when(
-        F.coalesce(z["hemisphere"], F.lit("")) == "",
-        F.coalesce(F.try_element_at(known, F.regexp_replace(z["brain_region"], "-[lr]$", "")), F.lit(""))).otherwise(z["hemisphere"]))
-    return filled.withColumn("hemisphere", F.when(F.col("__f").isNotNull() & (F.size("brain_region") > 0), second).otherwise(F.col("hemisphere"))).drop("__f")
+    empty = F.coalesce(F.size("brain_region") == 0, F.lit(False)) & F.col("__f").isNotNull()
+    same = (F.size("__f") > 1) & (F.size(F.array_distinct("__f.region")) == 1)
+    sides = F.transform("__f", lambda x: F.when(same, "").otherwise(x["side"]))
+    j = j.withColumns({"brain_region": F.when(empty, F.col("__f.region")).otherwise(F.col("brain_region")),
+                       "hemisphere": F.when(empty, sides).otherwise(F.col("hemisphere"))})
+    bare = lambda r: F.regexp_replace(r, "-[lr]$", "")
+    known = lambda r: F.array_distinct(F.transform(F.filter("__f", lambda x: x["region"] == bare(r)), lambda x: x["side"]))
+    agreed = lambda r: F.coalesce(F.when(F.size(known(r)) == 1, known(r)[0]), F.lit(""))
+    filled = F.transform("hemisphere", lambda h, i: F.when(F.coalesce(h, F.lit("")) != "", h).otherwise(
+        F.coalesce(agreed(F.get("brain_region", i)), F.lit(""))))
+    return j.withColumn("hemisphere", filled).drop("__f")
 
 
 def fiber_coordinates(insertions: DataFrame, trajectories: DataFrame, tips) -> DataFrame:

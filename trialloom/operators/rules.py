@@ -138,18 +138,23 @@ def catalog_rules(excluded, strains, lines, nms, targets, required_categories) -
 
 
 def hemisphere_errors(sessions: DataFrame, lookup: DataFrame) -> DataFrame:
-    """First hemisphere problem of a session: empty list, no suffix, no insertion, or mismatch with the fiber table.
+    """First hemisphere problem of a session: empty list; then, region by region, mismatch with the fiber
+    table, no insertion of a known side, or no suffix.
 
     ``lookup`` has (subject, region, fiber_hemisphere), null where the fibers disagree.
     """
-    listed = sessions.select("eid", "subject", F.posexplode_outer(F.arrays_zip("brain_region", "hemisphere")).alias("pos", "z"))
-    rows = listed.select("eid", "subject", "pos", F.col("z.brain_region").alias("region_side"), F.col("z.hemisphere").alias("hemi"))
+    shorter = F.least(F.size("brain_region"), F.size("hemisphere"))
+    pairs = F.when(F.size("hemisphere") > 0, F.slice(F.arrays_zip("brain_region", "hemisphere"), F.lit(1), F.coalesce(shorter, F.lit(0))))
+    empty = F.coalesce(F.size("hemisphere"), F.lit(0)) <= 0
+    listed = sessions.select("eid", "subject", empty.alias("empty"), F.posexplode_outer(pairs).alias("pos", "z"))
+    rows = listed.select("eid", "subject", "empty", "pos", F.col("z.brain_region").alias("region_side"), F.col("z.hemisphere").alias("hemi"))
     rows = rows.withColumn("region", F.regexp_replace("region_side", "-[lr]$", ""))
-    j = rows.join(lookup.withColumn("known", F.lit(True)), ["subject", "region"], "left")
-    kind = (F.when(F.col("pos").isNull(), "MissingHemisphere")
-            .when(F.coalesce("hemi", F.lit("")) == "", "AmbiguousHemisphere")
-            .when(F.col("known").isNull(), "MissingInsertion")
-            .when(F.col("fiber_hemisphere").isNotNull() & (F.col("fiber_hemisphere") != F.col("hemi")), "HemisphereMismatch"))
+    j = rows.join(lookup, ["subject", "region"], "left")
+    named = F.coalesce("hemi", F.lit("")) != ""
+    kind = (F.when(F.col("empty"), "MissingHemisphere").when(F.col("pos").isNull(), F.lit(None))
+            .when(named & (F.col("fiber_hemisphere") != F.col("hemi")), "HemisphereMismatch")
+            .when(F.col("fiber_hemisphere").isNull(), "MissingInsertion")
+            .when(~named, "MissingHemiSuffix"))
     bad = j.withColumn("error_type", kind).where(F.col("error_type").isNotNull())
     return bad.groupBy("eid").agg(F.min_by(F.struct("error_type", F.coalesce("region_side", F.lit("")).alias("error_message")),
                                            F.coalesce("pos", F.lit(-1))).alias("e")).select(

@@ -447,7 +447,8 @@ def validate_parallel_lists(t):
 
 
 def rule_input(t):
-    s = t.sessions.select("eid", "brain_region", "NM", F.when(F.col("subject") % 97 == 0, "test_mouse").otherwise(F.col("subject").cast("string")).alias("subject"),
+    regions = F.when(F.col("eid") % 14 == 0, F.concat("brain_region", F.array(F.lit("XYZ-l")))).otherwise(F.col("brain_region")).alias("brain_region")
+    s = t.sessions.select("eid", regions, "NM", F.when(F.col("subject") % 97 == 0, "test_mouse").otherwise(F.col("subject").cast("string")).alias("subject"),
                           F.when(F.col("eid") % 15 == 0, "wild").otherwise("C57BL/6J").alias("strain"), F.when(F.col("eid") % 21 == 0, None).otherwise("Ai148xDat").alias("line"),
                           F.when(F.col("eid") % 10 == 0, F.array(F.lit("alf/_ibl_trials.table.pqt"))).otherwise(
                               F.array(F.lit("alf/task_00/_ibl_trials.table.pqt"), F.lit("alf/_ibl_wheel.position.npy"))).alias("datasets"))
@@ -456,7 +457,8 @@ def rule_input(t):
 
 @query("catalog_errors", with_sql(SESSIONS_SQL, """SELECT eid, 'InvalidSubject' AS error_type, 'test_mouse' AS error_message FROM sessions WHERE subject % 97 = 0
  UNION ALL SELECT eid, 'InvalidStrain', 'wild' FROM sessions WHERE eid % 15 = 0 UNION ALL SELECT eid, 'InvalidLine', 'none' FROM sessions WHERE eid % 21 = 0
- UNION ALL SELECT eid, 'InvalidNeuromodulator', NM FROM sessions WHERE NM = 'XX' UNION ALL SELECT eid, 'MissingBrainRegion', 'no region' FROM sessions WHERE len(brain_region) = 0
+ UNION ALL SELECT eid, 'InvalidNeuromodulator', NM FROM sessions WHERE NM = 'XX' UNION ALL SELECT eid, 'MissingBrainRegion', 'no region' FROM sessions WHERE len(brain_region) = 0 AND eid % 14 <> 0
+ UNION ALL SELECT eid, 'InvalidBrainRegion', 'XYZ' FROM sessions WHERE eid % 14 = 0
  UNION ALL SELECT eid, 'MissingDatasets', 'extracted_wheel' FROM sessions WHERE eid % 10 = 0"""))
 def catalog_errors(t):
     r = rules.catalog_rules(K.EXCLUDED_SUBJECTS, K.VALID_STRAINS, K.VALID_LINES, K.VALID_NEUROMODULATORS, K.VALID_TARGETS, ["extracted_task", "extracted_wheel"])
@@ -464,16 +466,17 @@ def catalog_errors(t):
 
 
 def fibers(t):
-    """Fiber table: every customer has two insertions in regions that follow from its key."""
+    """Fiber table: every customer has three insertions, some in one region, some on the midline."""
     targets = F.array(*[F.lit(x) for x in K.VALID_TARGETS])
-    both = t["customer"].select(F.col("c_custkey").alias("subject"), "c_acctbal", F.explode(F.sequence(F.lit(0), F.lit(1))).alias("fiber"))
-    return both.select("subject", "fiber", F.element_at(targets, ((F.col("subject") + F.col("fiber") * (F.col("subject") % 3)) % 8 + 1).cast("int")).alias("region"),
-                       F.when((F.col("subject") + F.col("fiber")) % 2 == 0, -F.abs("c_acctbal")).otherwise(F.abs("c_acctbal")).alias("x_ml"))
+    rows = t["customer"].select(F.col("c_custkey").alias("subject"), "c_acctbal", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("fiber"))
+    return rows.select("subject", "fiber", F.element_at(targets, ((F.col("subject") + F.col("fiber") * (F.col("subject") % 3)) % 8 + 1).cast("int")).alias("region"),
+                       F.expr("CASE WHEN (subject + fiber) % 5 = 0 THEN 0D WHEN (subject + fiber * (subject % 4)) % 2 = 0 THEN -abs(c_acctbal) ELSE abs(c_acctbal) END").alias("x_ml"))
 
 
 FIBERS_SQL = """fibers AS (SELECT c_custkey AS subject, fiber, ['VTA','SNc','DR','MR','LC','NBM','SI','PPT'][CAST((c_custkey + fiber * (c_custkey % 3)) % 8 AS INT) + 1] AS region,
- CASE WHEN (c_custkey + fiber) % 2 = 0 THEN -abs(c_acctbal) ELSE abs(c_acctbal) END AS x_ml FROM customer, (SELECT unnest([0, 1]) AS fiber))"""
-HEMI_SQL = FIBERS_SQL + """, fh AS (SELECT subject, region, CASE WHEN count(DISTINCT CASE WHEN x_ml < 0 THEN 'l' WHEN x_ml > 0 THEN 'r' END) = 1 AND count(CASE WHEN x_ml <> 0 THEN 1 END) = count(*) THEN min(CASE WHEN x_ml < 0 THEN 'l' ELSE 'r' END) END AS fiber_hemisphere FROM fibers GROUP BY subject, region)"""
+ CASE WHEN (c_custkey + fiber) % 5 = 0 THEN 0 WHEN (c_custkey + fiber * (c_custkey % 4)) % 2 = 0 THEN -abs(c_acctbal) ELSE abs(c_acctbal) END AS x_ml FROM customer, (SELECT unnest([0, 1, 2]) AS fiber)),
+ sided AS (SELECT *, CASE WHEN x_ml > 0 THEN 'l' WHEN x_ml < 0 THEN 'r' END AS side FROM fibers)"""
+HEMI_SQL = FIBERS_SQL + """, fh AS (SELECT subject, region, CASE WHEN count(DISTINCT side) = 1 THEN list(side ORDER BY fiber)[1] END AS fiber_hemisphere FROM sided GROUP BY subject, region)"""
 
 
 @query("fiber_hemispheres", with_sql(HEMI_SQL, "SELECT subject, region, fiber_hemisphere FROM fh"))
@@ -481,11 +484,12 @@ def fiber_hemispheres(t):
     return rel.fiber_hemispheres(fibers(t))
 
 
-@query("hemisphere_errors", with_sql(SESSIONS_SQL + ", " + HEMI_SQL, """, p AS (SELECT eid, subject, unnest(brain_region) AS rs, unnest(hemisphere) AS hemi, unnest(range(greatest(len(brain_region), len(hemisphere)))) AS pos FROM sessions),
- j AS (SELECT p.*, fh.region IS NOT NULL AS known, fiber_hemisphere AS f FROM p LEFT JOIN fh ON p.subject = fh.subject AND fh.region = regexp_replace(rs, '-[lr]$', '')),
- e AS (SELECT eid, pos, rs, CASE WHEN coalesce(hemi, '') = '' THEN 'AmbiguousHemisphere' WHEN NOT known THEN 'MissingInsertion' WHEN f IS NOT NULL AND f <> hemi THEN 'HemisphereMismatch' END AS k FROM j),
+@query("hemisphere_errors", with_sql(SESSIONS_SQL + ", " + HEMI_SQL, """, p AS (SELECT eid, subject, brain_region[i] AS rs, hemisphere[i] AS hemi, i AS pos FROM (SELECT eid, subject, brain_region, hemisphere,
+  unnest(range(1, least(len(brain_region), len(hemisphere)) + 1)) AS i FROM sessions)),
+ j AS (SELECT p.*, fiber_hemisphere AS f FROM p LEFT JOIN fh ON p.subject = fh.subject AND fh.region = regexp_replace(rs, '-[lr]$', '')),
+ e AS (SELECT eid, pos, rs, CASE WHEN hemi <> '' AND f <> hemi THEN 'HemisphereMismatch' WHEN f IS NULL THEN 'MissingInsertion' WHEN coalesce(hemi, '') = '' THEN 'MissingHemiSuffix' END AS k FROM j),
  first AS (SELECT eid, arg_min(k, pos) AS error_type, arg_min(coalesce(rs, ''), pos) AS error_message FROM e WHERE k IS NOT NULL GROUP BY eid)
- SELECT * FROM first UNION ALL SELECT eid, 'MissingHemisphere', '' FROM sessions WHERE greatest(len(brain_region), len(hemisphere)) = 0"""))
+ SELECT * FROM first UNION ALL SELECT eid, 'MissingHemisphere', '' FROM sessions WHERE coalesce(len(hemisphere), 0) = 0"""))
 def hemisphere_errors(t):
     return rules.hemisphere_errors(t.sessions, rel.fiber_hemispheres(fibers(t))).drop("traceback")
 
@@ -641,12 +645,13 @@ def fill_parallel_lists(t):
     return out.select("eid", joined("regions").alias("regions"), joined("sides").alias("sides"))
 
 
-@query("fill_regions_from_fibers", with_sql(SESSIONS_SQL + ", " + FIBERS_SQL, """, pr AS (SELECT subject, region, min(fiber) AS fiber, CASE WHEN count(DISTINCT CASE WHEN x_ml < 0 THEN 'l' WHEN x_ml > 0 THEN 'r' END) = 1 THEN min(CASE WHEN x_ml < 0 THEN 'l' WHEN x_ml > 0 THEN 'r' END) ELSE '' END AS side FROM fibers GROUP BY subject, region),
- fl AS (SELECT subject, list(region ORDER BY fiber, region) AS rg, list(side ORDER BY fiber, region) AS sd FROM pr GROUP BY subject),
- x AS (SELECT eid, rg, sd, CASE WHEN len(brain_region) = 0 AND rg IS NOT NULL THEN list_transform(rg, lambda r, i: CASE WHEN sd[i] = '' THEN r ELSE r || '-' || sd[i] END) ELSE brain_region END AS brain_region,
-  CASE WHEN len(brain_region) = 0 AND rg IS NOT NULL THEN sd ELSE hemisphere END AS hemisphere FROM sessions LEFT JOIN fl USING (subject))
- SELECT eid, array_to_string(brain_region, ',') AS brain_region, array_to_string(CASE WHEN rg IS NOT NULL AND len(brain_region) > 0 THEN list_transform(range(1, greatest(len(brain_region), len(hemisphere)) + 1), lambda i: CASE WHEN coalesce(hemisphere[i], '') = ''
-  THEN coalesce(sd[list_position(rg, regexp_replace(brain_region[i], '-[lr]$', ''))], '') ELSE hemisphere[i] END) ELSE hemisphere END, ',') AS hemisphere FROM x"""))
+@query("fill_regions_from_fibers", with_sql(SESSIONS_SQL + ", " + FIBERS_SQL, """, fl AS (SELECT subject, list(region ORDER BY fiber) AS rg, list(coalesce(side, '') ORDER BY fiber) AS sd,
+  CASE WHEN count(DISTINCT region) = 1 AND count(*) > 1 THEN list_transform(list(region), lambda r: '') ELSE list(coalesce(side, '') ORDER BY fiber) END AS shown FROM sided GROUP BY subject),
+ x AS (SELECT eid, rg, sd, CASE WHEN len(brain_region) = 0 AND rg IS NOT NULL THEN rg ELSE brain_region END AS brain_region,
+  CASE WHEN len(brain_region) = 0 AND rg IS NOT NULL THEN shown ELSE hemisphere END AS hemisphere FROM sessions LEFT JOIN fl USING (subject))
+ SELECT eid, array_to_string(brain_region, ',') AS brain_region, array_to_string(list_transform(hemisphere, lambda h, i: CASE WHEN coalesce(h, '') <> '' THEN h
+  WHEN len(list_distinct(list_filter(sd, lambda v, k: rg[k] = regexp_replace(brain_region[i], '-[lr]$', '')))) = 1
+  THEN list_filter(sd, lambda v, k: rg[k] = regexp_replace(brain_region[i], '-[lr]$', ''))[1] ELSE '' END), ',') AS hemisphere FROM x"""))
 def fill_regions_from_fibers(t):
     out = rel.fill_regions_from_fibers(t.sessions, fibers(t))
     return out.select("eid", joined("brain_region").alias("brain_region"), joined("hemisphere").alias("hemisphere"))
