@@ -147,16 +147,42 @@ def test_permutation_p(spark):
         linear.synchronized_pvalues(ragged, two, ["k"], "s", "i", "v").collect()
 
 
-def test_session_permutation_counts_draws(spark):
-    rng = np.random.default_rng(0)
-    rows = pd.concat([pd.DataFrame({"g": "x", "u": i, "rk": np.arange(30), "y": rng.normal(size=30), "x": rng.normal(size=30)}) for i in range(4)]
-                     + [pd.DataFrame({"g": "alone", "u": 9, "rk": np.arange(30), "y": rng.normal(size=30), "x": rng.normal(size=30)})])
-    p = linear.session_permutation_test(spark.createDataFrame(rows), ["g"], "u", "rk", "y", "x", "r2", 500, seed=3).toPandas().set_index("u")
-    assert (p.loc[[0, 1, 2, 3], "n_draws"] == 500).all()
-    assert p.loc[9, "error"] == "no donor sessions" and np.isnan(p.loc[9, "p_value"])
-    pairs = linear.pair_regressions(spark.createDataFrame(rows), ["g"], "u", "rk", "y", "x").toPandas()
-    share = (pairs[pairs.u == 0]["r2"] >= p.loc[0, "observed"]).mean()
-    assert abs(p.loc[0, "p_value"] - share) < 0.12
+def swap_units(n, alone=True, slope=0.0, seed=0):
+    rng = np.random.default_rng(seed)
+    parts = []
+    for i in range(n):
+        x = rng.normal(size=30)
+        parts.append(pd.DataFrame({"g": "x", "u": i, "rk": np.arange(30), "y": slope * x + rng.normal(size=30), "x": x}))
+    if alone:
+        parts.append(pd.DataFrame({"g": "alone", "u": 99, "rk": np.arange(30), "y": rng.normal(size=30), "x": rng.normal(size=30)}))
+    return pd.concat(parts)
+
+
+@pytest.mark.parametrize("units, n_iter", [(4, 500), (40, 8)])
+def test_session_permutation_draws(spark, units, n_iter):
+    rows = swap_units(units)
+    df = spark.createDataFrame(rows)
+    p = linear.session_permutation_test(df, ["g"], "u", "rk", "y", "x", "r2", n_iter, seed=3).toPandas().set_index("u")
+    assert (p.loc[list(range(units)), "null_r2"].map(len) == n_iter).all() and np.isclose(p.loc[0, "observed_r2"], np.corrcoef(rows[rows.u == 0].x, rows[rows.u == 0].y)[0, 1] ** 2)
+    assert p.loc[99, "error"] == "no donor sessions" and np.isnan(p.loc[99, "p_value"])
+    pairs = linear.pair_regressions(df, ["g"], "u", "rk", "y", "x").toPandas()
+    all_r2 = pairs[pairs.u == 0]["r2"].to_numpy()
+    assert all(np.isclose(all_r2, v).any() for v in p.loc[0, "null_r2"])
+
+
+def test_session_permutation_tails(spark):
+    df = spark.createDataFrame(swap_units(12, alone=False, slope=3.0))
+    p = {a: linear.session_permutation_test(df, [], "u", "rk", "y", "x", "slope", 199, seed=1, alternative=a).toPandas() for a in ("greater", "less", "two-sided")}
+    assert (p["greater"]["p_value"] == 0.005).all() and (p["less"]["p_value"] == 1.0).all() and (p["two-sided"]["p_value"] == 0.01).all()
+    with pytest.raises(ValueError):
+        linear.session_permutation_test(df, [], "u", "rk", "y", "x", "slope", 9, alternative="both")
+
+
+def test_session_permutation_logistic(spark):
+    rows = swap_units(6, alone=False, slope=2.0)
+    rows["k"] = (rows["y"] > 0).astype(float)
+    p = linear.session_permutation_test(spark.createDataFrame(rows), ["g"], "u", "rk", "k", "x", "pseudo_r2", 50, alternative="greater", model="logistic").toPandas()
+    assert (p["p_value"] < 0.2).all() and (p["observed_slope"] > 0).all() and p["error"].isna().all()
 
 
 def test_tails():

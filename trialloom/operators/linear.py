@@ -238,26 +238,74 @@ def pair_regressions(rows: DataFrame, group: list[str], unit: str, rank: str, fi
                     F.when(ok, cxy * cxy / F.when(ok, cxx * cyy)).alias("r2"))
 
 
-def session_permutation_test(rows: DataFrame, group: list[str], unit: str, rank: str, fixed: str, swapped: str, statistic: str,
-                             n_iter: int, seed: int = 0, alternative: str = "greater") -> DataFrame:
-    """Session-swap test of a regression statistic with ``n_iter`` random donors per unit.
+def _packed(rows: DataFrame, group: list[str], unit: str, rank: str, column: str, name: str, chunk: int = 512) -> DataFrame:
+    """One column of every unit as arrays over chunks of ranks; ranks count from 0 without gaps."""
+    part = F.floor(F.col(rank) / chunk).alias("__c")
+    held = F.sort_array(F.collect_list(F.struct(F.col(rank).alias("r"), F.col(column).cast("double").alias("v"))))
+    return rows.groupBy(*group, F.col(unit).alias(name), part).agg(held.alias(f"__{name}"))
+
+
+def _pair_rows(rows: DataFrame, pairs: DataFrame, group: list[str], unit: str, rank: str, fixed: str, swapped: str) -> DataFrame:
+    """(group, unit, donor, y, x) rows of the given pairs, each cut to the shorter unit."""
+    f, d = _packed(rows, group, unit, rank, fixed, unit), _packed(rows, group, unit, rank, swapped, "donor")
+    j = pairs.join(f, [*group, unit]).join(d, [*group, "donor", "__c"])
+    shorter = F.least(F.size(f"__{unit}"), F.size("__donor"))
+    both = F.slice(F.arrays_zip(F.col(f"__{unit}.v").alias("y"), F.col("__donor.v").alias("x")), F.lit(1), shorter)
+    return j.select(*group, unit, "donor", F.inline(both))
+
 
-    A draw is a hash of (unit, iteration, seed) over the unit's donors; each distinct pair is fitted
-    once and counted as often as it was drawn. A unit without donors gets an error text.
+def tail_pvalue(null: str, observed: str, alternative: str) -> Column:
+    """Add-one p of a row's observed value against its array of draws; draws without a value count in n."""
+    share = lambda op: (F.size(F.filter(null, op)) + 1) / (F.size(null) + 1)
+    up, down = share(lambda v: v >= F.col(observed)), share(lambda v: v <= F.col(observed))
+    if alternative not in ("greater", "less", "two-sided"):
+        raise ValueError(f"unknown alternative {alternative!r}")
+    return {"greater": up, "less": down, "two-sided": F.least(F.lit(1.0), 2 * F.least(up, down))}[alternative]
+
+
+def session_permutation_test(rows: DataFrame, group: list[str], unit: str, rank: str, fixed: str, swapped: str, statistic: str,
+                             n_iter: int, seed: int = 0, alternative: str = "two-sided", model: str = "linear") -> DataFrame:
+    """Session-swap test of a regression of ``fixed`` on ``swapped`` with ``n_iter`` random donors per unit.
+
+    Donors are drawn first (a hash of unit, draw and seed over the other units of the group), each
+    distinct pair is fitted once, so at most n_iter pairs per unit are formed; where the draws touch
+    most pairs anyway, all of them come from block products. ``model`` is linear (slope, r2) or logistic
+    (intercept, slope, pseudo_r2; ``fixed`` is 0 or 1). An empty ``group`` pools all units.
+    Output per unit: p_value, error, and observed_<k> and null_<k> (in draw order) of every quantity.
     """
-    pairs = cut_lineage(pair_regressions(rows, group, unit, rank, fixed, swapped).where(F.col(statistic).isNotNull()))
-    ordered = pairs.withColumn("__i", F.row_number().over(W.partitionBy(*group, unit).orderBy("donor")) - 1)
-    n = pairs.groupBy(*group, unit).agg(F.count(F.lit(1)).alias("__nd"))
-    draws = n.withColumn("__it", F.explode(F.sequence(F.lit(1), F.lit(n_iter)))).select(
-        *group, unit, F.pmod(F.xxhash64(unit, "__it", F.lit(seed)), F.col("__nd")).cast("int").alias("__i")).groupBy(*group, unit, "__i").agg(
-        F.count(F.lit(1)).alias("__times"))
-    obs = rows.groupBy(*group, unit).agg(F.regr_slope(fixed, swapped).alias("slope"), F.regr_r2(fixed, swapped).alias("r2"))
-    obs = obs.select(*group, unit, F.col(statistic).alias("observed"))
-    drawn = ordered.join(draws, [*group, unit, "__i"]).join(obs, [*group, unit])
-    hit = F.col(statistic) >= F.col("observed") if alternative == "greater" else F.col(statistic) <= F.col("observed")
-    p = drawn.groupBy(*group, unit).agg(
-        ((F.sum(F.when(hit, F.col("__times")).otherwise(0)) + 1) / (F.sum("__times") + 1)).alias("p_value"), F.sum("__times").alias("n_draws"))
-    return obs.join(p, [*group, unit], "left").withColumn("error", F.when(F.col("p_value").isNull(), "no donor sessions"))
+    stats = {"linear": ["slope", "r2"], "logistic": ["intercept", "slope", "pseudo_r2"]}[model]
+    if statistic not in stats:
+        raise KeyError(statistic)
+    p_value = tail_pvalue(f"null_{statistic}", f"observed_{statistic}", alternative)
+    pool = list(group) or ["__pool"]
+    rows = rows if group else rows.withColumn("__pool", F.lit(0))
+    w = W.partitionBy(*pool)
+    units = cut_lineage(rows.select(*pool, unit).distinct().select(
+        *pool, unit, (F.row_number().over(w.orderBy(unit)) - 1).alias("__i"), F.count(F.lit(1)).over(w).alias("__n")))
+    hashed = F.conv(F.substring(F.md5(F.concat_ws("|", unit, "it", F.lit(seed)).cast("binary")), 1, 15), 16, 10).cast("long") % (F.col("__n") - 1)
+    draws = units.where("__n > 1").withColumn("it", F.explode(F.sequence(F.lit(1), F.lit(n_iter)))).withColumn("__h", hashed)
+    draws = draws.withColumn("__j", F.col("__h") + F.when(F.col("__h") >= F.col("__i"), 1).otherwise(0))
+    draws = cut_lineage(draws.join(units.select(*pool, F.col("__i").alias("__j"), F.col(unit).alias("donor")), [*pool, "__j"]).select(*pool, unit, "it", "donor"))
+    pairs = cut_lineage(draws.select(*pool, unit, "donor").distinct())
+    every = units.where("__n > 1").agg(F.sum(F.col("__n") - 1)).first()[0] or 0
+    if model == "logistic":
+        fits = logistic_fit(_pair_rows(rows, pairs, pool, unit, rank, fixed, swapped), [*pool, unit, "donor"], "x", "y")
+        seen = logistic_fit(rows, [*pool, unit], swapped, fixed)
+    else:
+        seen = rows.groupBy(*pool, unit).agg(F.regr_slope(fixed, swapped).alias("slope"), F.regr_r2(fixed, swapped).alias("r2"))
+        if 2 * pairs.count() > every:
+            fits = pair_regressions(rows, pool, unit, rank, fixed, swapped)
+        else:
+            fits = _pair_rows(rows, pairs, pool, unit, rank, fixed, swapped).groupBy(*pool, unit, "donor").agg(
+                F.regr_slope("y", "x").alias("slope"), F.regr_r2("y", "x").alias("r2"))
+    drawn = draws.join(fits.select(*pool, unit, "donor", *stats), [*pool, unit, "donor"], "left")
+    null = drawn.groupBy(*pool, unit).agg(F.sort_array(F.collect_list(F.struct("it", *stats))).alias("__d"))
+    null = null.select(*pool, unit, *[F.col(f"__d.{k}").alias(f"null_{k}") for k in stats])
+    seen = units.select(*pool, unit).join(seen, [*pool, unit], "left").select(*pool, unit, *[F.col(k).alias(f"observed_{k}") for k in stats])
+    out = seen.join(null, [*pool, unit], "left")
+    alone = F.when(F.col(f"null_{statistic}").isNull(), "no donor sessions").when(F.col(f"observed_{statistic}").isNull(), "stat: no value")
+    p = F.when(F.col(f"null_{statistic}").isNotNull() & F.col(f"observed_{statistic}").isNotNull(), p_value)
+    return out.withColumn("p_value", p).withColumn("error", alone).drop("__pool")
 
 
 def logistic_fit(rows: DataFrame, keys: list[str], x: str, y: str, steps: int = 8) -> DataFrame:

@@ -133,7 +133,7 @@ def catalog_rules(excluded, strains, lines, nms, targets, required_categories) -
         ("InvalidNeuromodulator", not_in("NM", nms), F.coalesce("NM", F.lit("none"))),
         ("MissingBrainRegion", F.coalesce(F.size("brain_region"), F.lit(0)) == 0, F.lit("no region")),
         ("InvalidBrainRegion", F.size(unknown) > 0, F.array_join(unknown, ",")),
-        ("MissingDatasets", F.size(missing) > 0, F.array_join(missing, ",")),
+        ("DataNotListed", F.size(missing) > 0, F.array_join(missing, ",")),
     ]
 
 
@@ -183,10 +183,10 @@ def video_rules(length: str, timestamps: str, dropped: str, pin: str) -> list[Ru
     """Signed length difference (null passes) and three verdicts that must be PASS."""
     must_pass = lambda col: ~F.col(col).eqNullSafe(F.lit("PASS"))
     return [
-        ("VideoLengthMismatch", F.coalesce(F.col(length) >= LENGTH_MISMATCH_SECONDS, F.lit(False)), F.col(length)),
-        ("VideoTimestampsQC", must_pass(timestamps), F.coalesce(timestamps, F.lit("none"))),
-        ("VideoDroppedFramesQC", must_pass(dropped), F.coalesce(dropped, F.lit("none"))),
-        ("VideoPinStateQC", must_pass(pin), F.coalesce(pin, F.lit("none"))),
+        ("VideoLengthError", F.coalesce(F.col(length) >= LENGTH_MISMATCH_SECONDS, F.lit(False)), F.col(length)),
+        ("VideoTimestampsQCError", must_pass(timestamps), F.coalesce(timestamps, F.lit("none"))),
+        ("VideoDroppedFramesQCError", must_pass(dropped), F.coalesce(dropped, F.lit("none"))),
+        ("VideoPinStateQCError", must_pass(pin), F.coalesce(pin, F.lit("none"))),
     ]
 
 
@@ -290,14 +290,15 @@ def source_presence(sessions: DataFrame, extracted: DataFrame, raw: DataFrame, k
 
 # Error names and whether one ends a session's processing.
 ERROR_SEVERITY = {
-    "MissingExtractedData": "fatal", "MissingRawData": "fatal", "InsufficientTrials": "fatal", "IncompleteEventTimes": "fatal",
-    "TrialsNotInPhotometryTime": "fatal", "QCValidationError": "fatal", "AmbiguousRegionMapping": "fatal", "MissingBlockInfo": "fatal",
-    "TrueDuplicateSession": "logged", "InvalidSubject": "logged", "InvalidStrain": "logged", "InvalidLine": "logged",
-    "InvalidNeuromodulator": "logged", "InvalidTargetNM": "logged", "InvalidSessionType": "logged", "InvalidSessionLength": "logged",
-    "MissingBrainRegion": "logged", "InvalidBrainRegion": "logged", "MissingHemisphere": "logged", "AmbiguousHemisphere": "logged",
-    "MissingInsertion": "logged", "HemisphereMismatch": "logged", "MissingDatasets": "logged", "FewUniqueSamples": "logged",
-    "BlockStructureBug": "logged", "VideoLengthMismatch": "logged", "VideoTimestampsQC": "logged",
-    "VideoDroppedFramesQC": "logged", "VideoPinStateQC": "logged", "MissingVideoTimestamps": "logged",
+    "InvalidSubject": "logged", "InvalidStrain": "logged", "InvalidLine": "logged", "InvalidNeuromodulator": "logged",
+    "InvalidBrainRegion": "logged", "MissingBrainRegion": "logged", "MissingHemisphere": "logged", "HemisphereMismatch": "logged",
+    "MissingInsertion": "logged", "MissingHemiSuffix": "logged", "DataNotListed": "logged", "InvalidSessionType": "logged",
+    "InvalidTargetNM": "logged", "InvalidSessionLength": "logged", "TrueDuplicateSession": "logged", "MissingExtractedData": "fatal",
+    "MissingResponses": "logged", "MissingRawData": "fatal", "MissingLP": "logged", "InsufficientTrials": "fatal",
+    "BlockStructureBug": "logged", "MissingBlockInfo": "fatal", "IncompleteEventTimes": "fatal", "TrialsNotInPhotometryTime": "fatal",
+    "BandInversion": "logged", "EarlySamples": "logged", "FewUniqueSamples": "logged", "QCValidationError": "fatal",
+    "AmbiguousRegionMapping": "fatal", "MissingVideoTimestamps": "logged", "VideoLengthError": "logged", "VideoTimestampsQCError": "logged",
+    "VideoDroppedFramesQCError": "logged", "VideoPinStateQCError": "logged", "MissingMotionEnergy": "logged",
 }
 
 

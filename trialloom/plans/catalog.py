@@ -459,7 +459,7 @@ def rule_input(t):
  UNION ALL SELECT eid, 'InvalidStrain', 'wild' FROM sessions WHERE eid % 15 = 0 UNION ALL SELECT eid, 'InvalidLine', 'none' FROM sessions WHERE eid % 21 = 0
  UNION ALL SELECT eid, 'InvalidNeuromodulator', NM FROM sessions WHERE NM = 'XX' UNION ALL SELECT eid, 'MissingBrainRegion', 'no region' FROM sessions WHERE len(brain_region) = 0 AND eid % 14 <> 0
  UNION ALL SELECT eid, 'InvalidBrainRegion', 'XYZ' FROM sessions WHERE eid % 14 = 0
- UNION ALL SELECT eid, 'MissingDatasets', 'extracted_wheel' FROM sessions WHERE eid % 10 = 0"""))
+ UNION ALL SELECT eid, 'DataNotListed', 'extracted_wheel' FROM sessions WHERE eid % 10 = 0"""))
 def catalog_errors(t):
     r = rules.catalog_rules(K.EXCLUDED_SUBJECTS, K.VALID_STRAINS, K.VALID_LINES, K.VALID_NEUROMODULATORS, K.VALID_TARGETS, ["extracted_task", "extracted_wheel"])
     return rules.error_rows(rule_input(t), r).drop("traceback")
@@ -506,8 +506,8 @@ def session_rule_errors(t):
     return rules.error_rows(j, rules.session_rules(["goCue_times"], 65, 0.8)).select("eid", "error_type")
 
 
-@query("video_rule_errors", """SELECT doc_id AS eid, 'VideoLengthMismatch' AS error_type FROM documents WHERE n_chars > 2120 UNION ALL SELECT doc_id, 'VideoTimestampsQC' FROM documents WHERE lang <> 'en'
- UNION ALL SELECT doc_id, 'VideoDroppedFramesQC' FROM documents WHERE doc_id % 5 = 0 UNION ALL SELECT doc_id, 'VideoPinStateQC' FROM documents WHERE source <> 'src1'""")
+@query("video_rule_errors", """SELECT doc_id AS eid, 'VideoLengthError' AS error_type FROM documents WHERE n_chars > 2120 UNION ALL SELECT doc_id, 'VideoTimestampsQCError' FROM documents WHERE lang <> 'en'
+ UNION ALL SELECT doc_id, 'VideoDroppedFramesQCError' FROM documents WHERE doc_id % 5 = 0 UNION ALL SELECT doc_id, 'VideoPinStateQCError' FROM documents WHERE source <> 'src1'""")
 def video_rule_errors(t):
     d = t["documents"].select(F.col("doc_id").alias("eid"), (F.col("n_chars") - 2000.5).alias("len"), F.when(F.col("lang") == "en", "PASS").otherwise("FAIL").alias("ts"),
                               F.when(F.col("doc_id") % 5 != 0, "PASS").alias("dr"), F.when(F.col("source") == "src1", "PASS").otherwise("WARNING").alias("pin"))

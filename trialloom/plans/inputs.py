@@ -82,7 +82,7 @@ SESSION_COLUMNS = [
     "transform(slice(sequence(1, 3), 1, CAST(CASE WHEN o_orderkey % 29 = 0 THEN 1 ELSE o_orderkey % 4 END AS int)), i -> "
     "element_at(array('l','r',''), CAST((o_orderkey + i) % 3 AS int) + 1)) AS hemisphere",
     "CASE WHEN o_orderkey % 23 = 0 THEN 'XX' ELSE element_at(array('DA','5HT','NE','ACh'), CAST(o_custkey % 4 AS int) + 1) END AS NM",
-    "CASE WHEN o_orderkey % 5 = 0 THEN 'InsufficientTrials' WHEN o_orderkey % 7 = 0 THEN 'VideoLengthMismatch' END AS error_type",
+    "CASE WHEN o_orderkey % 5 = 0 THEN 'InsufficientTrials' WHEN o_orderkey % 7 = 0 THEN 'VideoLengthError' END AS error_type",
     "CASE WHEN o_orderkey % 6 = 0 THEN array(0.0D, 6.25D, 12.5D, 25.0D, 50.0D, 100.0D) ELSE array(100.0D, 25.0D, 12.5D, 6.25D, 0.0D) END AS contrasts",
     "o_totalprice AS price", "o_orderpriority AS priority",
 ]
@@ -130,7 +130,7 @@ SESSIONS_SQL = f"""sessions AS (SELECT o_orderkey AS eid, o_custkey AS subject,
  list_transform(range(1, CAST(o_orderkey % 4 + 1 AS BIGINT)), lambda i: {_T}[CAST((o_custkey + i) % 8 AS INT) + 1] || ['-l','-r',''][CAST((o_orderkey + i) % 3 AS INT) + 1]) AS brain_region,
  list_transform(range(1, CAST(CASE WHEN o_orderkey % 29 = 0 THEN 2 ELSE o_orderkey % 4 + 1 END AS BIGINT)), lambda i: ['l','r',''][CAST((o_orderkey + i) % 3 AS INT) + 1]) AS hemisphere,
  CASE WHEN o_orderkey % 23 = 0 THEN 'XX' ELSE ['DA','5HT','NE','ACh'][CAST(o_custkey % 4 AS INT) + 1] END AS NM,
- CASE WHEN o_orderkey % 5 = 0 THEN 'InsufficientTrials' WHEN o_orderkey % 7 = 0 THEN 'VideoLengthMismatch' END AS error_type,
+ CASE WHEN o_orderkey % 5 = 0 THEN 'InsufficientTrials' WHEN o_orderkey % 7 = 0 THEN 'VideoLengthError' END AS error_type,
  CASE WHEN o_orderkey % 6 = 0 THEN [0.0, 6.25, 12.5, 25.0, 50.0, 100.0]::DOUBLE[] ELSE [100.0, 25.0, 12.5, 6.25, 0.0]::DOUBLE[] END AS contrasts,
  o_totalprice AS price, o_orderpriority AS priority FROM orders)"""
 _C = "([0, 0.0625, 0.125, 0.25, 1]::DOUBLE[])"

@@ -114,10 +114,21 @@ def synchronized_pvalues(t):
     return p.select("l_linestatus", rnd("observed").alias("observed"), rnd("p_value").alias("p_value"), "n_strata")
 
 
-@query("session_permutation_test")
+TAILS = ["greater", "less", "two-sided"]
+
+
+@query("session_permutation_test", with_sql(SWAP_SQL, """, un AS (SELECT target_NM, eid, row_number() OVER (PARTITION BY target_NM ORDER BY eid) - 1 AS i, count(*) OVER (PARTITION BY target_NM) AS n FROM (SELECT DISTINCT target_NM, eid FROM sw)),
+ dr AS (SELECT target_NM, eid, i, it, ('0x' || substr(md5(eid || '|' || it || '|1'), 1, 15))::BIGINT % (n - 1) AS h FROM un, (SELECT unnest(range(1, 1001)) AS it) WHERE n > 1),
+ dn AS (SELECT dr.target_NM, dr.eid, dr.it, un.eid AS donor FROM dr JOIN un ON un.target_NM = dr.target_NM AND un.i = dr.h + (dr.h >= dr.i)::INT),
+ ft AS (SELECT target_NM, eid, donor, regr_r2(y, dq) AS r2 FROM pr GROUP BY ALL), ob AS (SELECT target_NM, eid, regr_r2(y, q) AS o FROM sw GROUP BY ALL),
+ ct AS (SELECT dn.target_NM, dn.eid, any_value(o) AS o, count(*) AS n_draws, (count(*) FILTER (ft.r2 >= o) + 1) / (count(*) + 1)::DOUBLE AS up, (count(*) FILTER (ft.r2 <= o) + 1) / (count(*) + 1)::DOUBLE AS down
+  FROM dn JOIN ob USING (target_NM, eid) LEFT JOIN ft ON ft.target_NM = dn.target_NM AND ft.eid = dn.eid AND ft.donor = dn.donor GROUP BY ALL)
+ SELECT un.target_NM, un.eid, rnd(ob.o) AS observed_r2, n_draws, rnd(up) AS p_greater, rnd(down) AS p_less, rnd(least(1, 2 * least(up, down))) AS p_two_sided, CASE WHEN n = 1 THEN 'no donor sessions' END AS error
+ FROM un JOIN ob USING (target_NM, eid) LEFT JOIN ct ON ct.target_NM = un.target_NM AND ct.eid = un.eid"""))
 def session_permutation_test(t):
     p = linear.session_permutation_test(swap_rows(t), ["target_NM"], "eid", "rk", "y", "q", "r2", 1000, seed=1)
-    return p.select("target_NM", "eid", rnd("observed").alias("observed"), rnd("p_value").alias("p_value"), "n_draws", "error")
+    tails = [rnd(linear.tail_pvalue("null_r2", "observed_r2", a)).alias("p_" + a.replace("-", "_")) for a in TAILS]
+    return p.select("target_NM", "eid", rnd("observed_r2").alias("observed_r2"), F.when(F.col("null_r2").isNotNull(), F.size("null_r2")).cast("long").alias("n_draws"), *tails, "error")
 
 
 @query("logistic_fit", """WITH c AS (SELECT l_suppkey, sum(CASE WHEN l_linestatus = 'O' AND l_tax < 0.045 THEN 1 ELSE 0 END)::DOUBLE AS a, sum(CASE WHEN l_linestatus = 'O' AND l_tax >= 0.045 THEN 1 ELSE 0 END)::DOUBLE AS b,
