@@ -33,11 +33,11 @@ from trialloom.llm.base import query, stored, table
 from trialloom.llm.components import components
 
 SKETCH = 64           # minwise tokens of 16 bits for branching and screening
-TREES = 16            # independent trees; their roots use 64-bit tokens
+TREES = 10            # independent trees; their roots use 64-bit tokens
 FIRST_TREES = 2       # trees compared before components prune the others
 NODE_DOCS = 1024
 NODE_SHINGLES = 1_000_000
-STUCK = 0.6           # from the third step on, a child with this share of its parent is compared as it is
+STUCK = 0.6           # a large node of which a child has this share is compared as it is
 BROADCAST_IDS = 2_000_000  # ids (16 MB) that may be sent to every task; beyond that they are joined by shuffle
 SCREEN_Z = 5.0        # standard deviations of the sketch below the threshold that a pair may show
 
@@ -85,33 +85,38 @@ def set_table(docs: DataFrame, wanted: DataFrame, k: int, id_col: str, text: str
 
 
 def grow_trees(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes that are small enough to compare, and large ones that do not shrink: (tree, node, rep)."""
-    child = lambda node, at: F.xxhash64(node, at, F.substring("sketch", 2 * at + 1, 2))
+    """Nodes that are small enough to compare, and large ones that do not shrink: (tree, node, rep).
+
+    A large node branches at two of its sketch's places. If one child would still hold most of it,
+    its documents are close throughout and the node is kept as it is, without children.
+    """
     tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
     level = reps.select("rep", "n_shingles", "roots", tree).select(
         "rep", "n_shingles", "tree", F.xxhash64("tree", F.expr("substring(roots, 8 * tree + 1, 8)")).alias("node"),
-        F.lit(None).cast("long").alias("above"))
+        F.lit(None).cast("long").alias("parent"), F.lit(None).cast("long").alias("above"))
     light = reps.select("rep", "n_shingles", "sketch")
-    small, stuck, step = [], [], 0
+    small, stuck, step, large = [], [], 0, None
     while True:
-        sizes = level.groupBy("tree", "node").agg(
-            F.count(F.lit(1)).alias("size"), F.sum("n_shingles").alias("weight"), F.max("above").alias("parent_size")).where("size > 1")
-        sizes = sizes.withColumn("kind", F.expr(
-            f"CASE WHEN size <= {NODE_DOCS} AND weight <= {NODE_SHINGLES} THEN 0 "
-            f"WHEN {step} >= 3 AND size > {STUCK} * parent_size THEN 1 ELSE 2 END"))
-        rows = stored(level.join(sizes.select("tree", "node", "size", "kind"), ["tree", "node"]), f"tree-level-{step}")
-        small.append(rows.where("kind = 0").select("tree", "node", "rep"))
-        stuck.append(rows.where("kind = 1").select("tree", "node", "rep"))
-        large = rows.where("kind = 2")
+        sizes = stored(level.groupBy("tree", "node").agg(
+            F.count(F.lit(1)).alias("size"), F.sum("n_shingles").alias("weight"), F.max("parent").alias("parent"),
+            F.max("above").alias("above")).where("size > 1"), f"tree-sizes-{step}")
+        if large is not None:
+            close = sizes.where(F.col("size") > STUCK * F.col("above")).select("tree", "parent").distinct()
+            stuck.append(large.join(close.withColumnRenamed("parent", "node"), ["tree", "node"], "left_semi").select("tree", "node", "rep"))
+            sizes = sizes.join(close, ["tree", "parent"], "left_anti")
+        fits = (F.col("size") <= NODE_DOCS) & (F.col("weight") <= NODE_SHINGLES)
+        rows = stored(level.join(sizes.select("tree", "node", "size", fits.alias("fits")), ["tree", "node"]), f"tree-level-{step}")
+        small.append(rows.where("fits").select("tree", "node", "rep"))
+        large = rows.where("NOT fits")
         if large.isEmpty():
-            break
+            return _union(small), _union(stuck) if stuck else small[0].limit(0)
         step += 1
         branch = F.explode(F.array(F.lit(0), F.lit(1))).alias("branch")
-        level = large.select("tree", "node", "rep", "size", branch).join(light, "rep").withColumn(
-            "at", F.pmod(F.xxhash64("node", "branch"), F.lit(SKETCH)).cast("int"))
-        level = level.select("rep", "n_shingles", "tree", child(F.col("node"), F.col("at")).alias("node"), F.col("size").alias("above"))
-    union = lambda parts: _union(parts)
-    return union(small), union(stuck)
+        apart = F.col("branch") * (F.pmod(F.xxhash64("node"), F.lit(SKETCH - 1)) + 1)  # the two places differ
+        at = F.pmod(F.pmod(F.xxhash64("node", F.lit(1)), F.lit(SKETCH)) + apart, F.lit(SKETCH)).cast("int")
+        level = large.select("tree", "node", "rep", "size", branch).join(light, "rep").withColumn("at", at).select(
+            "rep", "n_shingles", "tree", F.xxhash64("node", "at", F.substring("sketch", 2 * F.col("at") + 1, 2)).alias("node"),
+            F.col("node").alias("parent"), F.col("size").alias("above"))
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -278,7 +283,7 @@ def block_nodes(nodes: DataFrame, labels: DataFrame | None, reps: DataFrame) ->
     main = by_label.groupBy("node").agg(F.max_by("label", "n").alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1")
     total = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("w"), F.max("n_shingles").alias("most"))
     # half of a group's bounds for each of its two blocks
-    blocks = F.ceil(F.greatest(F.col("n") / (NODE_DOCS / 3), F.col("w") / (NODE_SHINGLES / 3)))
+    blocks = F.ceil(F.greatest(F.col("n") / (NODE_DOCS / 2.5), F.col("w") / (NODE_SHINGLES / 2.5)))
     info = main.join(total, "node").select("node", "main", blocks.cast("int").alias("blocks"))
     rows = rows.join(info, "node").withColumn("block", F.pmod(F.xxhash64("rep", "node"), F.col("blocks")).cast("int"))
     other = F.explode(F.expr("sequence(0, blocks - 1)")).alias("to")
