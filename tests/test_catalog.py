@@ -123,9 +123,9 @@ def test_hemisphere_rule_order(spark):
 
 
 def test_duplicates(spark):
-    df = spark.createDataFrame([(1, "a", 1, True), (2, "a", 1, False), (3, "a", 2, True), (4, "a", 2, True), (5, "b", 1, False), (6, "b", 1, False), (7, None, 1, False)], "eid long, subject string, day long, bad boolean")
+    df = spark.createDataFrame([(1, "a", 1, True), (2, "a", 1, False), (3, "a", 2, True), (4, "a", 2, True), (5, "b", 1, False), (6, "b", 1, False), (7, None, 1, False), (8, "c", 1, True), (9, "c", 1, False), (10, "c", 1, False)], "eid long, subject string, day long, bad boolean")
     kept, log = ordered.resolve_duplicates(df, ["subject", "day"], F.col("bad"), ["eid"])
-    assert rows(kept, "eid") == [(2,), (3,), (5,)] and rows(log, "eid", "error_type") == [(5, "TrueDuplicateSession")]
+    assert rows(kept, "eid") == [(2,), (3,), (5,), (9,)] and rows(log, "eid", "error_type") == [(5, "TrueDuplicateSession"), (8, "TrueDuplicateSession")]
 
 
 @pytest.mark.parametrize("blocks, flagged", [([50, 50, 3], False), ([50, 3, 50], True), ([5], True), ([20], False)])

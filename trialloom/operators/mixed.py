@@ -120,7 +120,7 @@ def _leave_one_out(grams, sums, keys, subject, terms, predictors, min_subjects,
     return folds.unionByName(overall.withColumn("fold", F.lit("aggregate")))
 
 
-def crossval(grams: DataFrame, sums: DataFrame, keys: list[str], subject: str, terms, predictors: list[str], min_subjects: int = 2, min_test: int = 1) -> DataFrame:
+def crossval(grams: DataFrame, sums: DataFrame, keys: list[str], subject: str, terms, predictors: list[str], min_subjects: int = 3, min_test: int = 5) -> DataFrame:
     """Leave-one-subject-out R2 and drop-one loss; training sums are the total minus the subject's."""
     def score(rest, g, cols):
         if g[0, 0] < min_test or rest.subjects < 2:
@@ -199,7 +199,7 @@ def anova_rm(cells: DataFrame, subject: str, within: list[str], response: str) -
                 df2 = df1 * (levels[subject] - 1)
                 err = ss([*effect, subject]) / df2 if df2 else np.nan
                 f = ss(list(effect)) / df1 / err if err > 1e-300 else np.nan
-                rows.append((":".join(effect), float(f), float(df1), float(df2), float(f_sf(f, df1, df2)), "repeated measures"))
+                rows.append((":".join(effect), float(f), float(df1), float(df2), float(f_sf(f, df1, df2)), "rm"))
     else:
         rows = _type_three(cells, within, response)
     return cells.sparkSession.createDataFrame(rows, "source string, f double, num_df double, den_df double, p double, method string")
@@ -236,5 +236,5 @@ def _type_three(cells: DataFrame, within: list[str], response: str) -> list[tupl
             continue
         df1, df2 = len(everything) - len(keep), n - len(everything)
         f = (rss(keep, red[0]) - rss(everything, fit[0])) / df1 / (rss(everything, fit[0]) / df2)
-        rows.append((":".join(effect), float(f), float(df1), float(df2), float(f_sf(f, df1, df2)), "between-subject type III"))
+        rows.append((":".join(effect), float(f), float(df1), float(df2), float(f_sf(f, df1, df2)), "ols"))
     return rows

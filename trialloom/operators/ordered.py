@@ -63,13 +63,14 @@ def block_match(rebuilt: DataFrame, keys: list[str], recorded: str = "probabilit
 def resolve_duplicates(sessions: DataFrame, keys: list[str], bad: Column, order: list[str]) -> tuple[DataFrame, DataFrame]:
     """One session per group: the first without a disqualifying error, else the first.
 
-    Returns the kept rows and one TrueDuplicateSession log row per group with several good ones.
+    Returns the kept rows and, per group with several good ones, one TrueDuplicateSession log row under the
+    group's first session.
     Rows with a null key leave, as they do in a pandas grouping. No window: the best row is an aggregate.
     """
     rows = sessions.where(~F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False))).withColumn("__bad", F.coalesce(bad, F.lit(False)))
     best = rows.groupBy(*keys).agg(
-        F.min_by(F.struct(*sessions.columns), F.struct("__bad", *order)).alias("s"), F.count_if(~F.col("__bad")).alias("__good"))
-    log = best.where("__good > 1").select(F.col("s.eid").alias("eid"), F.lit("TrueDuplicateSession").alias("error_type"),
+        F.min_by(F.struct(*sessions.columns), F.struct("__bad", *order)).alias("s"), F.min_by("eid", F.struct(*order)).alias("first"), F.count_if(~F.col("__bad")).alias("__good"))
+    log = best.where("__good > 1").select(F.col("first").alias("eid"), F.lit("TrueDuplicateSession").alias("error_type"),
                                           F.concat(F.col("__good").cast("string"), F.lit(" sessions without errors")).alias("error_message"))
     return best.select("s.*"), log
 

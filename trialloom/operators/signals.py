@@ -266,7 +266,8 @@ def sliding_windows(samples: DataFrame, keys: list[str], t: str, width: float =
     """Each sample once per window [step*w, step*w + width) that holds it."""
     last = F.floor(F.col(t) / F.lit(float(step)))
     first = F.floor((F.col(t) - F.lit(float(width))) / F.lit(float(step))) + 1
-    return samples.withColumn(out, F.explode(F.sequence(F.greatest(first, F.lit(0).cast("long")), last)))
+    held = samples.where(last >= 0)  # a sample before the first window is in none
+    return held.withColumn(out, F.explode(F.sequence(F.greatest(first, F.lit(0).cast("long")), last)))
 
 
 def window_quality(windowed: DataFrame, keys: list[str], t: str, value: str, detrend: bool = True) -> DataFrame:

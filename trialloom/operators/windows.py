@@ -133,7 +133,7 @@ def subtract_baseline(rows: DataFrame, keys: list[str], window=BASELINE_WINDOW,
     return rows.withColumn(value, F.col(value) - base)
 
 
-def normalize_responses(rows: DataFrame, keys: list[str], window=BASELINE_WINDOW, divide: bool = False, *,
+def normalize_responses(rows: DataFrame, keys: list[str], window=BASELINE_WINDOW, divide: bool = True, *,
                         time: str = "time", value: str = "response") -> DataFrame:
     """Subtract (and divide by) the baseline mean; one null baseline sample nulls the trial."""
     inside = (F.col(time) >= window[0]) & (F.col(time) < window[1])

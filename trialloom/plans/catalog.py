@@ -168,17 +168,17 @@ def resolve_regions(t):
     return out.select("eid", joined("brain_region").alias("brain_region"), joined("hemisphere").alias("hemisphere"), "region_error")
 
 
-@query("subject_info", with_sql(SESSIONS_SQL, """, sub AS (SELECT c_custkey AS subject, CASE WHEN c_nationkey % 3 = 0 THEN 'Ai148xDATCre' ELSE 'B6.Cg' END AS strain, CASE WHEN c_nationkey % 2 = 0 THEN 'Ai148xChat' END AS line FROM customer
-  UNION ALL SELECT c_custkey, 'B6.Cg', NULL FROM customer WHERE c_custkey % 50 = 0),
- one AS (SELECT subject, count(*) AS n, min(strain) AS strain, min(line) AS line FROM sub GROUP BY subject)
- SELECT eid, CASE WHEN n = 1 THEN strain END AS strain, CASE WHEN n = 1 THEN CASE WHEN strain = 'Ai148xDATCre' THEN 'DA' WHEN line = 'Ai148xChat' THEN 'ACh' END END AS nm,
+@query("subject_info", with_sql(SESSIONS_SQL, """, sub AS (SELECT c_custkey AS subject, CASE WHEN c_nationkey % 3 = 0 THEN 'Ai148xDATCre' ELSE 'B6.Cg' END AS strain, CASE WHEN c_nationkey % 2 = 0 THEN 'Ai148xChat' END AS line, 'wt/' || c_nationkey AS genotype FROM customer
+  UNION ALL SELECT c_custkey, 'B6.Cg', NULL, NULL FROM customer WHERE c_custkey % 50 = 0),
+ one AS (SELECT subject, count(*) AS n, min(strain) AS strain, min(line) AS line, min(genotype) AS genotype FROM sub GROUP BY subject)
+ SELECT eid, CASE WHEN n = 1 THEN strain END AS strain, CASE WHEN n = 1 THEN genotype END AS genotype, CASE WHEN n = 1 THEN CASE WHEN strain = 'Ai148xDATCre' THEN 'DA' WHEN line = 'Ai148xChat' THEN 'ACh' END END AS nm,
  CASE WHEN coalesce(n, 0) <> 1 THEN 'SubjectNotUnique' END AS subject_error FROM sessions LEFT JOIN one USING (subject)"""))
 def subject_info(t):
     c = t["customer"]
-    sub = c.selectExpr("c_custkey AS subject", "CASE WHEN c_nationkey % 3 = 0 THEN 'Ai148xDATCre' ELSE 'B6.Cg' END AS strain", "CASE WHEN c_nationkey % 2 = 0 THEN 'Ai148xChat' END AS line")
-    sub = sub.unionByName(c.where("c_custkey % 50 = 0").selectExpr("c_custkey AS subject", "'B6.Cg' AS strain", "CAST(NULL AS string) AS line"))
+    sub = c.selectExpr("c_custkey AS subject", "CASE WHEN c_nationkey % 3 = 0 THEN 'Ai148xDATCre' ELSE 'B6.Cg' END AS strain", "CASE WHEN c_nationkey % 2 = 0 THEN 'Ai148xChat' END AS line", "concat('wt/', c_nationkey) AS genotype")
+    sub = sub.unionByName(c.where("c_custkey % 50 = 0").selectExpr("c_custkey AS subject", "'B6.Cg' AS strain", "CAST(NULL AS string) AS line", "CAST(NULL AS string) AS genotype"))
     out = src.subject_info(t.sessions.select("eid", "subject"), sub, K.STRAIN_TO_NM, K.LINE_TO_NM)
-    return out.select("eid", "strain", F.col("NM").alias("nm"), "subject_error")
+    return out.select("eid", "strain", "genotype", F.col("NM").alias("nm"), "subject_error")
 
 
 @query("enrich_sessions", with_sql(SESSIONS_SQL, """, one AS (SELECT c_custkey AS subject, CASE WHEN c_nationkey % 3 = 0 THEN 'DA' ELSE 'ACh' END AS nm FROM customer WHERE c_custkey % 50 <> 0),

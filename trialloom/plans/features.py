@@ -95,12 +95,13 @@ def unique_contribution(t):
 # --- encoding models: events as impulses on a 6-hour grid, mean value of a bin as the target -------
 
 DT = 21600.0
-BIN_SQL = SIGNAL_SQL + """, tg AS (SELECT eid, CAST(floor(t / 21600) AS BIGINT) AS bin, avg(value) AS y FROM signal GROUP BY ALL),
- im AS (SELECT eid, CAST(round_even(t / 21600, 0) AS BIGINT) AS bin, arg_max(k::DOUBLE, t) AS h FROM signal WHERE event_type = 'error' AND round_even(t / 21600, 0) < 120 GROUP BY ALL)"""
+BIN_SQL = SIGNAL_SQL + """, tg AS (SELECT eid, CAST(floor(t / 21600) AS BIGINT) AS bin, avg(value) AS y FROM signal GROUP BY ALL), nb AS (SELECT eid, CAST(floor(max(t) / 21600) AS BIGINT) + 1 AS nb FROM signal GROUP BY eid),
+ im AS (SELECT eid, CAST(round_even(t / 21600, 0) AS BIGINT) AS bin, arg_max(k::DOUBLE, t) AS h FROM signal JOIN nb USING (eid) WHERE event_type = 'error' AND round_even(t / 21600, 0) < nb GROUP BY ALL)"""
 
 
 def bounds(t):
-    return t.signal.select("eid").distinct().select("eid", F.lit(0.0).alias("t_start"), F.lit(120).cast("long").alias("n_bins"))
+    """Grid of every session: from 0 to its own last sample."""
+    return t.signal.groupBy("eid").agg(F.lit(0.0).alias("t_start"), (F.floor(F.max("t") / DT) + 1).alias("n_bins"))
 
 
 def errors(t):
@@ -112,21 +113,21 @@ def event_impulses(t):
     return enc.event_impulses(errors(t), bounds(t), ["eid"], "t", F.col("k"), DT).select("eid", "bin", "height")
 
 
-@query("lag_design", with_sql(BIN_SQL, "SELECT eid, bin + o AS bin, 'err:' || lpad(CAST(o + 2 AS VARCHAR), 3, '0') AS feature, h AS value FROM im, (SELECT unnest(generate_series(-2, 2)) AS o) WHERE bin + o BETWEEN 0 AND 119 AND h <> 0"))
+@query("lag_design", with_sql(BIN_SQL, "SELECT eid, bin + o AS bin, 'err:' || lpad(CAST(o + 2 AS VARCHAR), 3, '0') AS feature, h AS value FROM im JOIN nb USING (eid), (SELECT unnest(generate_series(-2, 2)) AS o) WHERE bin + o >= 0 AND bin + o < nb AND h <> 0"))
 def lag_design(t):
     imp = enc.event_impulses(errors(t), bounds(t), ["eid"], "t", F.col("k"), DT)
     return enc.expand_events(imp, ["eid"], "err", [(i, i - 2, 1.0) for i in range(5)])
 
 
-@query("raised_cosine_design", with_sql(BIN_SQL, """, im1 AS (SELECT eid, CAST(round_even(t / 21600, 0) AS BIGINT) AS bin FROM signal WHERE event_type = 'error' AND round_even(t / 21600, 0) < 120 GROUP BY ALL),
+@query("raised_cosine_design", with_sql(BIN_SQL, """, im1 AS (SELECT eid, CAST(round_even(t / 21600, 0) AS BIGINT) AS bin, nb FROM signal JOIN nb USING (eid) WHERE event_type = 'error' AND round_even(t / 21600, 0) < nb GROUP BY ALL),
  bs AS (SELECT c, j, power(cos(pi() / 2 * greatest(-1, least(1, (ln(j + 1) - c * ln(11) / 3) / (2 * ln(11) / 3)))), 2) AS w FROM (SELECT unnest(range(4)) AS c), (SELECT unnest(range(10)) AS j))
- SELECT eid, bin + j AS bin, 'err:' || lpad(CAST(c AS VARCHAR), 3, '0') AS feature, rnd(sum(w)) AS value FROM im1, bs WHERE w > 1e-12 AND bin + j < 120 GROUP BY ALL"""))
+ SELECT eid, bin + j AS bin, 'err:' || lpad(CAST(c AS VARCHAR), 3, '0') AS feature, rnd(sum(w)) AS value FROM im1, bs WHERE w > 1e-12 AND bin + j < nb GROUP BY ALL"""))
 def raised_cosine_design(t):
     imp = enc.event_impulses(errors(t), bounds(t), ["eid"], "t", None, DT)
     return enc.expand_events(imp, ["eid"], "err", enc.raised_cosine_basis(4, 2.5, 0.2, 0.25)).withColumn("value", rnd("value"))
 
 
-@query("tonic_design", with_sql(BIN_SQL, """, tr AS (SELECT eid, greatest(CAST(round_even(t / 21600, 0) AS BIGINT), 0) AS a, least(CAST(round_even((t + 86400) / 21600, 0) AS BIGINT) - 1, 119) AS b, k::DOUBLE AS v FROM signal WHERE event_type = 'error'),
+@query("tonic_design", with_sql(BIN_SQL, """, tr AS (SELECT eid, greatest(CAST(round_even(t / 21600, 0) AS BIGINT), 0) AS a, least(CAST(round_even((t + 86400) / 21600, 0) AS BIGINT) - 1, nb - 1) AS b, k::DOUBLE AS v FROM signal JOIN nb USING (eid) WHERE event_type = 'error'),
  x AS (SELECT eid, unnest(generate_series(a, b)) AS bin, v FROM tr WHERE b >= a) SELECT eid, bin, 'block:000' AS feature, max(v) AS value FROM x GROUP BY eid, bin"""))
 def tonic_design(t):
     tr = errors(t).withColumn("t_end", F.col("t") + 86400)
@@ -150,7 +151,7 @@ def moments(t):
 
 
 @query("design_moments", with_sql(BIN_SQL, """, sp AS (SELECT eid, max(bin) + 1 AS n FROM tg GROUP BY eid), y AS (SELECT tg.*, least(bin * 5 // n, 4) AS fold FROM tg JOIN sp USING (eid)),
- d AS (SELECT eid, bin + o AS bin, 'err:' || lpad(CAST(o + 2 AS VARCHAR), 3, '0') AS f, h AS v FROM im, (SELECT unnest(generate_series(-2, 2)) AS o) WHERE bin + o BETWEEN 0 AND 119 AND h <> 0),
+ d AS (SELECT eid, bin + o AS bin, 'err:' || lpad(CAST(o + 2 AS VARCHAR), 3, '0') AS f, h AS v FROM im JOIN nb USING (eid), (SELECT unnest(generate_series(-2, 2)) AS o) WHERE bin + o >= 0 AND bin + o < nb AND h <> 0),
  a AS (SELECT y.eid, y.fold, d.bin, d.f, d.v FROM d JOIN y USING (eid, bin) UNION ALL SELECT eid, fold, bin, '!one', 1.0 FROM y UNION ALL SELECT eid, fold, bin, '~y', y FROM y)
  SELECT p.eid, p.fold, p.f AS a, q.f AS b, rnd(sum(p.v * q.v), 4) AS s FROM a p JOIN a q ON p.eid = q.eid AND p.bin = q.bin AND p.f <= q.f GROUP BY ALL"""))
 def design_moments(t):
@@ -158,7 +159,7 @@ def design_moments(t):
     return enc.design_gram(d, target(t), ["eid"], "bin", "y").withColumn("s", rnd("s", 4))
 
 
-ALPHAS = [1e-3, 1e-1, 1e1, 1e3]
+ALPHAS = [10 ** (-3 + 6 * i / 9) for i in range(10)]  # fixed grid, 1e-3 to 1e3
 
 
 @query("encoding_kernels")

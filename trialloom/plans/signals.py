@@ -11,6 +11,7 @@ from trialloom.plans.registry import query, rnd
 DAY = 86400.0
 FS = 1 / 7200.0
 QUALITY_UNIT = 7200.0
+QUALITY_START = 5  # the first samples lie before the first window
 
 
 @query("resample_linear", with_sql(SIGNAL_SQL, """, kn AS (SELECT eid, t, value, lead(t) OVER w AS t1, lead(value) OVER w AS v1, min(t) OVER (PARTITION BY eid) AS s
@@ -107,8 +108,8 @@ def raw_qc(t):
     return op.raw_qc(t.signal, ["eid"], "t", "value", "k", F.lit(DAY))
 
 
-QUALITY_SQL = SIGNAL_SQL + """, u AS (SELECT eid, t / 7200.0::DOUBLE AS u, value FROM signal),
- w AS (SELECT *, unnest(generate_series(greatest(CAST(floor((u - 120) / 60) AS BIGINT) + 1, 0), CAST(floor(u / 60) AS BIGINT))) AS win FROM u),
+QUALITY_SQL = SIGNAL_SQL + """, u AS (SELECT eid, t / 7200.0::DOUBLE - 5 AS u, value FROM signal),
+ w AS (SELECT *, unnest(generate_series(greatest(CAST(floor((u - 120) / 60) AS BIGINT) + 1, 0), CAST(floor(u / 60) AS BIGINT))) AS win FROM u WHERE u >= 0),
  d AS (SELECT *, value - coalesce(regr_slope(value, u) OVER p * u + regr_intercept(value, u) OVER p, avg(value) OVER p) AS r FROM w WINDOW p AS (PARTITION BY eid, win)),
  m AS (SELECT *, quantile_cont(r, 0.5) OVER (PARTITION BY eid, win) AS med, lag(r) OVER (PARTITION BY eid, win ORDER BY u) AS prev FROM d),
  q AS (SELECT eid, win, count(DISTINCT value)::DOUBLE / count(*) AS nu, quantile_cont(abs(r - med), 0.5) AS mad, quantile_cont(r, 0.25) AS p25, quantile_cont(r, 0.5) AS p50, quantile_cont(r, 0.75) AS p75,
@@ -116,19 +117,19 @@ QUALITY_SQL = SIGNAL_SQL + """, u AS (SELECT eid, t / 7200.0::DOUBLE AS u, value
 
 
 def _quality_samples(t):
-    return t.signal.select("eid", (F.col("t") / QUALITY_UNIT).alias("u"), "value")
+    return t.signal.select("eid", (F.col("t") / QUALITY_UNIT - QUALITY_START).alias("u"), "value")
 
 
-@query("window_quality", with_sql(QUALITY_SQL, """SELECT eid, win AS "window", rnd(nu) AS n_unique_samples, rnd(mad) AS median_absolute_deviance, rnd((p75 - p25) / nullif(lev, 0)) AS percentile_distance
- FROM q"""))
+@query("window_quality", with_sql(QUALITY_SQL, """SELECT eid, win AS "window", rnd(nu) AS n_unique_samples, rnd(mad) AS median_absolute_deviance, rnd((p75 - p25) / nullif(lev, 0)) AS percentile_distance,
+ rnd((p75 - p50) / nullif(p50 - p25, 0)) AS percentile_asymmetry FROM q"""))
 def window_quality(t):
     q = op.window_quality(op.sliding_windows(_quality_samples(t), ["eid"], "u"), ["eid", "window"], "u", "value")
-    return q.select("eid", "window", *[rnd(m).alias(m) for m in op.QUALITY_METRICS[:3]])
+    return q.select("eid", "window", *[rnd(m).alias(m) for m in op.QUALITY_METRICS[:4]])
 
 
-@query("sliding_qc", with_sql(QUALITY_SQL, "SELECT eid, rnd(avg(nu)) AS n_unique_samples, rnd(avg(mad)) AS median_absolute_deviance, rnd(avg((p75 - p25) / nullif(lev, 0))) AS percentile_distance FROM q GROUP BY eid"))
+@query("sliding_qc", with_sql(QUALITY_SQL, "SELECT eid, rnd(avg(nu)) AS n_unique_samples, rnd(avg(mad)) AS median_absolute_deviance, rnd(avg((p75 - p25) / nullif(lev, 0))) AS percentile_distance, rnd(avg((p75 - p50) / nullif(p50 - p25, 0))) AS percentile_asymmetry FROM q GROUP BY eid"))
 def sliding_qc(t):
-    return op.sliding_qc(_quality_samples(t), ["eid"], "u", "value").select("eid", *[rnd(m).alias(m) for m in op.QUALITY_METRICS[:3]])
+    return op.sliding_qc(_quality_samples(t), ["eid"], "u", "value").select("eid", *[rnd(m).alias(m) for m in op.QUALITY_METRICS[:4]])
 
 
 @query("sliding_ar_score", with_sql(QUALITY_SQL, "SELECT eid, rnd(avg(CASE WHEN n >= 4 THEN ar END)) AS ar_score FROM q GROUP BY eid"))

@@ -68,7 +68,7 @@ def block_match(t):
 
 
 DUP_SQL = """d AS (SELECT o_orderkey AS eid, o_custkey % 50 AS subject, CAST(o_orderdate AS DATE) AS day, coalesce(o_orderkey % 3 = 0, false) AS bad, o_orderkey FROM orders WHERE o_custkey % 50 <> 7),
- r AS (SELECT *, row_number() OVER (PARTITION BY subject, day ORDER BY bad, o_orderkey) AS rn, count(CASE WHEN NOT bad THEN 1 END) OVER (PARTITION BY subject, day) AS good FROM d)"""
+ r AS (SELECT *, row_number() OVER (PARTITION BY subject, day ORDER BY bad, o_orderkey) AS rn, first_value(o_orderkey) OVER (PARTITION BY subject, day ORDER BY o_orderkey) AS first, count(CASE WHEN NOT bad THEN 1 END) OVER (PARTITION BY subject, day) AS good FROM d)"""
 
 
 def duplicates(t):
@@ -81,7 +81,7 @@ def resolve_duplicates(t):
     return duplicates(t)[0]
 
 
-@query("duplicate_log", with_sql(DUP_SQL, "SELECT eid, 'TrueDuplicateSession' AS error_type, good || ' sessions without errors' AS error_message FROM r WHERE rn = 1 AND good > 1"))
+@query("duplicate_log", with_sql(DUP_SQL, "SELECT first AS eid, 'TrueDuplicateSession' AS error_type, good || ' sessions without errors' AS error_message FROM r WHERE rn = 1 AND good > 1"))
 def duplicate_log(t):
     return duplicates(t)[1]
 

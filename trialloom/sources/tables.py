@@ -234,11 +234,12 @@ def subject_info(sessions: DataFrame, subjects: DataFrame, strain_to_nm: dict, l
     """Subject attributes by nickname, which must be unique; NM from the strain, else the line."""
     from trialloom.functions.columns import lookup
 
-    unique = subjects.groupBy(key).agg(F.count(F.lit(1)).alias("__n"), F.min("strain").alias("strain"), F.min("line").alias("line"))
+    known = [c for c in ("strain", "line", "genotype") if c in subjects.columns]
+    unique = subjects.groupBy(key).agg(F.count(F.lit(1)).alias("__n"), *[F.min(c).alias(c) for c in known])
     j = sessions.join(unique, key, "left")
     ok = F.col("__n") == 1
     return j.withColumns({
-        "strain": F.when(ok, F.col("strain")), "line": F.when(ok, F.col("line")),
+        **{c: F.when(ok, F.col(c)) for c in known},
         "NM": F.when(ok, F.coalesce(lookup(strain_to_nm, "strain"), lookup(line_to_nm, "line"))),
         "subject_error": F.when(F.coalesce(F.col("__n"), F.lit(0)) != 1, "SubjectNotUnique"),
     }).drop("__n")
