@@ -183,10 +183,10 @@ def _rows(rows: list[tuple], names: list[str], types: list) -> pa.RecordBatch:
 
 
 def node_links(sets: list[np.ndarray], labels: list[int], percent: int) -> list[tuple[int, int]]:
-    """Links of a spanning forest over similar sets, given that rows of one label are already linked.
+    """(label, smaller label) pairs that name what similar sets bring together; rows of one label already are.
 
-    Exact: of every two rows with different labels the intersection is counted on the full sets,
-    unless links found meanwhile have already brought them together.
+    Exact: of every two rows with different labels the intersection is counted on the full sets. Each
+    label that is joined to others gets one pair, with the smallest label of its component.
     """
     n = len(sets)
     names = {x: i for i, x in enumerate(dict.fromkeys(labels))}
@@ -204,7 +204,7 @@ def node_links(sets: list[np.ndarray], labels: list[int], percent: int) -> list[
     if n == 2:
         a, b = sets
         common = len(np.intersect1d(a, b, assume_unique=True))
-        return [(0, 1)] if 100 * common >= percent * (len(a) + len(b) - common) else []
+        return [(max(labels), min(labels))] if 100 * common >= percent * (len(a) + len(b) - common) else []
     sizes = np.array([len(s) for s in sets])
     flat = np.concatenate(sets)
     _, ids = np.unique(flat, return_inverse=True)
@@ -212,8 +212,7 @@ def node_links(sets: list[np.ndarray], labels: list[int], percent: int) -> list[
     doc_of = np.repeat(np.arange(n), sizes)[order]
     begin = np.concatenate([[0], np.cumsum(np.bincount(ids))])
     bounds = np.concatenate([[0], np.cumsum(sizes)])
-    main = max(set(own), key=own.count)  # two rows of the main label need no look
-    links = []
+    main = np.bincount(own).argmax()  # two rows of the main label need no look
     for i in range(n):
         if own[i] == main:
             continue
@@ -226,18 +225,20 @@ def node_links(sets: list[np.ndarray], labels: list[int], percent: int) -> list[
             a, b = root(own[i]), root(own[j])
             if a != b:
                 parent[a] = b
-                links.append((i, j))
-    return links
+    least: dict[int, int] = {}
+    for label, i in names.items():
+        least[root(i)] = min(label, least.get(root(i), label))
+    return [(label, least[root(i)]) for label, i in names.items() if label != least[root(i)]]
 
 
 def compare(nodes: DataFrame, labels: DataFrame | None, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) inside the given nodes (node, rep), as far as they join different labels."""
+    """Links (a, b) between labels, from the rows of the given nodes (node, rep)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         for g in _groups(batches):
             full = [np.frombuffer(x, dtype="<u8") for x in g["shingles"]]
-            out += [(g["rep"][i], g["rep"][j]) for i, j in node_links(full, g["label"], percent)]
+            out += node_links(full, g["label"], percent)
             if len(out) > 10_000:
                 yield _rows(out, ["a", "b"], [pa.int64(), pa.int64()])
                 out = []
