@@ -392,26 +392,28 @@ def iso_correlation(samples: DataFrame, keys: list[str], signal: str, reference:
 
 
 def bleaching_tau(samples: DataFrame, keys: list[str], t: str, value: str, tau_min: float, tau_max: float,
-                  grid: int = 24, passes: int = 2) -> DataFrame:
+                  grid: int = 24, passes: int = 3) -> DataFrame:
     """Time constant of value = a + b exp(-t / tau): for a fixed tau a straight line.
 
-    Every pass tries ``grid`` log-spaced taus with one-pass regression sums, keeps the
-    one with the least unexplained share and narrows the range around it. Shares equal to nine
-    digits are ties, the smallest tau wins, so the order of the sums cannot decide.
+    Every pass tries ``grid`` log-spaced taus as that many aggregates of one scan, keeps the one with
+    the least unexplained share and narrows the range around it; three passes end within 0.2 percent.
+    Shares equal to nine digits are ties, the smallest tau wins, so the order of the sums cannot decide.
     """
-    lo = samples.select(*keys).distinct().select(*keys, F.lit(float(tau_min)).alias("__lo"), F.lit(float(tau_max)).alias("__hi"))
-    best = None
+    data = samples.select(*keys, t, value)
+    tau = lambda lo, hi, g: lo * F.pow(hi / lo, F.lit(g / (grid - 1)))
+    lo, hi = F.lit(float(tau_min)), F.lit(float(tau_max))
+    rows, bounds = data, []
     for _ in range(passes):
-        tried = skew_join(samples.select(*keys, t, value), lo, keys).withColumn("__g", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))))
-        tried = tried.withColumn("__tau", F.col("__lo") * F.pow(F.col("__hi") / F.col("__lo"), F.col("__g") / (grid - 1)))
-        x = F.exp(-F.col(t) / F.col("__tau"))
-        fits = tried.groupBy(*keys, "__g", "__lo", "__hi", "__tau").agg(
-            F.round(1 - F.regr_r2(value, x), 9).alias("__sse"))
-        best = fits.where(F.col("__sse").isNotNull()).groupBy(*keys).agg(
-            F.min_by(F.struct("__tau", "__lo", "__hi"), F.struct("__sse", "__g")).alias("b"))
-        step = F.pow(F.col("b.__hi") / F.col("b.__lo"), F.lit(1.0 / (grid - 1)))
-        lo = best.select(*keys, (F.col("b.__tau") / step).alias("__lo"), (F.col("b.__tau") * step).alias("__hi"))
-    return best.select(*keys, F.col("b.__tau").alias("bleaching_tau"))
+        shares = [F.round(1 - F.regr_r2(value, F.exp(-F.col(t) / tau(lo, hi, g))), 9).alias(f"__s{g}") for g in range(grid)]
+        fits = rows.groupBy(*keys).agg(*[F.first(b).alias(b) for b in bounds], *shares)
+        tried = F.array(*[F.when(F.col(f"__s{g}").isNotNull(), F.struct(F.col(f"__s{g}").alias("s"), F.lit(g).alias("g"), tau(lo, hi, g).alias("tau"))) for g in range(grid)])
+        step = F.pow(hi / lo, F.lit(1.0 / (grid - 1)))
+        best = fits.select(*keys, F.array_min(F.filter(tried, lambda x: x.isNotNull()))["tau"].alias("bleaching_tau"), step.alias("__step"))
+        best = best.where("bleaching_tau IS NOT NULL")
+        bounds, lo, hi = ["__lo", "__hi"], F.col("__lo"), F.col("__hi")
+        around = best.select(*keys, (F.col("bleaching_tau") / F.col("__step")).alias("__lo"), (F.col("bleaching_tau") * F.col("__step")).alias("__hi"))
+        rows = skew_join(data, around, keys)
+    return best.select(*keys, "bleaching_tau")
 
 
 def video_measures(frames: DataFrame, keys: list[str], t: str, lengths: DataFrame, length: str, chunk_width: float) -> DataFrame:

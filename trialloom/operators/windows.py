@@ -183,14 +183,15 @@ def peak_velocity(rows: DataFrame, keys: list[str], value: str, out: str = "peak
 
 def mean_traces(rows: DataFrame, keys: list[str], trial_keys: list[str], *, offset: str = "offset", time: str = "time",
                 value: str = "response") -> DataFrame:
-    """Mean trace per cell; ``n_trials`` counts trials whose first sample is non-null."""
-    first = rows.groupBy(*keys).agg(F.min(offset).alias("__first"))
-    n = (
-        rows.join(first, keys).where((F.col(offset) == F.col("__first")) & F.col(value).isNotNull())
-        .select(*keys, *trial_keys).distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("n_trials"))
-    )
-    means = rows.groupBy(*keys, time).agg(F.avg(value).alias(value))
-    return means.join(n, keys, "left").withColumn("n_trials", F.coalesce("n_trials", F.lit(0)))
+    """Mean trace per cell; ``n_trials`` counts trials whose first sample is non-null.
+
+    One aggregate over the rows: a trial (``trial_keys``) has one row per offset, so its samples count once.
+    """
+    cells = rows.groupBy(*keys, time).agg(F.avg(value).alias(value), F.min(offset).alias("__o"), F.count(value).alias("__n"))
+    of_cell = W.partitionBy(*keys)  # as many rows as a window has offsets
+    cells = cells.withColumn("__first", F.min("__o").over(of_cell))
+    counted = F.sum(F.when(F.col("__o") == F.col("__first"), F.col("__n")).otherwise(0)).over(of_cell)
+    return cells.withColumn("n_trials", counted).drop("__o", "__n", "__first")
 
 
 def session_panels(rows: DataFrame, keys: list[str], allowed: DataFrame, session: str = "eid", *, time: str = "time",

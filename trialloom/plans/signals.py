@@ -164,7 +164,7 @@ def _tau_pass(rng: str, name: str) -> str:
 
 
 @query("bleaching_tau", with_sql(SIGNAL_SQL, ", r0 AS (SELECT DISTINCT eid, 3600.0::DOUBLE AS lo, 2592000.0::DOUBLE AS hi FROM signal), "
-       + _tau_pass("r0", "p1") + ", " + _tau_pass("p1", "p2") + " SELECT eid, rnd(tau, 2) AS bleaching_tau FROM p2"))
+       + _tau_pass("r0", "p1") + ", " + _tau_pass("p1", "p2") + ", " + _tau_pass("p2", "p3") + " SELECT eid, rnd(tau, 2) AS bleaching_tau FROM p3"))
 def bleaching_tau(t):
     out = op.bleaching_tau(t.signal, ["eid"], "t", "value", 3600.0, 2592000.0)
     return out.select("eid", rnd("bleaching_tau", 2).alias("bleaching_tau"))
