@@ -93,7 +93,8 @@ def pairwise_mannwhitney(df: DataFrame, group: str, value: str, bonferroni: bool
     cells = _counts(df, [group], value)
     labels = cells.select(F.col(group).alias("__label")).distinct()
     pairs = labels.select(F.col("__label").alias("group_a")).join(labels.select(F.col("__label").alias("group_b")), F.col("group_a") < F.col("group_b"))
-    sided = cells.join(F.broadcast(pairs), (F.col(group) == F.col("group_a")) | (F.col(group) == F.col("group_b")))
+    as_side = lambda side: cells.join(pairs, F.col(group) == F.col(side)).select(*cells.columns, "group_a", "group_b")
+    sided = as_side("group_a").unionByName(as_side("group_b"))
     k = ["group_a", "group_b"]
     ranks = _cell_ranks(sided, k, value)
     first = F.col(group) == F.col("group_a")

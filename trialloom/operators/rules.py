@@ -222,7 +222,8 @@ def sample_between_percentiles(df: DataFrame, metric: str, low: float, high: flo
     """One random row whose metric lies between two exact percentiles (hash draw, repeatable)."""
     q = grouped_quantiles(df.select(metric), [], metric, {"__lo": low, "__hi": high})
     inside = df.crossJoin(F.broadcast(q)).where(F.col(metric).between(F.col("__lo"), F.col("__hi")))
-    return inside.orderBy(F.xxhash64(F.lit(seed), key), key).limit(1).drop("__lo", "__hi")
+    draw = F.md5(F.concat_ws("|", F.lit(seed), F.col(key)).cast("binary"))
+    return inside.orderBy(draw, key).limit(1).drop("__lo", "__hi")
 
 
 def nth_recording(df: DataFrame, order: list[str], n: int) -> DataFrame:

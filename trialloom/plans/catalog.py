@@ -541,7 +541,8 @@ def population_filter(t):
     return t.sessions.where(rules.population_mask(["training", "ephys"], {"lab": ["1-URGENT", "2-HIGH"], "priority": []}, {"fraction_correct": (0.2, 0.8)})).select("eid")
 
 
-@query("sample_recording")
+@query("sample_recording", with_sql(SESSIONS_SQL, """SELECT eid, price FROM sessions, (SELECT quantile_cont(price, 0.4) AS lo, quantile_cont(price, 0.6) AS hi FROM sessions)
+ WHERE price BETWEEN lo AND hi ORDER BY md5('7|' || eid), eid LIMIT 1"""))
 def sample_recording(t):
     return rules.sample_between_percentiles(t.sessions.select("eid", "price"), "price", 0.4, 0.6, "eid", 7)
 

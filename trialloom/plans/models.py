@@ -247,7 +247,8 @@ def spearman_matrix(t):
 
 # --- multivariate -----------------------------------------------------------------------------
 
-def embedded(t, kx=6, ky=4):
+def embedded(t, kx=32, ky=32):
+    """The two halves of every vector; a cohort needs more rows than entries, so small ones take a part."""
     e = t["embeddings"]
     return e.select("vec_id", "label", (F.col("vec_id") % 50).alias("session"), F.slice("embedding", 1, kx).cast("array<double>").alias("x"), F.slice("embedding", 33, ky).cast("array<double>").alias("y"),
                     (F.col("label") % 2).alias("cohort"))
@@ -262,13 +263,13 @@ def cca_two_variables(t):
 @query("cca_summary")
 def cca_summary(t):
     g = mv.array_gram(embedded(t).withColumn("v", F.concat("x", "y")), ["cohort"], "v")
-    return mv.cca_summary(g, ["cohort"], 6).select("cohort", "component", "n_recordings", *[rnd(c).alias(c) for c in ("correlation", "x_variance_explained", "y_variance_explained")])
+    return mv.cca_summary(g, ["cohort"], 32).select("cohort", "component", "n_recordings", *[rnd(c).alias(c) for c in ("correlation", "x_variance_explained", "y_variance_explained")])
 
 
 @query("cca_weights")
 def cca_weights(t):
     g = mv.array_gram(embedded(t).withColumn("v", F.concat("x", "y")), ["cohort"], "v")
-    return mv.cca_weights(g, ["cohort"], 6, [f"x{i}" for i in range(6)] + [f"y{i}" for i in range(4)], 1).withColumn("weight", rnd("weight"))
+    return mv.cca_weights(g, ["cohort"], 32, [f"x{i}" for i in range(32)] + [f"y{i}" for i in range(32)], 1).withColumn("weight", rnd("weight"))
 
 
 @query("cca_permutation")
@@ -278,12 +279,12 @@ def cca_permutation(t):
 
 @query("elastic_cca")
 def elastic_cca(t):
-    g = mv.array_gram(embedded(t).withColumn("v", F.concat("x", "y")), ["cohort"], "v")
+    g = mv.array_gram(embedded(t, 6, 4).withColumn("v", F.concat("x", "y")), ["cohort"], "v")
     return mv.elastic_cca(g, ["cohort"], 6, [1e-3, 1e-2, 1e-1], [0.0, 0.5]).select("cohort", "alpha", "l1_ratio", rnd("correlation", 5).alias("correlation"), "best")
 
 
 def cohorts(t):
-    g = mv.array_gram(embedded(t).withColumn("v", F.concat("x", "y")), ["label"], "v")
+    g = mv.array_gram(embedded(t, 6, 4).withColumn("v", F.concat("x", "y")), ["label"], "v")
     return mv.cohort_cca(g, "label", 6, 10)
 
 
