@@ -11,9 +11,10 @@ What keeps this whole and bounded:
 * A node has no pairs as rows. It is at most NODE_DOCS documents and NODE_SHINGLES shingles; a task goes
   through its nodes one by one, counts exact intersections in memory and returns links of a spanning
   forest, at most one row per document.
-* A large node that does not shrink (close documents throughout) is first linked to its smallest member
-  and, as far as it is still in several components, compared in blocks: blocks of those outside the
-  node's main component against all blocks.
+* Large nodes that do not shrink (close documents throughout) are merged where they share documents, so
+  that a close group is compared once and not in every tree. The group is linked to its smallest member
+  and, as far as it is still in several components, compared in blocks: blocks of those outside its
+  main component against all blocks.
 * Sketches (64 values of 16 bits) only decide where full sets are needed: a pair is left out below an
   agreement that similar pairs miss with probability under 1e-6. Links are confirmed on full sets.
 * Components found by the first trees prune the later ones: a node inside one component is done.
@@ -277,6 +278,13 @@ def hub_links(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b", "shingles", "hub_shingles").mapInArrow(run, "a long, b long")
 
 
+def merged_nodes(nodes: DataFrame) -> DataFrame:
+    """Nodes that share documents as one (node, rep): a close group meets in many trees, but is compared once."""
+    doc = F.xxhash64(F.lit("document"), "rep")
+    labels = components(nodes.select(F.col("node").alias("a"), doc.alias("b")))
+    return nodes.join(labels.withColumnRenamed("id", "node"), "node").select(F.col("label").alias("node"), "rep").distinct()
+
+
 def block_nodes(nodes: DataFrame, labels: DataFrame | None, reps: DataFrame) -> DataFrame:
     """Stuck nodes as bounded groups (node, rep): blocks outside the main label against all blocks."""
     rows = _labelled(nodes, labels).join(reps.select("rep", "n_shingles"), "rep")
@@ -309,10 +317,11 @@ def classes(docs: DataFrame, k: int = 4, percent: int = 80, id_col: str = "doc_i
         F.min("id").alias("rep"), F.max("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("roots").alias("roots")), "representatives")
     small, stuck = grow_trees(reps)
     alive = stored(screen(small, reps, percent), "screened")
-    stuck = stored(stuck, "stuck")
+    none = stuck.isEmpty()
+    stuck = stored(stuck.select("node", "rep") if none else merged_nodes(stuck), "stuck")
     wanted = alive.select("rep").union(stuck.select("rep")).distinct().join(reps.select("rep", "digest"), "rep")
     sets = stored(set_table(docs, wanted, k, id_col, text), "full-sets")
-    links, labels, none = [], None, stuck.isEmpty()
+    links = []
     if not none:
         links.append(stored(hub_links(stuck, sets, percent), "hub-links"))
     links.append(stored(compare(alive.where(F.col("tree") < FIRST_TREES), None, sets, percent), "first-links"))
