@@ -50,12 +50,12 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, space: n
     first[1:] &= ~solid[:-1]
     at = (starts - base)[(starts < ends)]
     first[at] = solid[at]  # a new text starts a new word
-    where = np.flatnonzero(solid)
-    begin = np.flatnonzero(first[where])  # in solid bytes
+    where = np.flatnonzero(solid).astype(np.int32)
+    begin = np.flatnonzero(first[where]).astype(np.int32)  # in solid bytes
     if not len(begin):
         return np.zeros(0, np.uint64), np.zeros(len(starts), np.int64)
-    lengths = np.diff(np.append(begin, len(where)))
-    place = np.arange(len(where)) - np.repeat(begin, lengths)
+    lengths = np.diff(np.append(begin, np.int32(len(where))))
+    place = np.arange(len(where), dtype=np.int32) - np.repeat(begin, lengths)
     longest = int(lengths.max())
     factors = constants(0, 1 << (longest - 1).bit_length() if longest > 1 else 1)
     values = (_LOWER[data[where]].astype(np.uint64) + _u(1)) * factors[place]
