@@ -149,7 +149,8 @@ def count_tokens(docs: DataFrame, vocabulary: str, cache_path: str, id_col: str
         missing.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("__id")) & (F.col("sha") == F.col("__sha")), "left_semi")
     fresh = encoded_counts(rows, vocabulary, "body").select(F.lit(version).alias("tokenizer"), "sha", "n_tokens")
     fresh.write.mode("append").parquet(cache_path)
-    counts = _read_cache(spark, cache_path, version)
+    # written out, so that the join's exchanges are its own and AQE can split a digest that many rows hold
+    counts = stored(_read_cache(spark, cache_path, version), "token-counts")
     return keys.join(counts, "sha").select(
         F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
