@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from trialloom.llm import decontaminate as D
+from trialloom.llm import decontaminate as D, substring_dedup
 
 
 def lcs(a, b):
@@ -61,3 +61,26 @@ def test_benchmark_matches_equal_brute_force(spark):
     assert {(i * 10 + k, i) for i, _ in listed for k in range(4)} <= set(want)
     assert set(got) == set(want) and all(got[x] == pytest.approx(want[x]) for x in want)
     assert {r.doc_id for r in D.clean(docs, bench).collect()} == {d for d, _ in rows} - {d for d, _ in want}
+
+
+# -- 6: repeated passages
+
+def words_of(seed):
+    rng = random.Random(seed)
+    return lambda n: [" ".join("".join(rng.choice("abcdefghijk") for _ in range(7)) for _ in range(n))][0]
+
+
+def spans(spark, rows):
+    out = {}
+    for r in substring_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        out.setdefault(r.doc_id, []).append((r.start, r.end, r.first_id, r.kept))
+    return {i: sorted(x) for i, x in out.items()}
+
+
+def test_every_place_of_a_shared_passage(spark):
+    fill = words_of(31)
+    passage = fill(60)
+    got = spans(spark, [(1, f"{fill(40)} {passage} {fill(40)}"), (2, f"{passage} {fill(50)} {passage} {fill(50)} {passage}"), (3, f"{fill(200)}")])
+    assert [len(got[i]) for i in (1, 2)] == [1, 3] and set(got) == {1, 2}
+    for (start, end, first, kept), place in zip(got[2], (0, 110, 220)):
+        assert place <= start and end <= place + 60 and end - start >= 28 and (first, kept) == (1, False)

@@ -71,7 +71,7 @@ def _rolled(hashes: np.ndarray, width: int, salt: int) -> np.ndarray:
 
 
 def passages(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(id, start, d1, d2): the winnowed passages of every text, each distinct one of a text once."""
+    """(id, start, d1, d2): the winnowed passages of every text, at every place where they stand."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,7 +86,6 @@ def passages(docs: DataFrame, id_col: str, text: str) -> DataFrame:
                     if m >= PASSAGE_WORDS:
                         x = one[at: at + m - PASSAGE_WORDS + 1]
                         chosen = winnow(x, GAP)
-                        chosen = chosen[np.unique(x[chosen], return_index=True)[1]]
                         rows.append(np.full(len(chosen), a + i))
                         starts.append(chosen)
                         d1.append(x[chosen])
