@@ -84,3 +84,26 @@ def test_every_place_of_a_shared_passage(spark):
     assert [len(got[i]) for i in (1, 2)] == [1, 3] and set(got) == {1, 2}
     for (start, end, first, kept), place in zip(got[2], (0, 110, 220)):
         assert place <= start and end <= place + 60 and end - start >= 28 and (first, kept) == (1, False)
+
+
+def test_first_copy_after_a_shared_header_is_kept(spark):
+    fill = words_of(32)
+    a, b = fill(80), fill(90)
+    got = spans(spark, [(1, f"{a} {fill(60)}"), (5, f"{a} {b} {fill(50)}"), (9, f"{fill(20)} {a} {b}")])
+    assert [(first, kept) for _, _, first, kept in got[1]] == [(1, True)]
+    (s1, e1, f1, k1), (s2, e2, f2, k2) = got[5]
+    assert (f1, k1, f2, k2) == (1, False, 5, True) and s1 <= 23 and 57 <= e1 <= s2 <= 80 and 147 <= e2 <= 170
+    assert all((first, kept) == (1, False) for _, _, first, kept in got[9]) and sum(e - s for s, e, _, _ in got[9]) >= 120
+
+
+def test_runs_of_units_word_by_word(spark, monkeypatch):
+    """The sweep over hand-made units against marking every word."""
+    rng = random.Random(33)
+    units = [(d, s, s + rng.randint(28, 60), rng.choice([x for x in (1, 2, 3, 4) if x <= d])) for d in (1, 2, 3, 4) for s in (rng.randrange(600) for _ in range(14))]
+    monkeypatch.setattr(substring_dedup, "similar_paragraphs", lambda *_: spark.createDataFrame([(d, s, e - s, f) for d, s, e, f in units], "id long, start int, n_words int, first_id long"))
+    got = {(d, w): kept for d, runs in spans(spark, [(7, "nothing here")]).items() for s, e, _, kept in runs for w in range(s, e)}
+    want = {}
+    for d, s, e, f in units:
+        for w in range(s, e):
+            want[d, w] = want.get((d, w), True) and f == d
+    assert got == want

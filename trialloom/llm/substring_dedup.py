@@ -216,22 +216,33 @@ def similar_paragraphs(docs: DataFrame, id_col: str, text: str) -> DataFrame:
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, start, end, first_id, kept): runs of words that other documents repeat, overlaps merged.
 
-    Positions count words ([^ \\t-\\r]+) from 0, end exclusive. ``first_id`` is the smallest id that holds a
-    unit of the run; a run is kept where that is the document itself. Repeats inside one document do not
-    count. Null or empty texts and rows without an id have no runs; rows that repeat an id are the
-    same document; empty tables give no rows.
+    Positions count words ([^ \\t-\\r]+) from 0, end exclusive. A word goes if a unit over it stands in a
+    document of a smaller id as well, and is kept if all units over it stand here first. Runs hold words
+    of one decision; ``first_id`` is the smallest id that holds a unit of a removed run, and the document
+    itself for a kept one. Repeats inside one document do not count. Null or empty texts and rows without an
+    id have no runs; rows that repeat an id are the same document; empty tables give no rows.
     """
     units = passages(docs, id_col, text)
     again = stored(units.groupBy("d1", "d2").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"))
                    .where("first_id < last_id").drop("last_id"), "repeated-passages")
     exact = units.join(again, ["d1", "d2"]).select("id", "start", (F.col("start") + PASSAGE_WORDS).alias("end"), "first_id")
     near = similar_paragraphs(docs, id_col, text).select("id", "start", (F.col("start") + F.col("n_words")).alias("end"), "first_id")
-    by_start = W.partitionBy("id").orderBy("start", "end")
-    reached = F.max("end").over(by_start.rowsBetween(W.unboundedPreceding, -1))
-    runs = exact.unionByName(near).withColumn("__new", F.when(F.col("start") <= reached, 0).otherwise(1))
-    runs = runs.withColumn("__run", F.sum("__new").over(by_start.rowsBetween(W.unboundedPreceding, 0)))
-    runs = runs.groupBy("id", "__run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("first_id").alias("first_id"))
-    return runs.select(F.col("id").alias(id_col), "start", "end", "first_id", (F.col("id") == F.col("first_id")).alias("kept"))
+    spans = exact.unionByName(near)
+    gone = F.col("first_id") < F.col("id")
+    # +1 where a unit starts and -1 where it ends; running sums tell what covers the words up to the next such place
+    edges = spans.select("id", gone.alias("gone"), "first_id", F.explode(F.array(
+        F.struct(F.col("start").alias("pos"), F.lit(1).alias("step")), F.struct(F.col("end").alias("pos"), F.lit(-1).alias("step")))).alias("e"))
+    edges = edges.groupBy("id", F.col("e.pos").alias("start")).agg(
+        F.sum(F.when(F.col("gone"), F.col("e.step")).otherwise(0)).alias("__gone"), F.sum(F.when(F.col("gone"), 0).otherwise(F.col("e.step"))).alias("__own"),
+        F.min(F.when(F.col("gone") & (F.col("e.step") > 0), F.col("first_id"))).alias("first_id"))
+    by_start = W.partitionBy("id").orderBy("start")
+    so_far = by_start.rowsBetween(W.unboundedPreceding, 0)
+    cuts = edges.select("id", "start", F.lead("start").over(by_start).alias("end"), "first_id",
+                        F.when(F.sum("__gone").over(so_far) > 0, "gone").when(F.sum("__own").over(so_far) > 0, "own").otherwise("none").alias("__what"))
+    cuts = cuts.withColumn("__new", F.when(F.col("__what") == F.lag("__what").over(by_start), 0).otherwise(1))
+    runs = cuts.withColumn("__run", F.sum("__new").over(so_far)).where("__what <> 'none'")
+    runs = runs.groupBy("id", "__run", (F.col("__what") == "own").alias("kept")).agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("first_id").alias("first_id"))
+    return runs.select(F.col("id").alias(id_col), "start", "end", F.when(F.col("kept"), F.col("id")).otherwise(F.col("first_id")).alias("first_id"), "kept")
 
 
 @query("op6_substring_dedup")
