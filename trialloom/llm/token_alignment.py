@@ -5,9 +5,9 @@ ends that both dictionaries hold, in order, cut the two id lists into groups; in
 of tokens whose byte ranges overlap is a link. A group of p and q tokens has p + q - 1 links, so links
 grow with the tokens, never with their product.
 
-Both vocabularies always break between a visible character and a following blank or line feed (checked
-against the vocabularies, otherwise texts are encoded whole), so texts are cut there and every distinct
-chunk is encoded and aligned once per worker.
+Both vocabularies always break between a visible character and a following blank or line feed, and between a
+Latin letter and a following stop (checked against the vocabularies, otherwise texts are encoded whole), so texts are
+cut there. A worker remembers the aligned chunks; new ones are encoded as one text and aligned in one go.
 
 How it scales:
 
@@ -25,7 +25,7 @@ import json
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import accumulate, chain
+from itertools import accumulate, chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -37,12 +37,15 @@ from trialloom.llm.base import query, stored, table
 
 BLOCK_BYTES = 4_000_000     # text of the documents that share one list of id pairs
 SPAN_BYTES = 500_000        # text encoded together
-CACHED_CHUNKS = 150_000     # chunks in each of the two generations that a worker remembers
+CACHED_CHUNKS = 200_000     # chunks in each of the two generations that a worker remembers
 KEPT_CHUNK = 200            # longest chunk worth remembering
 SHIFT = 32                  # a pair of ids in one long: a << 32 | b
 
 #: From a blank or line feed after a visible character up to the next one.
 CHUNKS = re.compile(r"[ \n]\s*\S*(?:[^\S \n]\s*\S*)*")
+#: The same, and a cut between a Latin letter and a stop.
+LATIN = "[A-Za-zÀ-ÖØ-öø-ɏ]"
+FINE_CHUNKS = re.compile(rf"[ \n]{LATIN}+(?=[.,;:!?])|(?<={LATIN})[.,;:!?]\S*(?:[^\S \n]\s*\S*)*|" + CHUNKS.pattern)
 BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
@@ -105,7 +108,7 @@ class Aligner:
         a_breaks = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and spec.get("normalizer") is None
         # "\n" in no piece: it stands alone; no blank after a visible character: pieces break there
         b_breaks = not any("\n" in p or re.search("[^▁]▁", p) for p in pieces) and self._keeps_blanks()
-        self.chunked = bool(a_breaks and b_breaks)
+        self.find = None if not (a_breaks and b_breaks) else CHUNKS if any(re.search(f"{LATIN}[.,;:!?]", p) for p in pieces) else FINE_CHUNKS
         self.young: dict[str, tuple] = {}
         self.old: dict[str, tuple] = {}  # entries move to young when they are met again
 
@@ -115,18 +118,26 @@ class Aligner:
         return "".join(self.b.id_to_piece(i) if not self.b.is_byte(i) else "" for i in self.b.encode(probe)).replace("▁", " ").startswith("   x  ") and b"".join(
             self.b_bytes[i] for i in self.b.encode(probe)) == (" " + probe).encode("utf-8")
 
-    def _encode(self, parts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
-        """Ids of parts of ' ' + text; B adds the blank at the front by itself."""
-        first = self.a.encode_batch_fast(parts, add_special_tokens=False)
-        second = self.b.encode([p[1:] if p[:1] == " " else p for p in parts], num_threads=1)
-        for part, x, y in zip(parts, first, second):
-            # B put a blank of its own before a line feed; no piece spans the two
-            yield x.ids, y if part[:1] == " " else y[1:]
-
-    def _entries(self, parts: list[str]) -> list[tuple]:
-        """(right, n_a, n_b, n_groups, linked pairs, groups as text) of every part, aligned in one go."""
-        ids = list(self._encode(parts))
-        a, b = list(chain.from_iterable(x for x, _ in ids)), list(chain.from_iterable(y for _, y in ids))
+    def _encode(self, parts: list[str]) -> tuple[list[int], list[int]]:
+        """Ids of parts, one after the other. A part that starts with a blank or line feed and ends in a visible
+        character breaks from its neighbours by itself; the others are encoded alone."""
+        a, b = [], []
+        for alone, run in groupby(parts, lambda p: p[0] not in " \n" or p[-1].isspace()):
+            if not alone:
+                text = "".join(run)
+                a += self.a.encode(text, add_special_tokens=False).ids
+                # B puts a blank in front, which counts as that of the text; before a line feed it is one too many
+                b += self.b.encode(text[1:]) if text[0] == " " else self.b.encode(text)[1:]
+            else:
+                for part in run:
+                    a += self.a.encode(part, add_special_tokens=False).ids
+                    # no piece holds a line feed: what B makes of one in front is its own blank and the line feed
+                    b += self.b.encode(part[1:]) if part[0] == " " else self.b.encode("\n" + part)[2:]
+        return a, b
+
+    def _entries(self, parts: list[str]) -> list[tuple | None]:
+        """(n_a, n_groups, linked pairs as bytes, groups as text) of every part; None if the bytes are not its own."""
+        a, b = self._encode(parts)
         raw = [p.encode("utf-8") for p in parts]
         a_sizes, b_sizes = list(map(self.a_sizes.__getitem__, a)), list(map(self.b_sizes.__getitem__, b))
         whole = b"".join(raw)
@@ -136,53 +147,58 @@ class Aligner:
         if (b"".join(map(self.a_bytes.__getitem__, a)) != whole or b"".join(map(self.b_bytes.__getitem__, b)) != whole
                 or any(e not in place for e in ends)):
             # some part is not given back byte by byte: look for it
-            return [(False, 0, 0, 0, (), "")] if len(parts) == 1 else [x for half in (parts[:len(parts) // 2], parts[len(parts) // 2:]) for x in self._entries(half)]
-        out, i, j, k, x, y = [], 0, 0, 0, 0, 0
-        for end, (part_a, part_b) in zip(ends, ids):
-            last, links, words = place[end], [], []
-            for _, p, q in slices[k:last]:
-                if p - i == 1 == q - j:
-                    links.append(a[i] << SHIFT | b[j])
-                    words.append(f"{a[i]}|{b[j]}")
-                else:
-                    links += slice_links(a[i:p], b[j:q], a_sizes[i:p], b_sizes[j:q])
-                    words.append(",".join(map(str, a[i:p])) + "|" + ",".join(map(str, b[j:q])))
-                i, j = p, q
-            out.append((True, len(part_a), len(part_b), last - k, links, ";".join(words)))
-            k = last
+            return [None] if len(parts) == 1 else [x for half in (parts[:len(parts) // 2], parts[len(parts) // 2:]) for x in self._entries(half)]
+        # links and text of every slice; most hold one token of each
+        words, links, i, j = [], [], 0, 0
+        for _, p, q in slices:
+            if p - i == 1 == q - j:
+                links.append(a[i] << SHIFT | b[j])
+                words.append(f"{a[i]}|{b[j]}")
+            else:
+                links += slice_links(a[i:p], b[j:q], a_sizes[i:p], b_sizes[j:q])
+                words.append(",".join(map(str, a[i:p])) + "|" + ",".join(map(str, b[j:q])))
+            i, j = p, q
+        packed = np.array(links, np.int64).tobytes()
+        out, k, i, j, at = [], 0, 0, 0, 0
+        for end in ends:
+            last = place[end]
+            _, p, q = slices[last - 1]
+            to = at + 8 * (p - i + q - j - (last - k))   # a slice of x and y tokens has x + y - 1 links
+            out.append((p - i, last - k, packed[at:to], ";".join(words[k:last])))
+            k, i, j, at = last, p, q, to
         return out
 
-    def _fill(self, parts: set[str]) -> dict[str, tuple]:
+    def _fill(self, parts: set[str]) -> dict[str, tuple | None]:
         """Entries of parts that are too long to remember; the others go to the cache."""
-        large, todo = {}, list(parts)
-        for at in range(0, len(todo), 1024):
-            piece = todo[at:at + 1024]
+        large, todo = {}, sorted(parts, key=lambda p: p[0] not in " \n" or p[-1].isspace())
+        for at in range(0, len(todo), 512):
+            piece = todo[at:at + 512]
             for part, entry in zip(piece, self._entries(piece)):
                 (self.young if len(part) <= KEPT_CHUNK else large)[part] = entry
         return large
 
     def __call__(self, texts: list[str | None]) -> Iterator[tuple]:
-        """Per text (n_a, n_b, n_groups, linked pairs, groups as text); zeros without tokens."""
-        none = (0, 0, 0, (), "")
+        """Per text (n_a, n_b, n_groups, linked pairs as bytes, groups as text); zeros without tokens."""
+        none = (0, 0, 0, b"", "")
         if len(self.young) > CACHED_CHUNKS:
             self.old, self.young = self.young, {}
-        parts = [(CHUNKS.findall(" " + t) if self.chunked else [" " + t]) if t else [] for t in texts]
+        parts = [(self.find.findall(" " + t) if self.find else [" " + t]) if t else [] for t in texts]
         missing = set(chain.from_iterable(parts)) - self.young.keys()
         known = missing & self.old.keys()
         self.young.update(zip(known, map(self.old.__getitem__, known)))
         large = self._fill(missing - known)
         look = {**self.young, **large}.__getitem__ if large else self.young.__getitem__
         for text, mine in zip(texts, parts):
-            if not mine:
-                yield none
-                continue
-            right, n_a, n_b, n_groups, links, words = zip(*map(look, mine))
-            if not all(right):
+            entries = list(map(look, mine))
+            if None in entries:
                 # parts may only be wrong by themselves; the whole text decides
-                entry, = self._entries([" " + text])
-                yield entry[1:] if entry[0] else none
+                entries = self._entries([" " + text])
+            if not entries or entries[0] is None:
+                yield none
                 continue
-            yield sum(n_a), sum(n_b), sum(n_groups), list(chain.from_iterable(links)), ";".join(words)
+            n_a, n_groups, links, words = zip(*entries)
+            n_a, n_groups, links = sum(n_a), sum(n_groups), b"".join(links)
+            yield n_a, len(links) // 8 + n_groups - n_a, n_groups, links, ";".join(words)
 
 
 @lru_cache(maxsize=1)
@@ -249,7 +265,7 @@ def aligned_blocks(docs: DataFrame, vocabulary: str, model: str, id_col: str = "
         for span_ids, texts in _spans(batches):
             ids.append(span_ids)
             for t, (n_a, n_b, n_groups, links, words) in zip(texts, aligner(texts)):
-                pairs, times = np.unique(np.array(links, np.int64), return_counts=True)
+                pairs, times = np.unique(np.frombuffer(links, np.int64), return_counts=True)
                 rows.append((n_a, n_b, n_groups, hashlib.sha256(words.encode()).hexdigest() if n_a else "", pairs, times.astype(np.int64)))
                 size += len(t or "")
             if size >= BLOCK_BYTES:
