@@ -278,22 +278,38 @@ def heavy_prefixes(body: DataFrame, routes: Routes, budget: int, total: int, see
     return np.sort(np.array([r.two for r in found.select("two").collect()], dtype=np.int64).view(np.uint64))
 
 
+def frequent_words(words: DataFrame, budget: int) -> DataFrame:
+    """(key, n): at most RANKED of the most frequent words, all above the budget among them.
+
+    A histogram over sixteenths of powers of two says from which frequency on they are few enough, so no
+    task and not the driver sorts the words.
+    """
+    level = F.floor(16 * F.log2("n"))
+    size, least = 0, 1 << 62
+    for r in sorted(words.where("n > 0").groupBy(level.alias("level")).agg(F.count("*").alias("words"), F.min("n").alias("least")).collect(), key=lambda r: -r.level):
+        size += r.words
+        if size > RANKED:
+            break
+        least = r.least
+    # fewer than total / budget <= MAX_GROUPS words are above the budget
+    return words.where(F.col("n") >= min(least, budget + 1)).select("key", "n")
+
+
 def vertical_partition(body: DataFrame, words: DataFrame, seed: int, group_suffixes: int, part: int) -> Routes:
     """Pack prefixes into groups of about the budget."""
     spark = body.sparkSession
     total = words.agg(F.sum("n")).first()[0] or 0
     budget = max(group_suffixes, -(-total // MAX_GROUPS))
-    # a word that is not among these has at most total / RANKED suffixes, which is below the budget
-    top = words.orderBy(F.desc("n"), "key").select("key", "n").limit(RANKED).collect()
+    top = sorted(((r.n, r.key) for r in frequent_words(words, budget).collect()), key=lambda r: (-r[0], r[1]))  # at most RANKED rows
     groups = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-3 * total // (2 * budget)))
-    keys = np.array([r.key for r in top], dtype=np.int64).view(np.uint64)
+    keys = np.array([key for _, key in top], dtype=np.int64).view(np.uint64)
     packed = np.full(len(top), -1, dtype=np.int64)
     load = [(0, g) for g in range(groups)]
-    for rank, r in enumerate(top):
-        if r.n <= budget:
+    for rank, (n, _) in enumerate(top):
+        if n <= budget:
             have, g = heapq.heappop(load)
             packed[rank] = g
-            heapq.heappush(load, (have + r.n, g))
+            heapq.heappush(load, (have + n, g))
     routes = Routes(groups, keys, np.argsort(keys), packed, np.zeros(0, np.uint64))
     if (packed < 0).any():
         routes.heavy = heavy_prefixes(body, routes, budget, total, seed, part)

@@ -177,7 +177,8 @@ def sample(docs: DataFrame, text: str, lang: str, usable, per_language: int) ->
     # thin out by hash before ranking: twice the wanted number is left of a large language
     counts = keys.groupBy("lang").agg(F.count("*").alias("n"))
     share = F.least(F.lit(1.0), F.lit(2.0 * per_language + 100) / F.col("n"))
-    few = keys.join(counts, "lang").where(F.pmod(F.xxhash64("h", F.lit(1)), F.lit(1 << 30)) < share * (1 << 30))
+    # one row per language; joined on the spot, else all keys of a language would meet in one task
+    few = keys.join(F.broadcast(counts), "lang").where(F.pmod(F.xxhash64("h", F.lit(1)), F.lit(1 << 30)) < share * (1 << 30))
     few = few.withColumn("at", F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("h", F.lit(1)), "h"))).where(F.col("at") <= per_language)
     return hashed.join(few.select("lang", "h", "at"), ["lang", "h"]).groupBy("lang", "at").agg(F.min("text").alias("text")).select("text", "lang", "at")
 
