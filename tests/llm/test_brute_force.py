@@ -53,14 +53,20 @@ def planted(seed=21):
     return docs + [(900 + k, " ".join(word() for _ in range(300))) for k in range(60)], items
 
 
-def test_benchmark_matches_equal_brute_force(spark):
+@pytest.mark.parametrize("block", [20_000, 5])
+def test_benchmark_matches_equal_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(D, "BLOCK_ITEMS", block)
     rows, listed = planted()
     docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(listed, "item_id long, text string")
-    got = {(r.doc_id, r.item_id): (r.lcs, r.answer) for r in D.matches(docs, bench).collect()}
+    found = D.matches(docs, bench).collect()
+    got = {(r.doc_id, r.item_id): (r.lcs, r.answer) for r in found}
+    assert sum(r.by_cosine for r in found) >= 0.9 * len(found)  # recall of the latent retrieval alone
     want = brute_matches(rows, listed)
     assert {(i * 10 + k, i) for i, _ in listed for k in range(4)} <= set(want)
     assert set(got) == set(want) and all(got[x] == pytest.approx(want[x]) for x in want)
     assert {r.doc_id for r in D.clean(docs, bench).collect()} == {d for d, _ in rows} - {d for d, _ in want}
+    named = bench.selectExpr("concat('item ', item_id) AS item_id", "text")
+    assert {(r.doc_id, r.item_id) for r in D.matches(docs, named).collect()} == {(d, f"item {i}") for d, i in want}
 
 
 # -- 6: repeated passages
