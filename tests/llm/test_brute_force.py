@@ -113,3 +113,21 @@ def test_runs_of_units_word_by_word(spark, monkeypatch):
         for w in range(s, e):
             want[d, w] = want.get((d, w), True) and f == d
     assert got == want
+
+
+# -- 9: large groups of close documents
+
+def test_blocks_grow_with_the_members_when_one_row_is_outside(spark, monkeypatch):
+    from trialloom.llm import near_dedup as N
+
+    monkeypatch.setattr(N, "NODE_DOCS", 20)
+    made = {}
+    for n in (200, 400):
+        nodes = spark.range(n).selectExpr("1L AS node", "id AS rep")
+        labels = spark.range(n).selectExpr("id", f"if(id = {n - 1}, {n - 1}L, 0L) AS label")
+        reps = spark.range(n).selectExpr("id AS rep", "10 AS n_shingles")
+        rows = N.block_nodes(nodes, labels, reps).collect()
+        made[n] = len(rows)
+        with_last = {r.node for r in rows if r.rep == n - 1}
+        assert {r.rep for r in rows if r.node in with_last} == set(range(n))
+    assert made[400] < 2.5 * made[200]

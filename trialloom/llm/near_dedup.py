@@ -286,7 +286,10 @@ def merged_nodes(nodes: DataFrame) -> DataFrame:
 
 
 def block_nodes(nodes: DataFrame, labels: DataFrame | None, reps: DataFrame) -> DataFrame:
-    """Stuck nodes as bounded groups (node, rep): blocks outside the main label against all blocks."""
+    """Stuck nodes as bounded groups (node, rep): blocks with a row outside the main label against all blocks.
+
+    Rows grow with the members times the blocks that hold such a row, not with the square of the members.
+    """
     rows = _labelled(nodes, labels).join(reps.select("rep", "n_shingles"), "rep")
     by_label = rows.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n"))
     main = by_label.groupBy("node").agg(F.max_by("label", "n").alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1")
@@ -295,10 +298,11 @@ def block_nodes(nodes: DataFrame, labels: DataFrame | None, reps: DataFrame) ->
     blocks = F.ceil(F.greatest(F.col("n") / (NODE_DOCS / 2.5), F.col("w") / (NODE_SHINGLES / 2.5)))
     info = main.join(total, "node").select("node", "main", blocks.cast("int").alias("blocks"))
     rows = rows.join(info, "node").withColumn("block", F.pmod(F.xxhash64("rep", "node"), F.col("blocks")).cast("int"))
-    other = F.explode(F.expr("sequence(0, blocks - 1)")).alias("to")
-    pair = lambda a, b: F.xxhash64("node", a, b)
-    few = rows.where("label <> main").select("node", "rep", "block", other).select(pair("block", "to").alias("node"), "rep")
-    all_of = rows.select("node", "rep", "block", other).select(pair("to", "block").alias("node"), "rep")
+    pair = F.xxhash64("node", "open", "to").alias("node")
+    outside = rows.where("label <> main").select("node", "rep", F.col("block").alias("open"), "blocks")
+    few = outside.withColumn("to", F.explode(F.expr("sequence(0, blocks - 1)"))).select(pair, "rep")
+    open_blocks = outside.select("node", "open").distinct()
+    all_of = rows.select("node", "rep", F.col("block").alias("to")).join(open_blocks, "node").select(pair, "rep")
     return few.unionByName(all_of).distinct()
 
 
