@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trialloom.functions import smallmath as sm
-from trialloom.operators import derive, encoding as enc, features as fea, linear, mixed, multivariate as mv, rank_tests as rt
+from trialloom.operators import derive, encoding as enc, decoding as dec, features as fea, linear, mixed, multivariate as mv, rank_tests as rt
 
 TERMS = derive.crossed("a", "b")
 
@@ -296,8 +296,103 @@ def test_decoder_separates_classes(spark):
     rng = np.random.default_rng(0)
     rows = [(i, i % 2, i % 3, [float(i % 2) * 4 + rng.normal(), rng.normal()]) for i in range(60)]
     df = spark.createDataFrame(rows, "id long, label int, subject long, v array<double>")
-    pred, c = fea.decode_label(df, "id", "label", "subject", "v", [1.0])
+    pred, c = dec.decode_label(df, "id", "label", "subject", "v", [1.0])
     assert pred.count() == 60 and c == 1.0
-    assert fea.decoding_scores(pred, "label").first()["balanced_accuracy"] > 0.9
-    u = fea.unique_contribution(df, "label", "v", [0, 1], 1.0).toPandas().set_index("feature")
+    assert dec.decoding_scores(pred, "label").first()["balanced_accuracy"] > 0.9
+    u = dec.unique_contribution(df, "label", "v", None, 1.0, "id").toPandas().set_index("feature")
     assert u.loc[0, "delta"] > u.loc[1, "delta"]
+
+
+def dense_fit(x, y, classes, c, drop=None, steps=20_000):
+    """Plain proximal gradient on scaled rows: mean balanced log loss + |w| / (c n)."""
+    n, d = x.shape
+    z = np.column_stack([x, np.ones(n)])
+    balance = n / (classes * np.bincount(y, minlength=classes))[y]
+    hot, w = np.eye(classes)[y], np.zeros((classes, d + 1))
+    step = 1 / (0.5 * balance.max() * np.linalg.eigvalsh(z.T @ z / n)[-1])
+    for _ in range(steps):
+        p = np.exp(z @ w.T - (z @ w.T).max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        new = w - step * ((p - hot) * balance[:, None]).T @ z / n
+        new[:, :d] = np.sign(new[:, :d]) * np.maximum(np.abs(new[:, :d]) - step / (c * n), 0)
+        if drop is not None:
+            new[:, drop] = 0
+        if np.abs(new - w).max() < 1e-7:
+            break
+        w = new
+    return w
+
+
+def choice(p):
+    return (p >= p.max(axis=1, keepdims=True) - 1e-3).argmax(axis=1)
+
+
+def decoding_case():
+    rng = np.random.default_rng(4)
+    y = rng.choice(3, 90, p=[0.5, 0.3, 0.2])
+    x = rng.normal(size=(90, 4)) * [1, 5, 0.2, 1] + np.column_stack([y * 0.9, -2.0 * (y == 1), 0 * y, 0 * y]) + 3
+    return y, np.arange(90) % 4, x
+
+
+def scale(x, train):
+    return (x - x[train].mean(axis=0)) / x[train].std(axis=0)
+
+
+def test_decoder_equals_dense_fits_and_tuning(spark):
+    """Every fold, strength and prediction against fits one by one in numpy."""
+    y, subject, x = decoding_case()
+    names = np.array(["ca", "cb", "cc"])
+    df = spark.createDataFrame([(i, names[y[i]], f"s{subject[i]}", x[i].tolist()) for i in range(90)], "id long, label string, subject string, v array<double>")
+    grid = [0.003, 0.1, 1.0]
+    pred, median = dec.decode_label(df.repartition(3), "id", "label", "subject", "v", grid, max_steps=2000, tol=1e-6)
+    got = {r.id: (r.predicted, r.strength) for r in pred.collect()}
+    place = np.zeros(90, int)
+    for k in range(3):
+        place[y == k] = np.arange((y == k).sum())
+    chosen = []
+    for s in range(4):
+        train = subject != s
+        z = scale(x, train)
+        n = max(2, min(3, np.bincount(y[train]).min()))
+        score = []
+        for c in grid:
+            rates = []
+            for f in range(n):
+                a, b = train & (place % n != f), train & (place % n == f)
+                w = dense_fit(z[a], y[a], 3, c)
+                rates.append((choice(np.column_stack([z[b], np.ones(b.sum())]) @ w.T) == y[b]).mean())
+            score.append(np.mean(rates))
+        best = grid[int(np.argmax(score))]
+        chosen.append(best)
+        w = dense_fit(z[train], y[train], 3, best)
+        out = choice(np.column_stack([z, np.ones(90)]) @ w.T)
+        assert [got[i] for i in np.flatnonzero(~train)] == [(names[out[i]], best) for i in np.flatnonzero(~train)]
+    assert median == np.median(chosen)
+    assert sum(r.n for r in dec.confusion(pred, "label").collect()) == 90
+
+
+def test_decoding_coefficients_and_contributions_equal_dense_fits(spark):
+    y, _, x = decoding_case()
+    df = spark.createDataFrame([(i, int(y[i]), x[i].tolist()) for i in range(90)], "id long, label int, v array<double>")
+    z = scale(x, np.ones(90, bool))
+    for r in dec.decoding_coefficients(df, "label", "v", "id", 0.5, max_steps=3000).collect():
+        assert r.coef == pytest.approx(dense_fit(z, y, 3, 0.5)[r["class"], r.feature], abs=0.02) and r.converged
+    one = np.column_stack([z, np.ones(90)])
+    accuracy = lambda w: np.mean([(choice(one[y == k] @ w.T) == k).mean() for k in range(3)])
+    full = accuracy(dense_fit(z, y, 3, 0.5))
+    got = {r.feature: r for r in dec.unique_contribution(df, "label", "v", None, 0.5, "id", max_steps=3000).collect()}
+    for f in range(4):
+        assert got[f].full_accuracy == pytest.approx(full, abs=0.02) and got[f].delta == pytest.approx(full - accuracy(dense_fit(z, y, 3, 0.5, f)), abs=0.03)
+
+
+def test_decoder_without_classes_or_with_a_lost_one(spark):
+    schema = "id long, label string, subject long, v array<double>"
+    rows = [(i, "ab"[i % 2], 0 if i % 2 else i % 3, [float(i % 2), 1.0]) for i in range(30)] + [(90, "a", 1, [None, 1.0]), (91, "a", 1, [float("nan"), 1.0]), (92, "b", 1, None)]
+    pred, _ = dec.decode_label(spark.createDataFrame(rows, schema), "id", "label", "subject", "v", [1.0])
+    got = {r.id: r.predicted for r in pred.collect()}
+    assert set(got) == set(range(30))
+    assert all((p is None) == (i % 2 == 1 or i % 3 == 0) for i, p in got.items())   # all rows of b belong to subject 0
+    none, c = dec.decode_label(spark.createDataFrame([], schema), "id", "label", "subject", "v")
+    assert none.count() == 0 and c == 1.0
+    one, _ = dec.decode_label(spark.createDataFrame(rows[:30:2], schema), "id", "label", "subject", "v", [1.0])
+    assert {r.predicted for r in one.collect()} == {None}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trialloom.operators import derive, encoding as enc, features as fea
+from trialloom.operators import decoding as dec, derive, encoding as enc, features as fea
 from trialloom.plans.catalog import REL_SQL, contrasted
 from trialloom.plans.inputs import SIGNAL_SQL, with_sql
 from trialloom.plans.registry import query, rnd
@@ -71,25 +71,26 @@ def mean_similarity_across_subjects(t):
     return fea.mean_similarity(embeddings(t), "label", "subject", "v", True).withColumn("similarity", rnd("similarity"))
 
 
-def decodable(t):
-    return embeddings(t).select("vec_id", (F.col("label") % 3).alias("label"), (F.col("vec_id") % 3).alias("subject"), F.slice("v", 1, 16).alias("v"))
-
-
 @query("decode_label")
 def decode_label(t):
-    pred, _ = fea.decode_label(decodable(t), "vec_id", "label", "subject", "v", [0.1, 1.0])
-    return fea.decoding_scores(pred, "label").select("label", "n", rnd("recall").alias("recall"), rnd("accuracy").alias("accuracy"), rnd("balanced_accuracy").alias("balanced_accuracy"))
+    pred, _ = dec.decode_label(embeddings(t), "vec_id", "label", "subject", "v")
+    return dec.decoding_scores(pred, "label").select("label", "n", rnd("recall").alias("recall"), rnd("accuracy").alias("accuracy"), rnd("balanced_accuracy").alias("balanced_accuracy"))
 
 
 @query("decode_confusion")
 def decode_confusion(t):
-    pred, _ = fea.decode_label(decodable(t), "vec_id", "label", "subject", "v", [1.0])
-    return fea.confusion(pred, "label")
+    pred, _ = dec.decode_label(embeddings(t), "vec_id", "label", "subject", "v")
+    return dec.confusion(pred, "label")
+
+
+@query("decode_coefficients")
+def decode_coefficients(t):
+    return dec.decoding_coefficients(embeddings(t), "label", "v", "vec_id", 1.0).withColumn("coef", rnd("coef", 3))
 
 
 @query("unique_contribution")
 def unique_contribution(t):
-    return fea.unique_contribution(decodable(t), "label", "v", [0, 1, 2], 1.0).select("feature", *[rnd(c).alias(c) for c in ("full_accuracy", "reduced_accuracy", "delta")])
+    return dec.unique_contribution(embeddings(t), "label", "v", None, 1.0, "vec_id").select("feature", *[rnd(c).alias(c) for c in ("full_accuracy", "reduced_accuracy", "delta")], "converged")
 
 
 # --- encoding models: events as impulses on a 6-hour grid, mean value of a bin as the target -------
