@@ -222,6 +222,37 @@ def test_cca_permutation_moves_sessions(spark):
     assert p["p_value"] == pytest.approx(0.01) and p["correlation"] > 0.95
 
 
+@pytest.mark.parametrize("block_rows", [7, 1000])
+def test_cca_permutation_equals_rows_in_drawn_order(spark, block_rows):
+    """Sessions of unequal length, also shorter than a block and longer: p against permuting the rows themselves."""
+    rng = np.random.default_rng(9)
+    sizes = [1, 12, 3, 5, 9, 2, 20, 4]
+    n, session = sum(sizes), np.repeat(np.arange(len(sizes)), sizes)
+    x, y = rng.normal(size=(n, 2)), rng.normal(size=(n, 2))
+    y[:, 0] += 0.35 * x[:, 0]
+    df = spark.createDataFrame([("c", int(s), i, x[i].tolist(), y[i].tolist()) for i, s in enumerate(session)], "c string, s int, i long, x array<double>, y array<double>")
+    got = {r.component: (r.correlation, r.p_value) for r in mv.permuted_cca(df, ["c"], "s", "i", "x", "y", 40, block_rows=block_rows).collect()}
+    draws = {}
+    for r in spark.range(41).crossJoin(df.select("s").distinct()).select(F.col("id").cast("int").alias("it"), "s", F.when(F.col("id") == 0, F.xxhash64("s")).otherwise(F.xxhash64("s", F.col("id").cast("int"), F.lit(0))).alias("h")).collect():
+        draws.setdefault(r["it"], []).append((r["h"], r["s"]))
+    order = {it: np.concatenate([np.flatnonzero(session == s) for _, s in sorted(v)]) for it, v in draws.items()}
+    first = np.linalg.qr(x[order[0]] - x.mean(0))[0]
+    corr = np.array([np.linalg.svd(first.T @ np.linalg.qr(y[order[it]] - y.mean(0))[0])[1] for it in range(41)])
+    for i in range(2):
+        assert got[f"CC{i + 1}"] == pytest.approx((corr[0, i], ((corr[1:, i] >= corr[0, i]).sum() + 1) / 41))
+
+
+def test_mannwhitney_extreme_tails_of_large_samples(spark):
+    """The least and the largest U of 8 and 3,000 values: counted arrangements over all."""
+    import math
+
+    assert list(rt._u_counts(8, 3000)[:5]) == [1, 1, 2, 3, 5] and list(rt._u_counts(8, 3000)[-5:]) == [5, 3, 2, 1, 1]
+    rows = spark.createDataFrame([(u, 8, 3000, 0) for u in (0.0, 2.0, 24000.0, 23998.0)], "u double, n int, m int, t int")
+    got = [r[0] for r in rows.select(rt.mannwhitney_p("u", "n", "m", "t")).collect()]
+    for p, ways in zip(got, (1, 4, 1, 4)):
+        assert p == pytest.approx(2 * ways / math.comb(3008, 8), rel=1e-9)
+
+
 def test_variance_components_recover_and_select(spark):
     rng = np.random.default_rng(1)
     rows = []

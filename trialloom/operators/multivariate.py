@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from trialloom.constants import VARCOMP_GRID, VARCOMP_HDI, VARCOMP_MIN_MICE, VARCOMP_MIN_SESSIONS
 from trialloom.functions.columns import probit
@@ -78,31 +78,60 @@ def cca_weights(grams: DataFrame, keys: list[str], kx: int, names: list[str], n_
     return _per_group(grams, keys, "view string, feature string, component string, weight double", rows)
 
 
-def permuted_cca(df: DataFrame, keys: list[str], session: str, row: str, x: str, y: str, n_permutations: int, seed: int = 0) -> DataFrame:
+BLOCK_ROWS = 20_000  # rows of each side that a task of permuted_cca holds
+
+
+def permuted_cca(df: DataFrame, keys: list[str], session: str, row: str, x: str, y: str, n_permutations: int = 1000, seed: int = 0, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Permutation p per variate, whole sessions of y moving together.
 
     Iteration i orders sessions by hash(session, i, seed); the j-th row of that order meets the j-th
-    row of x. Only the cross moments change, so each iteration adds one kx x ky matrix.
+    row of x. Only the cross moments change, so each iteration adds one kx x ky matrix. No row is
+    copied per draw: an iteration is a list of stretches, (place in x, place in y, length), made from the sessions'
+    lengths alone. Rows lie in blocks by their place; every pair of blocks meets once, together with the
+    stretches of all iterations that fall into it.
     """
-    its = F.explode(F.sequence(F.lit(0), F.lit(n_permutations)))
-    hashed = df.select(*keys, session, row, x, y).withColumn("it", its).withColumn(
-        "__h", F.when(F.col("it") == 0, F.xxhash64(session)).otherwise(F.xxhash64(session, "it", F.lit(seed))))
-    placed = ordered_scan(hashed, [*keys, "it"], ["__h", session, row], F.shiftright("__h", 58), index="__pos")
-    placed = cut_lineage(placed.select(*keys, "it", "__pos", x, y))
-    base = placed.where("it = 0").select(*keys, "__pos", x)
-    pairs = base.join(placed.select(*keys, "it", "__pos", y), [*keys, "__pos"])
-    kx = len(df.select(x).first()[0])
-
-    def cross(batches):
-        acc = {}
-        for pdf in batches:
-            for key, part in pdf.groupby([*keys, "it"], sort=False):
-                acc[key] = acc.get(key, 0) + np.stack([np.asarray(v, float) for v in part[x]]).T @ np.stack([np.asarray(v, float) for v in part[y]])
-        for key, m in acc.items():
-            yield pd.DataFrame({**{k: np.repeat([v], m.size) for k, v in zip([*keys, "it"], key)}, "pos": np.arange(m.size), "v": m.ravel()})
+    hashed = df.select(*keys, session, row, x, y).withColumn("__h", F.xxhash64(session))
+    placed = ordered_scan(hashed, keys, ["__h", session, row], F.shiftright("__h", 58), index="__pos")
+    placed = cut_lineage(placed.select(*keys, session, "__pos", x, y))
+    kx, ky = (len(placed.select(c).first()[0]) for c in (x, y))
+    own = placed.groupBy(*keys, session).agg(F.min("__pos").alias("__o"), F.count(F.lit(1)).alias("__n"))
+    draws = own.withColumn("it", F.explode(F.sequence(F.lit(0), F.lit(n_permutations))))
+    # offsets of the drawn order: one small row per session and draw
+    draw = W.partitionBy(*keys, "it").orderBy(F.when(F.col("it") == 0, F.col("__o")).otherwise(F.xxhash64(session, "it", F.lit(seed))), session)
+    draws = draws.withColumn("__q", F.sum("__n").over(draw) - F.col("__n"))
+    # where an x session or a y session begins, a stretch begins; y rows lie at their own place plus a shift
+    begins = draws.select(*keys, "it", F.col("__o").alias("__p"), F.lit(None).cast("long").alias("__shift")).unionByName(
+        draws.select(*keys, "it", F.col("__q").alias("__p"), (F.col("__o") - F.col("__q")).alias("__shift")))
+    begins = begins.groupBy(*keys, "it", "__p").agg(F.max("__shift").alias("__shift"))
+    along = W.partitionBy(*keys, "it").orderBy("__p")
+    total = own.groupBy(*keys).agg(F.sum("__n").alias("__all"))
+    parts = begins.join(total, keys).select(*keys, "it", "__p", F.coalesce(F.lead("__p").over(along), F.col("__all")).alias("__end"), F.last("__shift", True).over(along).alias("__shift"))
+    block = lambda at: F.floor(at / F.lit(block_rows))
+    parts = parts.withColumn("__g", F.explode(F.sequence(block(F.col("__p")), block(F.col("__end") - 1))))
+    parts = parts.withColumn("__k", F.explode(F.sequence(block(F.greatest(F.col("__p"), F.col("__g") * block_rows) + F.col("__shift")),
+                                                         block(F.least(F.col("__end"), (F.col("__g") + 1) * block_rows) - 1 + F.col("__shift")))))
+    parts = cut_lineage(parts)
+    pairs = parts.select(*keys, "__g", "__k").distinct()
+    rows_of = lambda side, at, v: placed.select(*keys, block(F.col("__pos")).alias(at), F.lit(side).alias("__side"), "__pos", F.col(v).alias("__v")).join(pairs, [*keys, at]).select(*keys, "__g", "__k", "__side", "__pos", "__v")
+    data = rows_of(0, "__g", x).unionByName(rows_of(1, "__k", y))
+
+    def cross(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        sides = []
+        for side, width in ((0, kx), (1, ky)):
+            part = left[left["__side"] == side].sort_values("__pos")
+            sides.append((part["__pos"].to_numpy(), np.array([np.asarray(v, float) for v in part["__v"]]).reshape(-1, width)))
+        (px, vx), (py, vy) = sides
+        its = np.unique(right["it"].to_numpy())
+        acc = np.zeros((len(its), kx, ky))
+        for it, p, end, shift in zip(np.searchsorted(its, right["it"].to_numpy()), right["__p"], right["__end"], right["__shift"]):
+            lo, hi = max(p, px[0], py[0] - shift), min(end, px[-1] + 1, py[-1] + 1 - shift)
+            if lo < hi:
+                acc[it] += vx[lo - px[0]:hi - px[0]].T @ vy[lo + shift - py[0]:hi + shift - py[0]]
+        return pd.DataFrame({**{k: np.repeat(right[k].iloc[:1].to_numpy(), acc.size) for k in keys}, "it": np.repeat(its, kx * ky), "pos": np.tile(np.arange(kx * ky), len(its)), "v": acc.ravel()})
 
     types = _key_types(df, keys)
-    cells = pairs.select(*keys, "it", x, y).mapInPandas(cross, f"{types}, it int, pos int, v double")
+    by = [*keys, "__g", "__k"]
+    cells = data.groupBy(*by).cogroup(parts.select(*[F.col(c).alias(c) for c in by], "it", "__p", "__end", "__shift").groupBy(*by)).applyInPandas(cross, f"{types}, it int, pos int, v double")
     cells = cells.groupBy(*keys, "it", "pos").agg(F.sum("v").alias("v")).groupBy(*keys, "it").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("pos", "v"))), lambda s: s["v"]).alias("cross"))
     grams = array_gram(df.withColumn("__xy", F.concat(x, y)), keys, "__xy")
@@ -113,15 +142,15 @@ def permuted_cca(df: DataFrame, keys: list[str], session: str, row: str, x: str,
         g[kx + 1:, 1:kx + 1] = g[1:kx + 1, kx + 1:].T
         return [dict(component=f"CC{i + 1}", it=int(rec["it"]), corr=float(c)) for i, c in enumerate(cca(g, kx)["correlations"])]
 
-    corr = _per_group(cells.join(grams, keys), keys, "component string, it int, corr double", rows)
+    corr = cut_lineage(_per_group(cells.join(grams, keys), keys, "component string, it int, corr double", rows))
     obs = corr.where("it = 0").select(*keys, "component", F.col("corr").alias("correlation"))
     null = corr.where("it > 0").join(obs, [*keys, "component"])
     return null.groupBy(*keys, "component").agg(F.max("correlation").alias("correlation"), ((F.count_if(F.col("corr") >= F.col("correlation")) + 1) / (F.count(F.lit(1)) + 1)).alias("p_value"))
 
 
-def elastic_cca(grams: DataFrame, keys: list[str], kx: int, alphas: list[float], l1_ratios: list[float], iterations: int = 100) -> DataFrame:
+def elastic_cca(grams: DataFrame, keys: list[str], kx: int, alphas: list[float], l1_ratios: list[float], iterations: int = 1000) -> DataFrame:
     """Regularised first variate per grid point, alternating penalised regressions on the moments; the
-    grid point with the highest correlation is marked."""
+    grid point with the highest correlation is marked, and ``converged`` where the correlation came to rest (or to nothing)."""
     def shrink(c, target, alpha, l1, w):
         lam1, lam2 = alpha * l1, alpha * (1 - l1)
         if lam1 == 0:
@@ -144,7 +173,7 @@ def elastic_cca(grams: DataFrame, keys: list[str], kx: int, alphas: list[float],
         for a in alphas:
             for l1 in l1_ratios:
                 wx, wy = np.zeros(kx), np.linalg.svd(xy)[2][0]
-                corr = 0.0
+                corr, done = 0.0, True
                 for _ in range(iterations):
                     wx = shrink(xx, xy @ wy, a, l1, wx)
                     sx = np.sqrt(max(wx @ xx @ wx, 0))
@@ -157,14 +186,16 @@ def elastic_cca(grams: DataFrame, keys: list[str], kx: int, alphas: list[float],
                         break
                     wy = wy / sy
                     new = wx @ xy @ wy
-                    if abs(new - corr) < 1e-12:
+                    if abs(new - corr) < 1e-10:
                         break
                     corr = new
-                out.append(dict(alpha=a, l1_ratio=l1, correlation=float(corr), x_weights=list(wx / max(np.linalg.norm(wx), 1e-300)), y_weights=list(wy / max(np.linalg.norm(wy), 1e-300))))
+                else:
+                    done = False
+                out.append(dict(alpha=a, l1_ratio=l1, correlation=float(corr), converged=done, x_weights=list(wx / max(np.linalg.norm(wx), 1e-300)), y_weights=list(wy / max(np.linalg.norm(wy), 1e-300))))
         top = max(range(len(out)), key=lambda i: out[i]["correlation"])
         return [{**r, "best": i == top} for i, r in enumerate(out)]
 
-    return _per_group(grams, keys, "alpha double, l1_ratio double, correlation double, x_weights array<double>, y_weights array<double>, best boolean", rows)
+    return _per_group(grams, keys, "alpha double, l1_ratio double, correlation double, converged boolean, x_weights array<double>, y_weights array<double>, best boolean", rows)
 
 
 def _first_weights(grams, key, kx, min_rows, ridge):

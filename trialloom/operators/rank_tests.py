@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
 
 import numpy as np
@@ -53,19 +54,21 @@ def kruskal_wallis(df: DataFrame, keys: list[str], group: str, value: str) -> Da
 
 
 @lru_cache(maxsize=64)
-def _u_counts(n: int, m: int) -> tuple:
+def _u_counts(n: int, m: int) -> np.ndarray:
     """Number of rank arrangements per U for sample sizes n <= m: a Gaussian binomial coefficient.
 
-    Factor by factor (1 - q^(m+i)) / (1 - q^i), so the work is n passes over n * m + 1 entries.
+    Factor by factor (1 - q^(m+i)) / (1 - q^i), so the work is n passes over n * m + 1 entries. The lower half
+    is exact as far as floats hold integers; the upper half, where rounding would pile up, is its mirror image.
     """
-    small = n * m <= 20_000
-    ways = np.zeros(n * m + 1, dtype=object if small else float)
+    ways = np.zeros(n * m + 1)
     ways[0] = 1
     for i in range(1, n + 1):
         ways[m + i:] = ways[m + i:] - ways[: max(0, len(ways) - m - i)]
         for start in range(i):
             ways[start::i] = np.cumsum(ways[start::i])
-    return tuple(ways) if small else np.maximum(ways, 0.0)  # rounding may leave specks below 0
+    half = len(ways) // 2
+    ways[len(ways) - half:] = ways[:half][::-1]
+    return ways
 
 
 @F.pandas_udf(T.DoubleType())
@@ -76,8 +79,9 @@ def mannwhitney_p(u: pd.Series, n: pd.Series, m: pd.Series, ties: pd.Series) ->
         x, y = int(x), int(y)
         big = max(a, x * y - a)
         if t == 0 and min(x, y) <= 8:
-            w = np.asarray(_u_counts(min(x, y), max(x, y)))
-            out.append(min(1.0, 2 * float(w[int(round(big)):].sum() / w.sum())))
+            w = _u_counts(min(x, y), max(x, y))
+            # as many arrangements lie below x * y - U as above U; the lower end is free of cancellation
+            out.append(min(1.0, 2 * float(w[: x * y - int(round(big)) + 1].sum() / math.comb(x + y, x))))
         else:
             total = x + y
             var = x * y / 12 * (total + 1 - t / (total * (total - 1)))

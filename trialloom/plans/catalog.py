@@ -494,14 +494,14 @@ def hemisphere_errors(t):
     return rules.hemisphere_errors(t.sessions, rel.fiber_hemispheres(fibers(t))).drop("traceback")
 
 
-@query("session_rule_errors", with_sql(SIGNAL_SQL, """, s AS (SELECT eid, count(*) AS n, min(t) AS a, max(t) AS b, avg(CASE WHEN k > 20 THEN 1.0 ELSE 0.0 END) AS share, sum(CASE WHEN value < 1 THEN 1 ELSE 0 END) AS inv, count(DISTINCT value) / count(*)::DOUBLE AS u FROM signal GROUP BY eid)
+@query("session_rule_errors", with_sql(SIGNAL_SQL, """, s AS (SELECT eid, count(*) AS n, min(t) AS a, max(t) AS b, avg(CASE WHEN k > 20 THEN 1.0 ELSE 0.0 END) AS share, sum(CASE WHEN value < 1 THEN 1 ELSE 0 END) AS inv, count(DISTINCT floor(value / 50)) / count(*)::DOUBLE AS u FROM signal GROUP BY eid)
  SELECT eid, 'InsufficientTrials' AS error_type FROM s WHERE n < 65 UNION ALL SELECT eid, 'IncompleteEventTimes' FROM s WHERE share < 0.8 UNION ALL SELECT eid, 'TrialsNotInPhotometryTime' FROM s WHERE a < 20000 OR b > 2580000
- UNION ALL SELECT eid, 'QCValidationError' FROM s WHERE inv > 0"""))
+ UNION ALL SELECT eid, 'QCValidationError' FROM s WHERE inv > 0 UNION ALL SELECT eid, 'FewUniqueSamples' FROM s WHERE u < 0.1"""))
 def session_rule_errors(t):
     s = t.signal.withColumn("goCue_times", F.when(F.col("k") > 20, F.col("t")))
     summary = rules.session_summary(s, "eid", ["goCue_times"], "t")
     qc = s.groupBy("eid").agg(F.count_if(F.col("value") < 1).alias("n_band_inversions"), F.lit(0).alias("n_early_samples"),
-                              (F.approx_count_distinct("value") / F.count(F.lit(1))).alias("n_unique_samples"))
+                              (F.count_distinct(F.floor(F.col("value") / 50)) / F.count(F.lit(1))).alias("n_unique_samples"))
     j = summary.join(qc, "eid").withColumns({"signal_start": F.lit(20000.0), "signal_end": F.lit(2580000.0)})
     return rules.error_rows(j, rules.session_rules(["goCue_times"], 65, 0.8)).select("eid", "error_type")
 

@@ -247,10 +247,13 @@ def spearman_matrix(t):
 
 # --- multivariate -----------------------------------------------------------------------------
 
-def embedded(t, kx=32, ky=32):
-    """The two halves of every vector; a cohort needs more rows than entries, so small ones take a part."""
+RIDGE = 0.1  # cohorts of fewer rows than entries need one
+
+
+def embedded(t):
+    """The two halves of every vector."""
     e = t["embeddings"]
-    return e.select("vec_id", "label", (F.col("vec_id") % 50).alias("session"), F.slice("embedding", 1, kx).cast("array<double>").alias("x"), F.slice("embedding", 33, ky).cast("array<double>").alias("y"),
+    return e.select("vec_id", "label", (F.col("vec_id") % 50).alias("session"), F.slice("embedding", 1, 32).cast("array<double>").alias("x"), F.slice("embedding", 33, 32).cast("array<double>").alias("y"),
                     (F.col("label") % 2).alias("cohort"))
 
 
@@ -274,18 +277,18 @@ def cca_weights(t):
 
 @query("cca_permutation")
 def cca_permutation(t):
-    return mv.permuted_cca(embedded(t), ["cohort"], "session", "vec_id", "x", "y", 50).select("cohort", "component", rnd("correlation").alias("correlation"), rnd("p_value").alias("p_value"))
+    return mv.permuted_cca(embedded(t), ["cohort"], "session", "vec_id", "x", "y", 1000).select("cohort", "component", rnd("correlation").alias("correlation"), rnd("p_value").alias("p_value"))
 
 
 @query("elastic_cca")
 def elastic_cca(t):
-    g = mv.array_gram(embedded(t, 6, 4).withColumn("v", F.concat("x", "y")), ["cohort"], "v")
-    return mv.elastic_cca(g, ["cohort"], 6, [1e-3, 1e-2, 1e-1], [0.0, 0.5]).select("cohort", "alpha", "l1_ratio", rnd("correlation", 5).alias("correlation"), "best")
+    g = mv.array_gram(embedded(t).withColumn("v", F.concat("x", "y")), ["cohort"], "v")
+    return mv.elastic_cca(g, ["cohort"], 32, [1e-3, 1e-2, 1e-1], [0.0, 0.5]).select("cohort", "alpha", "l1_ratio", rnd("correlation", 4).alias("correlation"), "best", "converged")
 
 
 def cohorts(t):
-    g = mv.array_gram(embedded(t, 6, 4).withColumn("v", F.concat("x", "y")), ["label"], "v")
-    return mv.cohort_cca(g, "label", 6, 10)
+    g = mv.array_gram(embedded(t).withColumn("v", F.concat("x", "y")), ["label"], "v")
+    return mv.cohort_cca(g, "label", 32, 10, RIDGE)
 
 
 @query("cohort_cca")
@@ -295,7 +298,7 @@ def cohort_cca(t):
 
 @query("cross_project")
 def cross_project(t):
-    return mv.cross_project(cohorts(t), "label", 6).withColumn("correlation", rnd("correlation"))
+    return mv.cross_project(cohorts(t), "label", 32).withColumn("correlation", rnd("correlation"))
 
 
 @query("compare_weights")

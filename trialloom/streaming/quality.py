@@ -37,7 +37,7 @@ def _metrics(samples) -> tuple:
 
 def sliding_quality(samples: DataFrame, keys: list[str], ts: str, value: str, *, width: str = "120 seconds", step: str = "60 seconds",
                     delay: str = "10 minutes") -> DataFrame:
-    """Quality metrics per (keys, window); the same plan runs on a static or a streaming table.
+    """Quality metrics and number of samples per (keys, window); the same plan runs on a static or a streaming table.
 
     State per open window is its samples (rate x width of them); samples later than ``delay`` behind
     the newest time stamp are dropped by the stream.
@@ -46,7 +46,7 @@ def sliding_quality(samples: DataFrame, keys: list[str], ts: str, value: str, *,
     s = F.struct((F.unix_micros(ts) / F.lit(1e6)).alias("t"), F.col(value).cast("double").alias("v"))
     w = marked.where(F.col(value).isNotNull()).groupBy(*keys, F.window(ts, width, step)).agg(F.collect_list(s).alias("__s"))
     m = w.withColumn("__m", window_metrics("__s"))
-    return m.select(*keys, F.col("window.start").alias("window_start"), *[F.col(f"__m.{x}").alias(x) for x in QUALITY_METRICS])
+    return m.select(*keys, F.col("window.start").alias("window_start"), *[F.col(f"__m.{x}").alias(x) for x in QUALITY_METRICS], F.size("__s").cast("long").alias("n_samples"))
 
 
 def run_to_table(stream: DataFrame, keys: list[str], name: str) -> DataFrame:
