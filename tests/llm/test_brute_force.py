@@ -131,3 +131,55 @@ def test_blocks_grow_with_the_members_when_one_row_is_outside(spark, monkeypatch
         with_last = {r.node for r in rows if r.rep == n - 1}
         assert {r.rep for r in rows if r.node in with_last} == set(range(n))
     assert made[400] < 2.5 * made[200]
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def shingle_set(words, k):
+    return {tuple(words[i:i + k]) for i in range(max(1, len(words) - k + 1))}
+
+
+def reach(n, linked):
+    """Smallest reachable number of every number below n."""
+    label = list(range(n))
+    for _ in range(n):
+        new = [min([label[i], *(label[j] for j in range(n) if (min(i, j), max(i, j)) in linked)]) for i in range(n)]
+        if new == label:
+            return label
+        label = new
+
+
+@pytest.mark.parametrize("limit", [12, 1000])
+def test_paragraph_classes_of_large_groups(spark, monkeypatch, limit):
+    """Paragraph classes against all pairs: close copies, a chain, and many paragraphs that share half their words."""
+    from trialloom.llm import near_dedup as N
+
+    monkeypatch.setattr(N, "NODE_DOCS", limit)
+    rng, fill = random.Random(41), words_of(41)
+    base, half, lines = fill(80).split(), fill(40), []
+    for k in range(40):                       # close: one word of 80 replaced
+        w = list(base)
+        w[k] = f"changed{k}"
+        lines.append(" ".join(w))
+    lines += [f"{half} {fill(40)}" for _ in range(40)]
+    chain = fill(100).split()
+    for k in range(6):                        # neighbours are similar, ends are not
+        chain = chain[:95] + fill(5).split() if k % 2 else fill(5).split() + chain[5:]
+        lines.append(" ".join(chain))
+    lines += [fill(50) for _ in range(30)]
+    rng.shuffle(lines)
+    sets = [shingle_set(t.split(), 5) for t in lines]
+    value = {(i, j): jaccard(sets[i], sets[j]) for j in range(len(lines)) for i in range(j)}
+    label = reach(len(lines), {p for p, v in value.items() if v >= 0.8})
+    docs = spark.createDataFrame([(i, f"{fill(30)}\n{t}\nshort line") for i, t in enumerate(lines)], "doc_id long, text string")
+    found = substring_dedup.similar_paragraphs(docs, "doc_id", "text").where("start = 30").collect()
+    got = {r.id: r.first_id for r in found}
+    want = {i: x for i, x in enumerate(label) if label.count(x) > 1}
+    assert len(want) >= 46 and got == want
+    if limit == 12:
+        rows = substring_dedup.paragraphs(docs, "doc_id", "text")
+        reps = rows.selectExpr("id * 10 + line AS rep", "bands", "further", "n_words AS n_shingles")
+        small, large = substring_dedup.band_groups(reps)
+        assert 40 <= large.count() <= 60      # the close group once, not once per band

@@ -26,6 +26,7 @@ from trialloom.llm import shingles as S
 from trialloom.llm.base import query, stored, table
 from trialloom.llm.components import components
 
+FURTHER = 6             # minima that divide a group too large to compare
 PASSAGE_WORDS, GAP = 28, 24
 PARAGRAPH_WORDS = 28
 SHINGLE, PERCENT = 5, 80
@@ -122,7 +123,7 @@ def _lines(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 def paragraphs(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(id, line, start, n_words, d1, d2, bands) of every paragraph; written out once."""
+    """(id, line, start, n_words, d1, d2, bands, further) of every paragraph; written out once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,19 +132,21 @@ def paragraphs(docs: DataFrame, id_col: str, text: str) -> DataFrame:
                 if not len(long):
                     continue
                 sets = S.shingle_sets(hashes, counts, SHINGLE)
-                low = S.minhashes([sets[i] for i in long], BANDS * BAND_ROWS)
+                low = S.minhashes([sets[i] for i in long], BANDS * BAND_ROWS + FURTHER)
+                further = low[:, BANDS * BAND_ROWS:].view(np.int64)
+                low = low[:, :BANDS * BAND_ROWS]
                 bands = low[:, 0::2] + low[:, 1::2] * S.constants(7 << 20, 1)[0]
                 bands = S.mix(bands + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
                 ends = np.cumsum(counts)
                 digest = np.array([[(hashes[ends[i] - counts[i]: ends[i]] * S.constants(s, int(counts[i]))).sum() for s in (0, 9 << 20)] for i in long], dtype=np.uint64)
                 digest = S.mix(digest + counts[long][:, None].astype(np.uint64)).view(np.int64)
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(long) + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel()))
+                flat, more = (pa.ListArray.from_arrays(pa.array(np.arange(len(long) + 1, dtype=np.int32) * m.shape[1]), pa.array(m.ravel())) for m in (bands, further))
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).take(pa.array(row[long])), pa.array(line[long].astype(np.int32)), pa.array(start[long].astype(np.int32)),
-                    pa.array(counts[long].astype(np.int32)), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), flat,
-                ], names=["id", "line", "start", "n_words", "d1", "d2", "bands"])
+                    pa.array(counts[long].astype(np.int32)), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), flat, more,
+                ], names=["id", "line", "start", "n_words", "d1", "d2", "bands", "further"])
 
-    made = _texts(docs, id_col, text).mapInArrow(run, "id long, line int, start int, n_words int, d1 long, d2 long, bands array<long>")
+    made = _texts(docs, id_col, text).mapInArrow(run, "id long, line int, start int, n_words int, d1 long, d2 long, bands array<long>, further array<long>")
     return stored(made, "paragraphs")
 
 
@@ -170,23 +173,22 @@ def paragraph_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text: str) -
 def band_groups(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Colliding paragraphs in groups that are small enough to compare, and what is left: (node, rep).
 
-    A group that is too large is divided by the next band as well, for every band, so similar
-    members stay together in several of the parts.
+    A group that is too large is divided by each of FURTHER minima that no band has used: a pair of similarity 0.8
+    stays together in one of the parts but for a chance of 0.2^FURTHER, unrelated paragraphs part. Parts that are
+    still too large hold close paragraphs; they are merged where they share members, and what is left is one group.
     """
-    level = reps.select("rep", "n_shingles", "bands", F.posexplode("bands").alias("k", "h")).select(
-        "rep", "n_shingles", "bands", F.xxhash64("k", "h").alias("node"))
-    small, step = [], 0
-    while True:
-        sizes = level.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.sum("n_shingles").alias("weight")).where("size > 1")
-        fits = (F.col("size") <= N.NODE_DOCS) & (F.col("weight") <= N.NODE_SHINGLES)
-        rows = stored(level.join(sizes.select("node", fits.alias("fits")), "node"), f"band-groups-{step}")
-        small.append(rows.where("fits").select("node", "rep"))
-        large = rows.where("NOT fits")
-        if step == 2 or large.isEmpty():
-            return N._union(small), large.select("node", "rep")
-        step += 1
-        level = large.select("rep", "n_shingles", "bands", "node", F.posexplode("bands").alias("k", "h")).select(
-            "rep", "n_shingles", "bands", F.xxhash64("node", "k", "h").alias("node")).distinct()
+    level = reps.select("rep", "n_shingles", F.posexplode("bands").alias("k", "h")).select("rep", "n_shingles", F.xxhash64("k", "h").alias("node"))
+    size = lambda df: df.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.sum("n_shingles").alias("weight")).where("size > 1")
+    fits = ((F.col("size") <= N.NODE_DOCS) & (F.col("weight") <= N.NODE_SHINGLES)).alias("fits")
+    rows = stored(level.join(size(level).select("node", fits), "node"), "band-groups")
+    small, large = rows.where("fits").select("node", "rep"), rows.where("NOT fits")
+    if large.isEmpty():
+        return small, large.select("node", "rep")
+    parts = large.join(reps.select("rep", "further"), "rep").select("rep", "n_shingles", F.posexplode("further").alias("k", "h"), "node").select(
+        "rep", "n_shingles", F.xxhash64("node", "k", "h").alias("node"))
+    parts = stored(parts.join(size(parts).select("node", fits), "node"), "band-parts")
+    stuck = parts.where("NOT fits").select("node", "rep")
+    return small.unionByName(parts.where("fits").select("node", "rep")), stuck if stuck.isEmpty() else N.merged_nodes(stored(stuck, "close-parts"))
 
 
 def similar_paragraphs(docs: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -195,7 +197,7 @@ def similar_paragraphs(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     uid = F.xxhash64("d1", "d2")
     reps = stored(rows.groupBy("d1", "d2").agg(
         F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.min(F.struct("id", "line")).alias("at"),
-        F.first("bands").alias("bands"), F.max("n_words").alias("n_shingles")).withColumn("rep", uid), "paragraph-reps")
+        F.first("bands").alias("bands"), F.first("further").alias("further"), F.max("n_words").alias("n_shingles")).withColumn("rep", uid), "paragraph-reps")
     small, large = band_groups(reps)
     large = stored(large, "large-groups")
     wanted = small.select("rep").union(large.select("rep")).distinct().join(reps.select("rep", F.col("at.id").alias("id"), F.col("at.line").alias("line")), "rep")
