@@ -286,23 +286,25 @@ def merged_nodes(nodes: DataFrame) -> DataFrame:
 
 
 def block_nodes(nodes: DataFrame, labels: DataFrame | None, reps: DataFrame) -> DataFrame:
-    """Stuck nodes as bounded groups (node, rep): blocks with a row outside the main label against all blocks.
+    """Stuck nodes as bounded groups (node, rep): blocks of the rows outside the main label against blocks of all.
 
-    Rows grow with the members times the blocks that hold such a row, not with the square of the members.
+    Rows grow with the members times the number of blocks that the rows outside fill, not with the square of the members.
     """
     rows = _labelled(nodes, labels).join(reps.select("rep", "n_shingles"), "rep")
     by_label = rows.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n"))
     main = by_label.groupBy("node").agg(F.max_by("label", "n").alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1")
     total = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("w"), F.max("n_shingles").alias("most"))
     # half of a group's bounds for each of its two blocks
-    blocks = F.ceil(F.greatest(F.col("n") / (NODE_DOCS / 2.5), F.col("w") / (NODE_SHINGLES / 2.5)))
-    info = main.join(total, "node").select("node", "main", blocks.cast("int").alias("blocks"))
+    blocks = lambda n, w: F.ceil(F.greatest(F.col(n) / (NODE_DOCS / 2.5), F.col(w) / (NODE_SHINGLES / 2.5))).cast("int")
+    info = main.join(total, "node").select("node", "main", blocks("n", "w").alias("blocks"))
     rows = rows.join(info, "node").withColumn("block", F.pmod(F.xxhash64("rep", "node"), F.col("blocks")).cast("int"))
+    # rows outside the main label fill blocks of their own, however they are scattered
+    outside = rows.where("label <> main")
+    opened = outside.groupBy("node").agg(F.count(F.lit(1)).alias("m"), F.sum("n_shingles").alias("v")).select("node", blocks("m", "v").alias("opened"))
     pair = F.xxhash64("node", "open", "to").alias("node")
-    outside = rows.where("label <> main").select("node", "rep", F.col("block").alias("open"), "blocks")
-    few = outside.withColumn("to", F.explode(F.expr("sequence(0, blocks - 1)"))).select(pair, "rep")
-    open_blocks = outside.select("node", "open").distinct()
-    all_of = rows.select("node", "rep", F.col("block").alias("to")).join(open_blocks, "node").select(pair, "rep")
+    few = outside.join(opened, "node").withColumn("open", F.pmod(F.xxhash64("node", "rep"), F.col("opened")).cast("int"))
+    few = few.withColumn("to", F.explode(F.expr("sequence(0, blocks - 1)"))).select(pair, "rep")
+    all_of = rows.join(opened, "node").select("node", "rep", F.explode(F.expr("sequence(0, opened - 1)")).alias("open"), F.col("block").alias("to")).select(pair, "rep")
     return few.unionByName(all_of).distinct()
 
 
