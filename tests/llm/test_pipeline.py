@@ -13,8 +13,8 @@ FOLDER = "/root/testdata/sf0.001"
 
 def test_every_query_is_registered():
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in entry.queries()
-    assert set(base.ORACLES) == {"op1_url_filter", "op2_pii", "op7_exact_dedup"}
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in entry.queries()
+    assert set(base.ORACLES) == {"op1_url_filter", "op2_pii", "op7_exact_dedup", "op12_collocations"}
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "exact_dedup", "near_dedup", "decontaminate", "bpe"]
 
 
