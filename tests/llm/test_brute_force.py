@@ -133,6 +133,36 @@ def test_blocks_grow_with_the_members_when_one_row_is_outside(spark, monkeypatch
     assert made[400] < 2.5 * made[200]
 
 
+def shared_passage(n, share, copies, seed=5):
+    """Documents that share a passage without being similar, and some near copies among them."""
+    fill, rng, rows = words_of(seed), random.Random(seed), []
+    common = fill(int(120 * share))
+    for i in range(n):
+        own = fill(120 - int(120 * share)).split()
+        rows.append((len(rows), f"{common} {' '.join(own)}"))
+        if i < copies:
+            own[rng.randrange(len(own))] = "changed"
+            rows.append((len(rows), f"{common} {' '.join(own)}"))
+    rng.shuffle(rows)
+    return [(i, t) for i, (_, t) in enumerate(rows)]
+
+
+@pytest.mark.parametrize("share", [0.7, 0.86])
+def test_documents_of_a_shared_passage_branch_on(spark, monkeypatch, share):
+    """Rows of the branching grow with the documents, and no link is lost, also where the passage reaches into the rarest shingles."""
+    from trialloom.llm import near_dedup as N
+
+    monkeypatch.setattr(N, "NODE_DOCS", 20)
+    rows, made, real = shared_passage(90, share, 12), [], N.rare_nodes
+    monkeypatch.setattr(N, "rare_nodes", lambda r, labels: made.append(r.count()) or real(r, labels))
+    got = {r.doc_id: r.component_id for r in N.classes(spark.createDataFrame(rows, "doc_id long, text string"), 5).collect()}
+    sets = [shingle_set(t.split(), 5) for _, t in rows]
+    linked = {(i, j) for j in range(len(rows)) for i in range(j) if jaccard(sets[i], sets[j]) >= 0.8}
+    label = reach(len(rows), linked)
+    assert got == dict(enumerate(label)) and len(linked) >= 12
+    assert made and made[0] < 30 * len(rows)
+
+
 def jaccard(a, b):
     return len(a & b) / len(a | b)
 

@@ -12,9 +12,10 @@ What keeps this whole and bounded:
   through its nodes one by one, counts exact intersections in memory and returns links of a spanning
   forest, at most one row per document.
 * Large nodes that do not shrink (close documents throughout) are merged where they share documents, so
-  that a close group is compared once and not in every tree. The group is linked to its smallest member
-  and, as far as it is still in several components, compared in blocks: blocks of those outside its
-  main component against all blocks.
+  that a close group is compared once and not in every tree. The group is linked to its smallest member.
+  What few rows are still outside its main component are compared with it in blocks. If many are, the
+  documents share a passage without being similar: they branch on, by their rarest shingles, of which
+  two similar sets always have one in common.
 * Sketches (64 values of 16 bits) only decide where full sets are needed: a pair is left out below an
   agreement that similar pairs miss with probability under 1e-6. Links are confirmed on full sets.
 * Components found by the first trees prune the later ones: a node inside one component is done.
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from trialloom.llm import shingles as S
 from trialloom.llm.base import query, stored, table
@@ -39,6 +40,8 @@ FIRST_TREES = 2       # trees compared before components prune the others
 NODE_DOCS = 1024
 NODE_SHINGLES = 1_000_000
 STUCK = 0.6           # a large node of which a child has this share is compared as it is
+FEW_BLOCKS = 2        # a group whose rows outside the main label fill more blocks than this branches on
+RARE_BITS = 22        # counts of shingles by these bits of their hash (16 MB) order them by rarity
 BROADCAST_IDS = 2_000_000  # ids (16 MB) that may be sent to every task; beyond that they are joined by shuffle
 SCREEN_Z = 5.0        # standard deviations of the sketch below the threshold that a pair may show
 
@@ -285,29 +288,131 @@ def merged_nodes(nodes: DataFrame) -> DataFrame:
     return nodes.join(labels.withColumnRenamed("id", "node"), "node").select(F.col("label").alias("node"), "rep").distinct()
 
 
+def _blocks(n: str, w: str) -> Column:
+    """Blocks for n rows of w shingles: two fit into the bounds of a node."""
+    return F.ceil(F.greatest(F.col(n) / (NODE_DOCS / 2.5), F.col(w) / (NODE_SHINGLES / 2.5))).cast("int")
+
+
+def outside_main(nodes: DataFrame, labels: DataFrame | None, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Labelled rows of the nodes with several labels (node, rep, label, n_shingles, main, blocks, opened), and one row a node.
+
+    ``main`` is the label of most rows, ``blocks`` what all rows fill, ``opened`` what the rows of other labels fill.
+    """
+    rows = _labelled(nodes, labels).join(reps.select("rep", "n_shingles"), "rep")
+    by_label = rows.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("w"))
+    info = by_label.groupBy("node").agg(
+        F.max_by(F.struct("label", "n", "w"), "n").alias("main"), F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.sum("w").alias("w")).where("k > 1")
+    info = info.select("node", F.col("main.label").alias("main"), "n", "w", (F.col("n") - F.col("main.n")).alias("m"), (F.col("w") - F.col("main.w")).alias("v"))
+    info = info.select("node", "main", _blocks("n", "w").alias("blocks"), _blocks("m", "v").alias("opened"))
+    return rows.join(info, "node"), info
+
+
 def block_nodes(nodes: DataFrame, labels: DataFrame | None, reps: DataFrame) -> DataFrame:
     """Stuck nodes as bounded groups (node, rep): blocks of the rows outside the main label against blocks of all.
 
     Rows grow with the members times the number of blocks that the rows outside fill, not with the square of the members.
     """
-    rows = _labelled(nodes, labels).join(reps.select("rep", "n_shingles"), "rep")
-    by_label = rows.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n"))
-    main = by_label.groupBy("node").agg(F.max_by("label", "n").alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    total = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("w"), F.max("n_shingles").alias("most"))
-    # half of a group's bounds for each of its two blocks
-    blocks = lambda n, w: F.ceil(F.greatest(F.col(n) / (NODE_DOCS / 2.5), F.col(w) / (NODE_SHINGLES / 2.5))).cast("int")
-    info = main.join(total, "node").select("node", "main", blocks("n", "w").alias("blocks"))
-    rows = rows.join(info, "node").withColumn("block", F.pmod(F.xxhash64("rep", "node"), F.col("blocks")).cast("int"))
+    rows, _ = outside_main(nodes, labels, reps)
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("rep", "node"), F.col("blocks")).cast("int"))
     # rows outside the main label fill blocks of their own, however they are scattered
-    outside = rows.where("label <> main")
-    opened = outside.groupBy("node").agg(F.count(F.lit(1)).alias("m"), F.sum("n_shingles").alias("v")).select("node", blocks("m", "v").alias("opened"))
     pair = F.xxhash64("node", "open", "to").alias("node")
-    few = outside.join(opened, "node").withColumn("open", F.pmod(F.xxhash64("node", "rep"), F.col("opened")).cast("int"))
+    few = rows.where("label <> main").withColumn("open", F.pmod(F.xxhash64("node", "rep"), F.col("opened")).cast("int"))
     few = few.withColumn("to", F.explode(F.expr("sequence(0, blocks - 1)"))).select(pair, "rep")
-    all_of = rows.join(opened, "node").select("node", "rep", F.explode(F.expr("sequence(0, opened - 1)")).alias("open"), F.col("block").alias("to")).select(pair, "rep")
+    all_of = rows.select("node", "rep", F.explode(F.expr("sequence(0, opened - 1)")).alias("open"), F.col("block").alias("to")).select(pair, "rep")
     return few.unionByName(all_of).distinct()
 
 
+def shingle_counts(sets: DataFrame) -> np.ndarray:
+    """How many sets of ``sets`` (rep, shingles) hold a shingle of each hash, by RARE_BITS bits: an array of fixed size.
+
+    It orders shingles by rarity and is at least the true count, so that a count of 1 is exact. Parts are added up by slab.
+    """
+    slab = 1 << (RARE_BITS - 8)
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((256, slab), dtype="<i4")
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                np.add.at(counts.reshape(-1), np.frombuffer(x, "<u8") & np.uint64((1 << RARE_BITS) - 1), 1)
+        yield _slabs({i: c for i, c in enumerate(counts) if c.any()})
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                counts[i] = counts.get(i, 0) + np.frombuffer(x, "<i4")
+        yield _slabs(counts)
+
+    parts = sets.select("shingles").mapInArrow(part, "slab int, counts binary")
+    out = np.zeros((256, slab), dtype="<i4")
+    for r in parts.repartition("slab").mapInArrow(total, "slab int, counts binary").toLocalIterator():
+        out[r.slab] = np.frombuffer(r.counts, "<i4")
+    return out.reshape(-1)
+
+
+def _slabs(counts: dict[int, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int32()), pa.array([c.astype("<i4").tobytes() for c in counts.values()], pa.binary())], names=["slab", "counts"])
+
+
+def rare_rows(sets: DataFrame, percent: int) -> DataFrame:
+    """(node, rep, n_shingles): each set under its rarest shingles, as many as it may lack from a similar one and one more.
+
+    Similar sets share at least ``percent`` of the larger one, so in any common order of all shingles the first
+    |set| - ceil(percent * |set|) + 1 of both hold a common one. Shingles that no other set holds are left out.
+    """
+    counts = sets.sparkSession.sparkContext.broadcast(shingle_counts(sets))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, sizes = [np.zeros(0, dtype=np.int64)], []
+            for x in batch.column(1).to_pylist():
+                x = np.frombuffer(x, "<u8")
+                seen = counts.value[x & np.uint64((1 << RARE_BITS) - 1)]
+                first = np.lexsort((x, seen))[:len(x) + (-percent * len(x)) // 100 + 1]
+                found.append(x[first[seen[first] > 1]].astype(np.int64))
+                sizes.append(len(x))
+            each = [len(f) for f in found[1:]]
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.concatenate(found)), pa.array(np.repeat(batch.column(0).to_numpy(), each)), pa.array(np.repeat(np.array(sizes, dtype=np.int64), each)),
+            ], names=["node", "rep", "n_shingles"])
+
+    return sets.select("rep", "shingles").mapInArrow(run, "node long, rep long, n_shingles long")
+
+
+def rare_nodes(rows: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Nodes of ``rare_rows`` that hold several labels, once for nodes of equal members: small ones and the rest (tree, node, rep)."""
+    named = _labelled(rows, labels)
+    sizes = named.join(rows.select("rep", "n_shingles").distinct(), "rep").groupBy("node").agg(
+        F.count(F.lit(1)).alias("size"), F.sum("n_shingles").alias("weight"), F.min("label").alias("lo"), F.max("label").alias("hi"),
+        F.min("rep").alias("first"), F.max("rep").alias("last"), F.bit_xor(F.xxhash64("rep")).alias("members")).where("lo < hi")
+    once = sizes.groupBy("size", "weight", "first", "last", "members").agg(F.min("node").alias("node"))
+    fits = ((F.col("size") <= NODE_DOCS) & (F.col("weight") <= NODE_SHINGLES)).alias("fits")
+    out = stored(rows.join(once.select("node", fits), "node").select(F.lit(0).alias("tree"), "node", "rep", "fits"), "rare-nodes")
+    return out.where("fits").drop("fits"), out.where("NOT fits").drop("fits")
+
+
+def stuck_links(stuck: DataFrame, links: list[DataFrame], labels: DataFrame, sets: DataFrame, reps: DataFrame, percent: int) -> list[DataFrame]:
+    """What is still to link in large groups (node, rep) of which ``links`` gave ``labels``; all similar rows are compared."""
+    _, info = outside_main(stuck, labels, reps)
+    info = stored(info.select("node", (F.col("opened") <= FEW_BLOCKS).alias("few")), "stuck-kinds")
+    near = lambda few: stuck.join(info.where("few" if few else "NOT few"), "node", "left_semi")
+    out = [stored(compare(block_nodes(near(True), labels, reps), labels, sets, percent), "block-links")]
+    if info.where("NOT few").isEmpty():
+        return out
+    members = sets.join(near(False).select("rep").distinct(), "rep", "left_semi")
+    rows = stored(rare_rows(stored(members, "rare-sets"), percent), "rare-rows")
+    small, large = rare_nodes(rows, labels)
+    alive = stored(screen(small, reps, percent), "rare-screened")
+    first = F.pmod(F.xxhash64("node"), F.lit(8)) == 0  # close rows meet under many shingles; most are linked by an eighth of them
+    out.append(stored(compare(alive.where(first), labels, sets, percent), "rare-first-links"))
+    labels = stored(components(_union([*links, *out])), "rare-labels")
+    out.append(stored(compare(alive.where(~first), labels, sets, percent), "rare-links"))
+    if not large.isEmpty():
+        rest = stored(merged_nodes(large.select("node", "rep")), "rare-large")
+        out.append(stored(compare(block_nodes(rest, labels, reps), labels, sets, percent), "rare-block-links"))
+    return out
+
+
 def classes(docs: DataFrame, k: int = 4, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_shingles, component_id), one row per row of ``docs``.
 
@@ -334,7 +439,8 @@ def classes(docs: DataFrame, k: int = 4, percent: int = 80, id_col: str = "doc_i
     labels = stored(components(_union(links)), "first-labels")
     links.append(stored(compare(alive.where(F.col("tree") >= FIRST_TREES), labels, sets, percent), "more-links"))
     if not none:
-        links.append(stored(compare(block_nodes(stuck, labels, reps), labels, sets, percent), "block-links"))
+        labels = stored(components(_union(links)), "tree-labels")
+        links += stuck_links(stuck, links, labels, sets, reps, percent)
     # rows of one id with different sets are the same document
     twice = with_set.join(reps.select("digest", "rep"), "digest").groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("a", "b")
     labels = components(_union([*links, twice]))
