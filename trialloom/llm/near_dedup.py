@@ -40,7 +40,8 @@ FIRST_TREES = 2       # trees compared before components prune the others
 NODE_DOCS = 1024
 NODE_SHINGLES = 1_000_000
 STUCK = 0.6           # a large node of which a child has this share is compared as it is
-FEW_BLOCKS = 2        # a group whose rows outside the main label fill more blocks than this branches on
+BLOCK_ROWS = 16       # a group of which blocks would copy each member more often than this branches on
+ROUND_ROWS = 4        # rows a member that are compared in one round; beyond it a first round prunes the second
 RARE_BITS = 22        # counts of shingles by these bits of their hash (16 MB) order them by rarity
 BROADCAST_IDS = 2_000_000  # ids (16 MB) that may be sent to every task; beyond that they are joined by shuffle
 SCREEN_Z = 5.0        # standard deviations of the sketch below the threshold that a pair may show
@@ -303,7 +304,7 @@ def outside_main(nodes: DataFrame, labels: DataFrame | None, reps: DataFrame) ->
     info = by_label.groupBy("node").agg(
         F.max_by(F.struct("label", "n", "w"), "n").alias("main"), F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.sum("w").alias("w")).where("k > 1")
     info = info.select("node", F.col("main.label").alias("main"), "n", "w", (F.col("n") - F.col("main.n")).alias("m"), (F.col("w") - F.col("main.w")).alias("v"))
-    info = info.select("node", "main", _blocks("n", "w").alias("blocks"), _blocks("m", "v").alias("opened"))
+    info = info.select("node", "main", "n", "m", _blocks("n", "w").alias("blocks"), _blocks("m", "v").alias("opened"))
     return rows.join(info, "node"), info
 
 
@@ -394,19 +395,25 @@ def rare_nodes(rows: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, Da
 def stuck_links(stuck: DataFrame, links: list[DataFrame], labels: DataFrame, sets: DataFrame, reps: DataFrame, percent: int) -> list[DataFrame]:
     """What is still to link in large groups (node, rep) of which ``links`` gave ``labels``; all similar rows are compared."""
     _, info = outside_main(stuck, labels, reps)
-    info = stored(info.select("node", (F.col("opened") <= FEW_BLOCKS).alias("few")), "stuck-kinds")
+    rows = F.col("n") * F.col("opened") + F.col("m") * F.col("blocks")
+    info = stored(info.select("node", "n", (rows <= BLOCK_ROWS * F.col("n")).alias("few")), "stuck-kinds")
+    kinds = {r["few"]: r["n"] for r in info.groupBy("few").agg(F.sum("n").alias("n")).collect()}
     near = lambda few: stuck.join(info.where("few" if few else "NOT few"), "node", "left_semi")
-    out = [stored(compare(block_nodes(near(True), labels, reps), labels, sets, percent), "block-links")]
-    if info.where("NOT few").isEmpty():
+    out = []
+    if True in kinds:
+        out.append(stored(compare(block_nodes(near(True), labels, reps), labels, sets, percent), "block-links"))
+    if False not in kinds:
         return out
     members = sets.join(near(False).select("rep").distinct(), "rep", "left_semi")
     rows = stored(rare_rows(stored(members, "rare-sets"), percent), "rare-rows")
     small, large = rare_nodes(rows, labels)
     alive = stored(screen(small, reps, percent), "rare-screened")
-    first = F.pmod(F.xxhash64("node"), F.lit(8)) == 0  # close rows meet under many shingles; most are linked by an eighth of them
-    out.append(stored(compare(alive.where(first), labels, sets, percent), "rare-first-links"))
-    labels = stored(components(_union([*links, *out])), "rare-labels")
-    out.append(stored(compare(alive.where(~first), labels, sets, percent), "rare-links"))
+    if alive.count() > ROUND_ROWS * kinds[False]:
+        # close rows meet under many shingles, and an eighth of those links most of them
+        first = F.pmod(F.xxhash64("node"), F.lit(8)) == 0
+        out.append(stored(compare(alive.where(first), labels, sets, percent), "rare-first-links"))
+        labels, alive = stored(components(_union([*links, *out])), "rare-labels"), alive.where(~first)
+    out.append(stored(compare(alive, labels, sets, percent), "rare-links"))
     if not large.isEmpty():
         rest = stored(merged_nodes(large.select("node", "rep")), "rare-large")
         out.append(stored(compare(block_nodes(rest, labels, reps), labels, sets, percent), "rare-block-links"))
@@ -439,7 +446,6 @@ def classes(docs: DataFrame, k: int = 4, percent: int = 80, id_col: str = "doc_i
     labels = stored(components(_union(links)), "first-labels")
     links.append(stored(compare(alive.where(F.col("tree") >= FIRST_TREES), labels, sets, percent), "more-links"))
     if not none:
-        labels = stored(components(_union(links)), "tree-labels")
         links += stuck_links(stuck, links, labels, sets, reps, percent)
     # rows of one id with different sets are the same document
     twice = with_set.join(reps.select("digest", "rep"), "digest").groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("a", "b")
