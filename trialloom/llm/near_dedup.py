@@ -444,14 +444,21 @@ def classes(docs: DataFrame, k: int = 4, percent: int = 80, id_col: str = "doc_i
         links.append(stored(hub_links(stuck, sets, percent), "hub-links"))
     links.append(stored(compare(alive.where(F.col("tree") < FIRST_TREES), None, sets, percent), "first-links"))
     labels = stored(components(_union(links)), "first-labels")
-    links.append(stored(compare(alive.where(F.col("tree") >= FIRST_TREES), labels, sets, percent), "more-links"))
+    more = [stored(compare(alive.where(F.col("tree") >= FIRST_TREES), labels, sets, percent), "more-links")]
     if not none:
-        links += stuck_links(stuck, links, labels, sets, reps, percent)
+        more += stuck_links(stuck, links, labels, sets, reps, percent)
     # rows of one id with different sets are the same document
-    twice = with_set.join(reps.select("digest", "rep"), "digest").groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("a", "b")
-    labels = components(_union([*links, twice]))
-    found = reps.select("digest", "rep").join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").select(
-        "digest", F.coalesce("label", "rep").alias("label"))
+    twice = stored(with_set.join(reps.select("digest", "rep"), "digest").groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"))
+                   .where("a < b").select("a", "b"), "same-ids")
+    if not twice.isEmpty():
+        named = twice.select(F.explode(F.array("a", "b")).alias("rep"), F.xxhash64("a", "b").alias("node"))
+        more.append(_labelled(named, labels).groupBy("node").agg(F.max("label").alias("a"), F.min("label").alias("b")).select("a", "b"))
+    found = _labelled(reps.select(F.lit(0).alias("node"), "rep"), labels).join(reps.select("rep", "digest"), "rep").select("digest", "label")
+    # later links are between labels, so only they are joined to larger ones
+    late = stored(_union(more), "later-links")
+    if not late.isEmpty():
+        last = components(late).select(F.col("id").alias("label"), F.col("label").alias("last"))
+        found = found.join(last, "label", "left").select("digest", F.coalesce("last", "label").alias("label"))
     out = rows.select("id", "n_shingles", "digest").join(found, "digest", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("label", "id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"))
