@@ -238,3 +238,78 @@ def _type_three(cells: DataFrame, within: list[str], response: str) -> list[tupl
         f = (rss(keep, red[0]) - rss(everything, fit[0])) / df1 / (rss(everything, fit[0]) / df2)
         rows.append((":".join(effect), float(f), float(df1), float(df2), float(f_sf(f, df1, df2)), "ols"))
     return rows
+
+
+def anova_groups(cells: DataFrame, keys: list[str], subject: str, within: list[str], response: str, min_subjects: int = 2) -> DataFrame:
+    """F tests of every group in one plan: (keys, source, f, num_df, den_df, p, method).
+
+    ``cells`` has one row per (keys, subject, cell). Margins of all groups come from one set of grouping sets with
+    the keys in each, so a group is left with one row per margin; the type III model of an unbalanced group
+    needs only count, sum and square sum of its cells, a number that the factors bound. Groups with
+    fewer subjects give no row; rows with a null factor are left out; an effect that cannot be estimated has null F.
+    """
+    names = [*within, subject]
+    rows = cells.where(all_of([F.col(c).isNotNull() for c in [*names, response]]))
+    sets = [[*keys, *s] for r in range(len(names) + 1) for s in combinations(names, r)]
+    flags = F.array(*[F.grouping(n).cast("int") for n in names])
+    margins = rows.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in [*keys, *names]]).agg(
+        F.sum(response).alias("__s"), F.count(response).alias("__n"), flags.alias("__out"))
+    margins = margins.groupBy(*keys, "__out").agg(F.sum(F.col("__s") ** 2 / F.col("__n")).alias("u"), F.count(F.lit(1)).alias("levels"), F.max("__n").alias("hi"))
+    margins = margins.groupBy(*keys).agg(F.collect_list(F.struct("__out", "u", "levels", "hi")).alias("margins"))
+    y = F.col(response)
+    packed = rows.groupBy(*keys, *within).agg(F.count(y).alias("__n"), F.sum(y).alias("__s"), F.sum(y * y).alias("__q"))
+    packed = packed.groupBy(*keys).agg(F.collect_list(F.struct(F.array(*[F.col(w).cast("string") for w in within]).alias("at"), "__n", "__s", "__q")).alias("cells"))
+
+    def tests(rec):
+        by_set = {tuple(n for n, o in zip(names, m["__out"]) if not o): m for m in rec["margins"]}
+        levels = {n: by_set[(n,)]["levels"] for n in names}
+        if levels[subject] < min_subjects:
+            return []
+        full = by_set[tuple(names)]
+        if levels[subject] < 2 or full["hi"] != 1 or full["levels"] != np.prod(list(levels.values())):
+            return _type_three_cells(rec["cells"], within)
+        ss = lambda s: sum((-1) ** (len(s) - r) * by_set[t]["u"] for r in range(len(s) + 1) for t in combinations(s, r))
+        out = []
+        for r in range(1, len(within) + 1):
+            for effect in combinations(within, r):
+                df1 = int(np.prod([levels[e] - 1 for e in effect]))
+                df2 = df1 * (levels[subject] - 1)
+                err = ss((*effect, subject)) / df2 if df2 else np.nan
+                f = ss(effect) / df1 / err if err > 1e-300 else np.nan
+                out.append(dict(source=":".join(effect), f=float(f), num_df=float(df1), den_df=float(df2), p=float(f_sf(f, df1, df2)), method="rm"))
+        return out
+
+    return _per_group(margins.join(packed, keys), keys, "source string, f double, num_df double, den_df double, p double, method string", tests)
+
+
+def _type_three_cells(cells, within: list[str]) -> list[dict]:
+    """Sum-to-zero model on cell counts, sums and square sums; each effect against the model without its columns."""
+    at = [list(c["at"]) for c in cells]
+    weight, sums = np.array([c["__n"] for c in cells], float), np.array([c["__s"] for c in cells], float)
+    coded = []
+    for i in range(len(within)):
+        values = sorted({a[i] for a in at})
+        coded.append(np.array([[(a[i] == v) - float(a[i] == values[-1]) for v in values[:-1]] for a in at]).reshape(len(at), len(values) - 1))
+    columns, owner = [np.ones(len(at))], [()]
+    for r in range(1, len(within) + 1):
+        for effect in combinations(range(len(within)), r):
+            block = coded[effect[0]]
+            for e in effect[1:]:
+                block = (block[:, :, None] * coded[e][:, None, :]).reshape(len(at), -1)
+            columns += list(block.T)
+            owner += [effect] * block.shape[1]
+    x, n, square = np.column_stack(columns), weight.sum(), sum(c["__q"] for c in cells)
+
+    def rss(keep):
+        a, b = x[:, keep].T @ (weight[:, None] * x[:, keep]), x[:, keep].T @ sums
+        return square - b @ np.linalg.solve(a, b) if np.linalg.matrix_rank(a) == len(keep) else None
+
+    whole = rss(list(range(len(owner))))
+    out = []
+    for effect in dict.fromkeys(owner[1:]):
+        keep = [i for i, o in enumerate(owner) if o != effect]
+        left = None if whole is None else rss(keep)
+        df1, df2 = len(owner) - len(keep), n - len(owner)
+        f = None if left is None or df2 <= 0 or whole <= 0 else float((left - whole) / df1 / (whole / df2))
+        out.append(dict(source=":".join(within[i] for i in effect), f=f, num_df=float(df1), den_df=float(df2), p=None if f is None else float(f_sf(f, df1, df2)), method="ols"))
+    return out

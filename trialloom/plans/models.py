@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Window as W, functions as F
 
 from trialloom.functions.scan import ordered_scan, time_chunk
-from trialloom.operators import derive, linear, mixed, multivariate as mv, rank_tests as rt, rules
+from trialloom.operators import derive, linear, mixed, multivariate as mv, rank_tests as rt, rules, slopes
 from trialloom.plans.inputs import CELLS_SQL, NUMBERED_SQL, TRIAL_ORDER, TRIALS_SQL, with_sql
 from trialloom.plans.registry import query, rnd
 
@@ -210,6 +212,60 @@ def anova_unbalanced(t):
     return mixed.anova_rm(c, "l_suppkey", ["l_returnflag", "l_linestatus"], "y").select("source", rnd("f", 4).alias("f"), "num_df", "den_df", rnd("p").alias("p"), "method")
 
 
+def _anova_sql(keys: list[str], within: list[str], subject: str) -> str:
+    """Repeated-measures F of all groups of the cells ``c``, by inclusion and exclusion over margins."""
+    k, names = ", ".join(keys), [*within, subject]
+    sets = [s for r in range(len(names) + 1) for s in combinations(names, r)]
+    tag = lambda s: "u_" + "_".join(s)
+    parts = [f"{tag(s)} AS (SELECT {k}, sum(s * s / n) AS {tag(s)}, count(*) AS n{tag(s)} FROM (SELECT {k}, sum(m) AS s, count(*) AS n FROM c GROUP BY {', '.join([*keys, *s])}) GROUP BY {k})" for s in sets]
+    ss = lambda e: " + ".join(f"{(-1) ** (len(e) - r)} * {tag(t)}" for r in range(len(e) + 1) for t in combinations(e, r))
+    rows = []
+    for r in range(1, len(within) + 1):
+        for e in combinations(within, r):
+            df1 = " * ".join(f"(n{tag((w,))} - 1)" for w in e)
+            df2 = f"{df1} * (n{tag((subject,))} - 1)"
+            rows.append(f"SELECT {k}, '{':'.join(e)}' AS source, rnd((({ss(e)}) / ({df1})) / (({ss((*e, subject))}) / ({df2})), 4) AS f, ({df1})::DOUBLE AS num_df, ({df2})::DOUBLE AS den_df FROM u")
+    joined = " ".join([f"SELECT * FROM {tag(sets[0])}"] + [f"JOIN {tag(s)} USING ({k})" for s in sets[1:]])
+    return ", " + ", ".join(parts) + f", u AS ({joined}) " + " UNION ALL ".join(rows)
+
+
+GROUP, FACTORS = ["target_NM", "event"], ["contrast", "side", "reward"]
+
+
+@query("anova_groups", with_sql(CELLS_SQL, ", c AS (SELECT target_NM, event, subject, contrast, side, reward, avg(response) AS m FROM cells WHERE response IS NOT NULL GROUP BY ALL)" + _anova_sql(GROUP, FACTORS, "subject")))
+def anova_groups(t):
+    c = mixed.cell_means(t.cells, GROUP, "subject", FACTORS, "response")
+    return mixed.anova_groups(c, GROUP, "subject", FACTORS, "response").select(*GROUP, "source", rnd("f", 4).alias("f"), "num_df", "den_df")
+
+
+@query("anova_groups_holed")
+def anova_groups_holed(t):
+    """Cells of ten trials or more, so that some groups are unbalanced."""
+    c = mixed.cell_means(t.cells, GROUP, "subject", FACTORS, "response", 10)
+    return mixed.anova_groups(c, GROUP, "subject", FACTORS, "response").select(*GROUP, "source", rnd("f", 4).alias("f"), "num_df", "den_df", rnd("p").alias("p"), "method")
+
+
+SLOPE_FAMILY = {"full": TWO, "l_quantity": [("l_tax",)], "l_tax": [("l_quantity",)]}
+SLOPES = {"full": ONE, "l_tax": ONE}  # the model without a predictor has no slope of it
+
+
+@query("mixed_slopes")
+def mixed_slopes(t):
+    g = mixed.subject_grams(items(t), KEY, SUB, TWO, "y")
+    fits = slopes.slope_fits(g, KEY, SUB, TWO, SLOPE_FAMILY, SLOPES)
+    r2 = slopes.slope_variance(g, fits, KEY, SUB, TWO, SLOPE_FAMILY, SLOPES)
+    return r2.join(fits.select(*KEY, "name", "n_subjects", "converged", "singular"), [*KEY, "name"]).select(
+        *KEY, "name", rnd("marginal_r2").alias("marginal_r2"), rnd("conditional_r2").alias("conditional_r2"), "n_subjects", "converged", "singular")
+
+
+@query("random_slopes")
+def random_slopes(t):
+    g = mixed.subject_grams(items(t), KEY, SUB, TWO, "y")
+    full = {"full": TWO}
+    fits = slopes.slope_fits(g, KEY, SUB, TWO, full, ONE)
+    return slopes.slope_effects(g, fits, KEY, SUB, TWO, full, ONE).select(*KEY, SUB, "term", rnd("effect", 4).alias("effect"))
+
+
 # --- rank tests -----------------------------------------------------------------------------
 
 @query("kruskal_wallis", """WITH r AS (SELECT o_orderpriority, o_orderstatus, rank() OVER w + (count(*) OVER (PARTITION BY o_orderpriority, o_totalprice) - 1) / 2.0 AS r FROM orders WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_totalprice)),
