@@ -60,7 +60,7 @@ def test_slopes_equal_dense(spark, reml):
             for scale in (1e-3, 1e-2, 1e-1, 0.5):
                 for _ in range(4):
                     step = np.tril(rng.normal(0, scale, (q, q)))
-                    assert dense(pdf, xt, zt, low + step, reml)[0] > value - 1e-6
+                    assert dense(pdf, xt, zt, low + step, reml)[0] > value - 1e-4
             mine = effects[(effects.g == g) & (effects.name == name)].pivot(index="s", columns="term", values="effect")
             np.testing.assert_allclose(mine[["Intercept", *zt]].to_numpy(), blup, atol=1e-7)
             assert r2.loc[(g, name), "marginal_r2"] == pytest.approx(np.var(fixed) / np.var(pdf.y), abs=1e-8)

@@ -13,6 +13,7 @@ from trialloom.session import cut_lineage
 BLOCK_SUBJECTS = 4096            # moment matrices in one row of a pass
 DAMPINGS = (1e-3, 1.0, 1e3)      # multiples of the current damping that a pass tries together
 RESTED = 1e-7                    # foreseen gain in -2 log likelihood at which a fit has come to rest
+CREEPING = 1e-5                  # it has as well where foreseen and last gain are below this: a flat valley at the border
 SINGULAR = 1e-7                  # share of the response's residual variance below which a direction has none
 
 
@@ -132,29 +133,28 @@ def _passes(packed: DataFrame, totals: DataFrame, keys: list[str], size: int, mo
             gain = -old.grad @ old.step(DAMPINGS[0]) / 2
             new, sums, theta, damping = old, rec["sums"], rec["theta"], damping * 1e4
             if gain < RESTED or damping > 1e12:
-                return [dict(name=rec["name"], theta=list(theta), value=new.value, sums=list(sums), damping=damping, trial=[], done=True, converged=bool(gain < RESTED))]
+                return [dict(name=rec["name"], theta=list(theta), value=new.value, sums=list(sums), damping=damping, trial=[], done=True, converged=bool(gain < CREEPING))]
         elif old is not None:
             damping = min(max(damping * DAMPINGS[cand], 1e-9), 1e9)
         gain = -new.grad @ new.step(DAMPINGS[0]) / 2  # damped steps would foresee less and less
+        done = bool(gain < RESTED or gain < CREEPING and old is not None and old is not new and old.value - new.value < CREEPING)
         trial = [list(np.asarray(theta) + new.step(damping * d)) for d in DAMPINGS]
-        return [dict(name=rec["name"], theta=list(theta), value=float(new.value), sums=list(sums), damping=float(damping), trial=trial, done=bool(gain < RESTED), converged=bool(gain < RESTED))]
+        return [dict(name=rec["name"], theta=list(theta), value=float(new.value), sums=list(sums), damping=float(damping), trial=trial, done=done, converged=done)]
 
     body = schema.split(", name string, ", 1)[1]
     state = cut_lineage(_per_group(totals, keys, f"name string, {body}", start))
-    finished = []
+    tasks = int(totals.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for _ in range(rounds):
         active = state.where("NOT done")
         if active.isEmpty():
             break
-        finished.append(state.where("done"))
         met = packed.join(active.select(*keys, "name", "trial"), keys)
         cells = _per_group(met, keys, "name string, cand int, sums array<double>", evaluate)
         cells = cells.select(*keys, "name", "cand", F.posexplode("sums").alias("pos", "v")).groupBy(*keys, "name", "cand", "pos").agg(F.sum("v").alias("v"))
         tried = cells.groupBy(*keys, "name", "cand").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "v"))), lambda c: c["v"]).alias("values"))
         tried = tried.groupBy(*keys, "name").agg(F.collect_list(F.struct("cand", "values")).alias("tried"))
-        state = cut_lineage(_per_group(active.join(tried, [*keys, "name"]), keys, f"name string, {body}", update))
-    for part in finished:
-        state = state.unionByName(part)
+        moved = _per_group(active.join(tried, [*keys, "name"]), keys, f"name string, {body}", update)
+        state = cut_lineage(moved.unionByName(state.where("done")).coalesce(tasks))
     return state.select(*names)
 
 
