@@ -81,7 +81,7 @@ def cca_weights(grams: DataFrame, keys: list[str], kx: int, names: list[str], n_
 BLOCK_ROWS = 20_000  # rows of each side that a task of permuted_cca holds
 
 
-def permuted_cca(df: DataFrame, keys: list[str], session: str, row: str, x: str, y: str, n_permutations: int = 1000, seed: int = 0, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def permuted_cca(df: DataFrame, keys: list[str], session: str, row: str, x: str, y: str, n_permutations: int = 1000, seed: int = 0, block_rows: int = BLOCK_ROWS, ridge: float = 0.0) -> DataFrame:
     """Permutation p per variate, whole sessions of y moving together.
 
     Iteration i orders sessions by hash(session, i, seed); the j-th row of that order meets the j-th
@@ -140,7 +140,7 @@ def permuted_cca(df: DataFrame, keys: list[str], session: str, row: str, x: str,
         g = unpack(rec["gram"], _size(rec["gram"]))
         g[1:kx + 1, kx + 1:] = np.asarray(rec["cross"]).reshape(kx, -1)
         g[kx + 1:, 1:kx + 1] = g[1:kx + 1, kx + 1:].T
-        return [dict(component=f"CC{i + 1}", it=int(rec["it"]), corr=float(c)) for i, c in enumerate(cca(g, kx)["correlations"])]
+        return [dict(component=f"CC{i + 1}", it=int(rec["it"]), corr=float(c)) for i, c in enumerate(cca(g, kx, ridge=ridge)["correlations"])]
 
     corr = cut_lineage(_per_group(cells.join(grams, keys), keys, "component string, it int, corr double", rows))
     obs = corr.where("it = 0").select(*keys, "component", F.col("corr").alias("correlation"))

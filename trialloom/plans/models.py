@@ -7,9 +7,10 @@ from itertools import combinations
 from pyspark.sql import Window as W, functions as F
 
 from trialloom.functions.scan import ordered_scan, time_chunk
-from trialloom.operators import derive, linear, mixed, multivariate as mv, rank_tests as rt, rules, slopes
+from trialloom.operators import derive, linear, mixed, multivariate as mv, rank_tests as rt, rules, scores, slopes
 from trialloom.plans.inputs import CELLS_SQL, NUMBERED_SQL, TRIAL_ORDER, TRIALS_SQL, with_sql
 from trialloom.plans.registry import query, rnd
+from trialloom.sources.tables import scratch_path
 
 ONE = [("l_quantity",)]
 TWO = [("l_quantity",), ("l_tax",)]
@@ -331,6 +332,19 @@ def cca_weights(t):
     return mv.cca_weights(g, ["cohort"], 32, [f"x{i}" for i in range(32)] + [f"y{i}" for i in range(32)], 1).withColumn("weight", rnd("weight"))
 
 
+@query("cca_scores")
+def cca_scores(t):
+    """Written as CSV and read back, with the summary beside it."""
+    e = embedded(t)
+    g = mv.array_gram(e.withColumn("v", F.concat("x", "y")), ["cohort"], "v")
+    types = dict(e.dtypes)
+    ids = f"cohort {types['cohort']}, vec_id {types['vec_id']}"
+    folder = scratch_path(t.spark, "cca")
+    scores.save_results({"scores": scores.cca_scores(e, g, ["cohort"], ["vec_id"], "x", "y", 32, 3)}, folder)
+    back = scores.load_results(t.spark, folder, {"scores": f"{ids}, view string, component string, score double"})["scores"]
+    return back.withColumn("score", rnd("score", 4))
+
+
 @query("cca_permutation")
 def cca_permutation(t):
     return mv.permuted_cca(embedded(t), ["cohort"], "session", "vec_id", "x", "y", 1000).select("cohort", "component", rnd("correlation").alias("correlation"), rnd("p_value").alias("p_value"))
@@ -352,6 +366,13 @@ def cohort_cca(t):
     return cohorts(t).select("label", rnd("correlation").alias("correlation"), "n_recordings")
 
 
+@query("cohort_pvalues")
+def cohort_pvalues(t):
+    """All variates of every cohort of the embeddings, whole sessions permuted within it."""
+    p = mv.permuted_cca(embedded(t), ["label"], "session", "vec_id", "x", "y", 1000, ridge=RIDGE)
+    return p.select("label", "component", rnd("correlation").alias("correlation"), rnd("p_value").alias("p_value"))
+
+
 @query("cross_project")
 def cross_project(t):
     return mv.cross_project(cohorts(t), "label", 32).withColumn("correlation", rnd("correlation"))
