@@ -220,12 +220,13 @@ def _anova_sql(keys: list[str], within: list[str], subject: str) -> str:
     tag = lambda s: "u_" + "_".join(s)
     parts = [f"{tag(s)} AS (SELECT {k}, sum(s * s / n) AS {tag(s)}, count(*) AS n{tag(s)} FROM (SELECT {k}, sum(m) AS s, count(*) AS n FROM c GROUP BY {', '.join([*keys, *s])}) GROUP BY {k})" for s in sets]
     ss = lambda e: " + ".join(f"{(-1) ** (len(e) - r)} * {tag(t)}" for r in range(len(e) + 1) for t in combinations(e, r))
+    balanced = f"n{tag((subject,))} >= 2 AND n{tag(tuple(names))} = " + " * ".join(f"n{tag((w,))}" for w in names)
     rows = []
     for r in range(1, len(within) + 1):
         for e in combinations(within, r):
             df1 = " * ".join(f"(n{tag((w,))} - 1)" for w in e)
             df2 = f"{df1} * (n{tag((subject,))} - 1)"
-            rows.append(f"SELECT {k}, '{':'.join(e)}' AS source, rnd((({ss(e)}) / ({df1})) / (({ss((*e, subject))}) / ({df2})), 4) AS f, ({df1})::DOUBLE AS num_df, ({df2})::DOUBLE AS den_df FROM u")
+            rows.append(f"SELECT {k}, '{':'.join(e)}' AS source, rnd((({ss(e)}) / ({df1})) / (({ss((*e, subject))}) / ({df2})), 2) AS f, rnd(({ss(e)}) / (({ss(e)}) + ({ss((*e, subject))}))) AS eta_squared, ({df1})::DOUBLE AS num_df, ({df2})::DOUBLE AS den_df FROM u WHERE {balanced}")
     joined = " ".join([f"SELECT * FROM {tag(sets[0])}"] + [f"JOIN {tag(s)} USING ({k})" for s in sets[1:]])
     return ", " + ", ".join(parts) + f", u AS ({joined}) " + " UNION ALL ".join(rows)
 
@@ -235,8 +236,10 @@ GROUP, FACTORS = ["target_NM", "event"], ["contrast", "side", "reward"]
 
 @query("anova_groups", with_sql(CELLS_SQL, ", c AS (SELECT target_NM, event, subject, contrast, side, reward, avg(response) AS m FROM cells WHERE response IS NOT NULL GROUP BY ALL)" + _anova_sql(GROUP, FACTORS, "subject")))
 def anova_groups(t):
+    """The groups with every cell of every subject; ``anova_groups_holed`` returns the type III models as well."""
     c = mixed.cell_means(t.cells, GROUP, "subject", FACTORS, "response")
-    return mixed.anova_groups(c, GROUP, "subject", FACTORS, "response").select(*GROUP, "source", rnd("f", 4).alias("f"), "num_df", "den_df")
+    return mixed.anova_groups(c, GROUP, "subject", FACTORS, "response").where("method = 'rm'").select(
+        *GROUP, "source", rnd("f", 2).alias("f"), rnd(F.col("f") * F.col("num_df") / (F.col("f") * F.col("num_df") + F.col("den_df"))).alias("eta_squared"), "num_df", "den_df")
 
 
 @query("anova_groups_holed")
