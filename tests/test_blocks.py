@@ -5,7 +5,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from trialloom.operators import linear
+from trialloom.operators import features, linear
 
 
 def plan_of(df) -> str:
@@ -36,3 +36,30 @@ def test_pairs_of_units_are_summed_without_a_shuffle(spark):
         assert np.isclose(r.yx, np.sum(a.y.to_numpy()[:n] * b.x.to_numpy(dtype=float)[:n]), equal_nan=True)
     empty = linear.pair_regressions(spark.createDataFrame(pdf).where("false"), ["g"], "u", "rk", "y", "x")
     assert empty.count() == 0
+
+
+def test_donor_numbers_follow_from_places(spark):
+    rows = [("g", u, d, "q", float(10 * u + d)) for u in range(5) for d in (0, 1, 2, 3, 7) if u != d]
+    table = lambda r: spark.createDataFrame(r, "g string, u long, donor long, predictor string, delta_r2 double")
+    whole, seen = linear.numbered_donors(table(rows), ["g", "predictor"], "u", "i")
+    assert "Window" not in plan_of(whole) and "SortMergeJoin" not in plan_of(whole) and seen.count() == 5
+    holed = [r for r in rows if r[1:3] not in ((1, 0), (4, 2))]
+    for made in (rows, holed):
+        got = {(r.u, r.donor): r.i for r in linear.numbered_donors(table(made), ["g", "predictor"], "u", "i")[0].collect()}
+        assert got == {(r[1], r[2]): sum(x[1] == r[1] and x[2] < r[2] for x in made) for r in made}
+
+
+def test_similarity_blocks_are_not_copied_and_labels_travel(spark):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(23, 4))
+    df = spark.createDataFrame([(i, i % 3, v[i].tolist()) for i in range(23)], "id long, label long, v array<double>")
+    sim = features.cosine_similarity(df, "id", "v", block_rows=5)
+    both = features.within_between(sim, df, "id", "label")
+    assert "hashpartitioning" not in plan_of(sim) and "hashpartitioning" not in plan_of(both)
+    rows = sim.toPandas().set_index(["id_a", "id_b"])["similarity"]
+    assert len(rows) == 23 * 24 // 2 and rows.index.is_unique
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    assert all(a <= b and np.isclose(s, u[a] @ u[b]) for (a, b), s in rows.items())
+    pairs = both.toPandas()
+    assert len(pairs) == 23 * 22 // 2 and ((pairs.comparison == "within") == (pairs.id_a % 3 == pairs.id_b % 3)).all()
+    assert features.cosine_similarity(df.where("false"), "id", "v").count() == 0
