@@ -5,7 +5,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from trialloom.operators import features, linear
+from trialloom.operators import features, linear, signals
 
 
 def plan_of(df) -> str:
@@ -63,3 +63,12 @@ def test_similarity_blocks_are_not_copied_and_labels_travel(spark):
     pairs = both.toPandas()
     assert len(pairs) == 23 * 22 // 2 and ((pairs.comparison == "within") == (pairs.id_a % 3 == pairs.id_b % 3)).all()
     assert features.cosine_similarity(df.where("false"), "id", "v").count() == 0
+
+
+def test_copies_of_a_small_side_are_not_broadcast_unseen(spark, tmp_path):
+    spark.range(200_000).selectExpr("id", "id * 2.0 AS s", "id * 3.0 AS e").write.parquet(str(tmp_path / "bounds"))
+    bounds = spark.read.parquet(str(tmp_path / "bounds"))
+    samples = spark.range(2_000_000).where("id % 9000 = 0").selectExpr("IF(id < 1900000, id, NULL) AS id", "id * 2.2D AS t")
+    trimmed = signals.trim_to_session(samples, bounds, ["id"], "t", "s", "e")
+    assert "BroadcastHashJoin" not in plan_of(trimmed)  # one copy would fit, the 16 that there are do not
+    assert sorted(r.id for r in trimmed.collect()) == [i for i in range(0, 200_000, 9000) if 2 * i - 5 <= i * 2.2 <= 3 * i + 5]

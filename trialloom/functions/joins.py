@@ -11,9 +11,12 @@ def skew_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inn
     ``how`` is inner or left. ``small`` is repeated ``salts`` times, ``big`` travels once. A key
     with a third of the rows is so cut into ``salts`` reduce partitions, and AQE splits those again
     by size where they exceed the advisory partition size. The salt is the number of the input
-    partition a row comes from, so no column is read only to be hashed.
+    partition a row comes from, so no column is read only to be hashed. The copies come from a cross join:
+    Spark's estimate of ``small`` counts them, and it is broadcast only if all of them fit (an explode
+    is taken to leave the size as it is, and the driver would collect ``salts`` times what it expects).
     """
-    spread = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    numbers = small.sparkSession.range(salts).select(F.col("id").cast("int").alias("__salt"))
+    spread = small.crossJoin(F.broadcast(numbers))
     salted = big.withColumn("__salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
     return salted.join(spread, [*keys, "__salt"], how).drop("__salt")
 
