@@ -2,7 +2,7 @@
 
 1. Document frequencies of the benchmark's words over all documents give their idf weights.
 2. A randomised SVD of TF-IDF passages gives every word a latent vector. Passages are the benchmark
-   items and the windows of a bounded sample of documents; each power step is one distributed sum of
+   items and the windows of all documents; each power step is one distributed sum of
    (passage' * (passage * test matrix)), whose size depends on the hashed vocabulary only.
 3. Candidates are windows by their latent cosine with an item. Windows are as long as the item's match may be, a
    fourth of that apart, and a window's vector is the difference of two running sums. The bound is
@@ -31,13 +31,13 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructField, StructType
 
 from trialloom.llm import shingles as S
-from trialloom.llm.base import query, stored, table
+from trialloom.llm.base import query, table
 from trialloom.session import checkpoint_dir
 
 RANK = 64                # latent dimensions
 OVERSAMPLE = 16
 BUCKETS = 4096           # hashed words that the SVD sees
-SAMPLE_DOCS = 2000       # about so many documents take part in the fit of the SVD
+DOC_WINDOWS = 20         # the windows of all documents weigh as much in the SVD as so many a document against the items
 WINDOW = 24              # words of a document's passages in the fit of the SVD
 RARE_SHARE = 8           # candidates: an item's n rarest words count, n / RARE_SHARE more than a match can lack
 LITERAL = 0.8            # share of the item's words in the common subsequence: a match as it is
@@ -158,31 +158,33 @@ def document_frequencies(docs: DataFrame, text: str, vocabulary: Vocabulary) ->
     return total, df
 
 
-def _sample_passages(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, float]]:
-    """(words, weight) of the passages of (text, weight) rows: items whole, documents in windows."""
-    weights = batch.column(1).to_numpy()
-    for first, hashes, counts in _words(batch.column(0)):
-        at = 0
-        for i, m in enumerate(counts.tolist()):
-            weight = float(weights[first + i])
-            for a in range(0, m, max(1, m) if weight == 1.0 else WINDOW):
-                yield hashes[at + a: at + min(a + (m if weight == 1.0 else WINDOW), m)], weight
-            at += m
-
-
 def bucket_of(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> _u(40)).astype(np.int64) % BUCKETS
 
 
-def _tfidf(passage: np.ndarray, weight_of) -> tuple[np.ndarray, np.ndarray]:
-    buckets, first, n = np.unique(bucket_of(passage), return_index=True, return_counts=True)
-    w = weight_of(passage[first]) * n
-    norm = np.sqrt((w * w).sum())
-    return buckets, (w / norm if norm else w)
+def _passages(batch: pa.RecordBatch, weight_of) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """TF-IDF rows of the passages of (text, weight, whole) rows: items whole, documents in windows.
+
+    Buckets and values of all passages on end, where each passage starts, and the passages' weights.
+    """
+    weights, whole = batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
+    for first, hashes, counts in _words(batch.column(0)):
+        if not len(hashes):
+            continue
+        row = np.repeat(np.arange(len(counts)), counts)
+        place = np.arange(len(hashes)) - np.repeat(np.cumsum(counts) - counts, counts)
+        opens = (place == 0) | ((place % WINDOW == 0) & ~whole[first + row])
+        passage = np.cumsum(opens) - 1
+        keys, at, n = np.unique(passage * BUCKETS + bucket_of(hashes), return_index=True, return_counts=True)
+        passage, buckets = keys // BUCKETS, keys % BUCKETS
+        values = weight_of(hashes[at]) * n
+        norm = np.sqrt(np.bincount(passage, values * values))
+        values = values / np.where(norm > 0, norm, 1.0)[passage]
+        yield buckets, values, np.searchsorted(passage, np.arange(len(norm))), weights[first + row[opens]]
 
 
 def latent_basis(passages: DataFrame, vocabulary: Vocabulary, idf: np.ndarray, seed: int = 11, power: int = 2) -> np.ndarray:
-    """(BUCKETS, RANK) right singular vectors of the TF-IDF matrix of ``passages`` (text, weight), largest first.
+    """(BUCKETS, RANK) right singular vectors of the TF-IDF matrix of ``passages`` (text, weight, whole), largest first.
 
     Randomised: an orthonormal basis is drawn and multiplied ``power`` times by the Gram matrix of the
     passages, then once more for the small eigenproblem. Every product is summed by Spark.
@@ -203,9 +205,12 @@ def latent_basis(passages: DataFrame, vocabulary: Vocabulary, idf: np.ndarray, s
                 return np.where(at >= 0, weights[at], other) if len(weights) else np.full(len(h), other)
 
             for batch in batches:
-                for passage, weight in _sample_passages(batch):
-                    b, w = _tfidf(passage, weight_of)
-                    total[b] += np.outer(w, weight * (w @ held.value[b]))
+                for buckets, values, starts, weight in _passages(batch, weight_of):
+                    seen = np.add.reduceat(values[:, None] * held.value[buckets], starts, axis=0) * weight[:, None]
+                    back = values[:, None] * np.repeat(seen, np.diff(starts, append=len(values)), axis=0)
+                    order = np.argsort(buckets, kind="stable")
+                    used, heads = np.unique(buckets[order], return_index=True)
+                    total[used] += np.add.reduceat(back[order], heads, axis=0)
             used = np.flatnonzero(total.any(axis=1))
             yield pa.RecordBatch.from_arrays([pa.array(used), *(pa.array(total[used, j]) for j in range(width))], names=["bucket", *(f"c{j}" for j in range(width))])
 
@@ -423,11 +428,10 @@ def fit(docs: DataFrame, benchmark: DataFrame, id_col: str, text: str, item_text
         spared = benchmark.select(F.col(item_text).alias("text")).mapInArrow(rarest, "word long").distinct().collect()
         common[[r.word for r in spared]] = False
     idf[common] = 0.0
-    items, every = benchmark.count(), max(1, total // SAMPLE_DOCS)
-    sample = docs.where(F.pmod(F.xxhash64(id_col), F.lit(every)) == 0).select(
-        F.col(text).alias("text"), F.lit(min(0.5, items / (SAMPLE_DOCS * 20))).alias("weight"))
-    passages = benchmark.select(F.col(item_text).alias("text"), F.lit(1.0).alias("weight")).unionByName(sample)
-    return Latent(vocabulary, df, idf, latent_basis(stored(passages, "svd-passages"), vocabulary, idf))
+    weight = min(0.5, benchmark.count() / (max(1, total) * DOC_WINDOWS))
+    every = docs.select(F.col(text).alias("text"), F.lit(weight).alias("weight"), F.lit(False).alias("whole"))
+    passages = benchmark.select(F.col(item_text).alias("text"), F.lit(1.0).alias("weight"), F.lit(True).alias("whole")).unionByName(every)
+    return Latent(vocabulary, df, idf, latent_basis(passages, vocabulary, idf))
 
 
 def _matchers(docs: DataFrame, benchmark: DataFrame, id_col: str, text: str, item_id: str, item_text: str) -> Iterator:
