@@ -42,3 +42,27 @@ def test_basis_equals_the_dense_decomposition(spark):
     assert rank < D.RANK
     top = vectors[:, -rank:]
     assert np.allclose(basis[:, :rank] @ basis[:, :rank].T, top @ top.T, atol=1e-6)
+
+
+def test_texts_are_read_once_for_the_basis(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(50).select(F.concat(F.lit("some text number "), F.col("id").cast("string")).alias("text"), F.lit(1.0).alias("weight"), F.lit(False).alias("whole"))
+    D.latent_basis(rows.mapInArrow(counted, rows.schema), D.Vocabulary(np.zeros(0, np.uint64)), np.zeros(0))
+    assert read.value == 50
+
+
+def test_sums_of_sparse_rows(monkeypatch):
+    monkeypatch.setattr(D, "SUM_ENTRIES", 4)
+    rng = np.random.default_rng(5)
+    sizes = np.array([1, 9, 3, 4, 2, 1, 1, 17, 3, 5, 1])
+    values, rows, matrix = rng.standard_normal(sizes.sum()), rng.integers(0, 6, sizes.sum()), rng.standard_normal((6, 5))
+    ends = np.cumsum(sizes)
+    dense = np.array([values[e - n:e] @ matrix[rows[e - n:e]] for n, e in zip(sizes, ends)])
+    assert np.allclose(D.segment_sums(values, rows.astype(np.uint16), sizes.astype(np.int32), matrix), dense)
+    assert D.segment_sums(np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64), matrix).shape == (0, 5)

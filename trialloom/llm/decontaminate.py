@@ -2,8 +2,9 @@
 
 1. Document frequencies of the benchmark's words over all documents give their idf weights.
 2. A randomised SVD of TF-IDF passages gives every word a latent vector. Passages are the benchmark
-   items and the windows of all documents; each power step is one distributed sum of
-   (passage' * (passage * test matrix)), whose size depends on the hashed vocabulary only.
+   items and the windows of all documents, cut and weighed once and written out as sparse rows; each power step
+   is one distributed sum of (passage' * (passage * test matrix)) over them, whose size depends on the hashed
+   vocabulary only.
 3. Candidates are windows by their latent cosine with an item. Windows are as long as the item's match may be, a
    fourth of that apart, and a window's vector is the difference of two running sums. The bound is
    each item's own: SLACK times the cosine of a window that holds as many of the item's words as a paraphrase
@@ -31,7 +32,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructField, StructType
 
 from trialloom.llm import shingles as S
-from trialloom.llm.base import query, table
+from trialloom.llm.base import query, stored, table
 from trialloom.session import checkpoint_dir
 
 RANK = 64                # latent dimensions
@@ -49,6 +50,8 @@ KEPT_WORDS = 8           # ... but the rarest words of an item always do
 SLACK = 0.7              # of the cosine bound: room for matches whose words weigh less than the item's average
 WIDTH_RATIO = 1.25       # items whose windows differ by less share the windows of the longest
 SPAN_BYTES = 400_000
+SUM_ENTRIES = 1500       # of sparse rows that are multiplied together
+SUM_BUCKETS = 64         # whose sums travel as one row
 
 _u = np.uint64
 
@@ -76,7 +79,8 @@ class Vocabulary:
                 self.table[b] = i
             else:
                 self.clash.setdefault(b, []).append(i)
-        self.crowded = np.array(sorted(self.clash), dtype=np.int64)
+        self.crowded = np.zeros(len(self.table), dtype=bool)
+        self.crowded[list(self.clash)] = True
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Index of each word, -1 for words of no item."""
@@ -85,8 +89,8 @@ class Vocabulary:
         low = (h & _u((1 << self.bits) - 1)).astype(np.int64)
         at = self.table[low]
         out = np.where((at >= 0) & (self.hashes[at] == h), at, -1)
-        if len(self.crowded):
-            open_ = np.flatnonzero((out < 0) & np.isin(low, self.crowded))
+        if self.clash:
+            open_ = np.flatnonzero((out < 0) & self.crowded[low])
             if len(open_):
                 pos = np.searchsorted(self.hashes, h[open_])
                 pos[pos == len(self.hashes)] = 0
@@ -183,6 +187,46 @@ def _passages(batch: pa.RecordBatch, weight_of) -> Iterator[tuple[np.ndarray, np
         yield buckets, values, np.searchsorted(passage, np.arange(len(norm))), weights[first + row[opens]]
 
 
+def sparse_rows(passages: DataFrame, vocabulary: Vocabulary, idf: np.ndarray) -> DataFrame:
+    """The TF-IDF rows of ``passages`` as arrays in bytes, a row per span of text; words without weight are left out."""
+    other = float(idf.max()) if len(idf) else 1.0  # words of no item are rare for this purpose
+    shared = passages.sparkSession.sparkContext.broadcast((vocabulary, idf))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, weights = shared.value
+
+        def weight_of(h):
+            at = words.find(h)
+            return np.where(at >= 0, weights[at], other) if len(weights) else np.full(len(h), other)
+
+        for batch in batches:
+            for buckets, values, starts, weight in _passages(batch, weight_of):
+                kept = values != 0
+                held = np.add.reduceat(kept, starts, dtype=np.int64)
+                some = held > 0
+                arrays = buckets[kept].astype(np.uint16), values[kept], held[some].astype(np.int32), weight[some]
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in arrays], names=["buckets", "held", "sizes", "weights"])
+
+    return passages.mapInArrow(run, "buckets binary, held binary, sizes binary, weights binary")
+
+
+def segment_sums(values: np.ndarray, rows: np.ndarray, sizes: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """For consecutive segments of ``sizes`` entries, the sum of values * matrix[rows].
+
+    Segments of equal size are multiplied together, about SUM_ENTRIES entries at a time.
+    """
+    order = np.argsort(sizes, kind="stable")
+    starts, sizes = (np.cumsum(sizes) - sizes)[order], sizes[order]
+    out = np.zeros((len(sizes), matrix.shape[1]))
+    for n, first, many in zip(*(x.tolist() for x in np.unique(sizes, return_index=True, return_counts=True))):
+        step = max(1, SUM_ENTRIES // max(1, n))
+        for a in range(first, first + many, step):
+            b = min(first + many, a + step)
+            at = starts[a:b, None] + np.arange(n)
+            out[order[a:b]] = np.matmul(values[at][:, None, :], matrix[rows[at]])[:, 0]
+    return out
+
+
 def latent_basis(passages: DataFrame, vocabulary: Vocabulary, idf: np.ndarray, seed: int = 11, power: int = 2) -> np.ndarray:
     """(BUCKETS, RANK) right singular vectors of the TF-IDF matrix of ``passages`` (text, weight, whole), largest first.
 
@@ -190,35 +234,41 @@ def latent_basis(passages: DataFrame, vocabulary: Vocabulary, idf: np.ndarray, s
     passages, then once more for the small eigenproblem. Every product is summed by Spark.
     """
     sc = passages.sparkSession.sparkContext
-    other = float(idf.max()) if len(idf) else 1.0  # words of no item are rare for this purpose
-    shared = sc.broadcast((vocabulary, idf))
+    matrix = stored(sparse_rows(passages, vocabulary, idf), "passages")
 
     def product(q: np.ndarray) -> np.ndarray:
         width, held = q.shape[1], sc.broadcast(q)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            words, weights = shared.value
             total = np.zeros((BUCKETS, width))
+            for batch in batches:
+                for row in zip(*(c.to_pylist() for c in batch.columns)):
+                    buckets, values, sizes, weight = map(np.frombuffer, row, (np.uint16, np.float64, np.int32, np.float64))
+                    if not len(buckets):
+                        continue
+                    seen = segment_sums(values, buckets, sizes, held.value) * weight[:, None]
+                    order = np.argsort(buckets, kind="stable")
+                    passage = np.repeat(np.arange(len(sizes)), sizes)[order]
+                    used, times = np.unique(buckets, return_counts=True)
+                    total[used] += segment_sums(values[order], passage, times, seen)
+            yield from blocks((b, total[b:b + SUM_BUCKETS]) for b in range(0, BUCKETS, SUM_BUCKETS) if total[b:b + SUM_BUCKETS].any())
 
-            def weight_of(h):
-                at = words.find(h)
-                return np.where(at >= 0, weights[at], other) if len(weights) else np.full(len(h), other)
+        def blocks(sums) -> Iterator[pa.RecordBatch]:
+            for b, block in sums:
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([block.tobytes()], pa.binary())], names=["bucket", "sums"])
 
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[int, np.ndarray] = {}
             for batch in batches:
-                for buckets, values, starts, weight in _passages(batch, weight_of):
-                    seen = np.add.reduceat(values[:, None] * held.value[buckets], starts, axis=0) * weight[:, None]
-                    back = values[:, None] * np.repeat(seen, np.diff(starts, append=len(values)), axis=0)
-                    order = np.argsort(buckets, kind="stable")
-                    used, heads = np.unique(buckets[order], return_index=True)
-                    total[used] += np.add.reduceat(back[order], heads, axis=0)
-            used = np.flatnonzero(total.any(axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(used), *(pa.array(total[used, j]) for j in range(width))], names=["bucket", *(f"c{j}" for j in range(width))])
+                for b, block in zip(*(c.to_pylist() for c in batch.columns)):
+                    sums[b] = sums.get(b, 0.0) + np.frombuffer(block)
+            yield from blocks(sums.items())
 
-        schema = "bucket long, " + ", ".join(f"c{j} double" for j in range(width))
-        summed = passages.mapInArrow(run, schema).groupBy("bucket").agg(*(F.sum(f"c{j}").alias(f"c{j}") for j in range(width)))
+        schema = "bucket long, sums binary"
+        summed = matrix.mapInArrow(run, schema).repartition("bucket").mapInArrow(add, schema)
         out = np.zeros((BUCKETS, width))
-        for r in summed.collect():  # at most BUCKETS rows
-            out[r[0]] = r[1:]
+        for r in summed.collect():  # at most BUCKETS / SUM_BUCKETS rows
+            out[r[0]:r[0] + SUM_BUCKETS] = np.frombuffer(r[1]).reshape(-1, width)
         held.unpersist()
         return out
 
@@ -254,13 +304,15 @@ class Matcher:
         # a match holds at least need of an item's n words, so at least k of the n - need + k rarest, for any k
         self.need = np.array([next(m for m in range(n + 1) if m / n >= PARAPHRASE) for n in self.sizes.tolist()], dtype=np.int64)
         self.least = np.maximum(1, self.sizes // RARE_SHARE)
-        index = [items.vocabulary.find(w) for w in items.words]
+        index = self.index = [items.vocabulary.find(w) for w in items.words]
         rare = [i[np.argsort(df[i], kind="stable")[: n - m + k]] for i, n, m, k in zip(index, self.sizes.tolist(), self.need.tolist(), self.least.tolist())]
         flat = np.concatenate([np.zeros(0, np.int64), *rare]).astype(np.int64)
         pairs, self.times = np.unique(flat * max(1, len(rare)) + np.repeat(np.arange(len(rare)), [len(i) for i in rare]), return_counts=True)
         self.holders = pairs % max(1, len(rare))
         used, self.starts, self.held_by = np.unique(pairs // max(1, len(rare)), return_index=True, return_counts=True)
-        self.vocabulary = Vocabulary(items.vocabulary.hashes[used])
+        self.rare_of = np.full(len(items.vocabulary.hashes) + 1, -1)  # the last one stands for words of no item
+        self.rare_of[used] = np.arange(len(used))
+        self.mark = np.zeros(len(items.vocabulary.hashes) + 1, dtype=bool)
         self.latent = (basis[bucket_of(items.vocabulary.hashes)] * idf[:, None]).astype(np.float32)
         self.square = idf**2
         self.other = float(self.square[idf > 0].mean()) if (idf > 0).any() else 1.0  # words of no item
@@ -293,15 +345,14 @@ class Matcher:
             self.classes.append(order[at:end])
             at = end
 
-    def retrieve(self, hashes: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(rows, items, first words) of the windows whose latent cosine reaches an item's bound."""
-        ids = self.items.vocabulary.find(hashes)
+    def retrieve(self, ids: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(rows, items, first words) of the windows whose latent cosine reaches an item's bound; ``ids`` as the vocabulary finds them."""
         weight = np.where(ids >= 0, self.square[ids], self.other) if len(self.square) else np.full(len(ids), self.other)
         mass = np.concatenate([[0.0], np.cumsum(weight)])
         hit = np.flatnonzero((ids >= 0) & (weight > 0))
         sums = np.zeros((len(hit) + 1, self.latent.shape[1]), dtype=np.float32)
         np.cumsum(self.latent[ids[hit]], axis=0, out=sums[1:])
-        before = np.searchsorted(hit, np.arange(len(hashes) + 1))
+        before = np.searchsorted(hit, np.arange(len(ids) + 1))
         sizes = ends - begins
         for group in self.classes:
             step, length = int(self.steps[group].min()), int((self.widths[group] + self.steps[group]).max())
@@ -310,19 +361,21 @@ class Matcher:
             first = begins[row] + (np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)) * step
             last = np.minimum(first + length, ends[row])
             a, b = before[first], before[last]
+            # a window longer than the item's own counts by its own share of the weight; what is left of the bound is the window's
+            bound = self.bound[group] * np.sqrt(np.minimum(1.0, (self.widths[group] + self.steps[group]) / length))
+            scaled = (self.vectors[group] / bound[:, None]).astype(np.float32).T
             some = np.flatnonzero(b - a >= self.hits[group].min())
             for part in np.array_split(some, max(1, len(some) * len(group) // 2_000_000 + 1)):
                 lo, hi = first[part], last[part]
-                dot = (sums[b[part]] - sums[a[part]]) @ self.vectors[group].T
-                # a window longer than the item's own counts by its own share of the weight
-                size = np.sqrt((mass[hi] - mass[lo])[:, None] * np.minimum(1.0, (self.widths[group] + self.steps[group])[None, :] / length))
-                w, k = np.nonzero(dot >= self.bound[group][None, :] * size)
+                dot = (sums[b[part]] - sums[a[part]]) @ scaled
+                near = np.flatnonzero(dot >= np.sqrt(mass[hi] - mass[lo]).astype(np.float32)[:, None])
+                w, k = near // len(group), near % len(group)
                 yield row[part[w]], group[k], lo[w] - begins[row[part[w]]]
 
-    def rare(self, hashes: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def rare(self, ids: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(rows, items, cells) that hold enough of an item's rarest words; a cell is as long as a window."""
         none = np.zeros(0, np.int64)
-        ids = self.vocabulary.find(hashes)
+        ids = self.rare_of[ids]
         held = np.flatnonzero(ids >= 0)
         if not len(held):
             return none, none, none
@@ -347,15 +400,16 @@ class Matcher:
             return
         ends = np.cumsum(counts)
         begins = ends - counts
+        ids = self.items.vocabulary.find(hashes)
         places: dict[tuple[int, int, int], bool] = {}
-        for rows, items, first in self.retrieve(hashes, begins, ends):
+        for rows, items, first in self.retrieve(ids, begins, ends):
             # a match starts within a step of the window's first word; check() looks at two cells
             for start in (first, first + self.steps[items]):
                 places.update(dict.fromkeys(zip(rows.tolist(), items.tolist(), (start // self.widths[items]).tolist()), True))
-        for place in zip(*(x.tolist() for x in self.rare(hashes, begins, ends))):
+        for place in zip(*(x.tolist() for x in self.rare(ids, begins, ends))):
             places.setdefault(place, False)
         for (r, j, c), latent in places.items():
-            found = self.check(j, hashes[begins[r]:ends[r]], c)
+            found = self.check(j, hashes[begins[r]:ends[r]], ids[begins[r]:ends[r]], c)
             if found:
                 share, told, first = found
                 yield r, j, self.cosine(j, hashes[begins[r] + first: min(ends[r], begins[r] + first + self.widths[j])]), share, told, first, latent
@@ -367,7 +421,7 @@ class Matcher:
         length = np.sqrt(np.where(at >= 0, self.square[at], self.other).sum())
         return float(mine @ its / max(its @ its, 1e-12) * np.sqrt(self.square[item].sum()) / max(length, 1e-12))
 
-    def check(self, j: int, text: np.ndarray, cell: int) -> tuple[float, float, int] | None:
+    def check(self, j: int, text: np.ndarray, ids: np.ndarray, cell: int) -> tuple[float, float, int] | None:
         """(share of the item, share of its answer, first word) of the best matching window that starts in a cell or the one before.
 
         Windows start at every fourth of the item's length, counted from the start of the text, so what
@@ -376,10 +430,13 @@ class Matcher:
         item, width, step = self.lists[j], int(self.widths[j]), int(self.steps[j])
         lo = -(-max(0, (cell - 1) * width) // step) * step
         last = max(0, len(text) - width + step)
-        words = text[lo:(cell + 2) * width].tolist()
-        near = set(words)
-        if sum(map(near.__contains__, item)) < self.need[j]:  # bounds the subsequence
+        near = ids[lo:(cell + 2) * width]
+        self.mark[near] = True
+        held = np.count_nonzero(self.mark[self.index[j]])  # bounds the subsequence
+        self.mark[near] = False
+        if held < self.need[j]:
             return None
+        words = text[lo:(cell + 2) * width].tolist()
         best = None
         for at in range(lo, min((cell + 1) * width, last + 1), step):
             window = words[at - lo:at - lo + width]

@@ -15,6 +15,7 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_VALUE = _LOWER.astype(np.uint64) + _u(1)  # of a byte in a word's hash
 #: Bytes between words when punctuation does not count: all of ASCII but letters and digits.
 PUNCTUATION = np.zeros(256, dtype=bool)
 PUNCTUATION[:128] = [not chr(c).isalnum() for c in range(128)]
@@ -58,7 +59,8 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, space: n
     place = np.arange(len(where), dtype=np.int32) - np.repeat(begin, lengths)
     longest = int(lengths.max())
     factors = constants(0, 1 << (longest - 1).bit_length() if longest > 1 else 1)
-    values = (_LOWER[data[where]].astype(np.uint64) + _u(1)) * factors[place]
+    values = _VALUE[data[where]]
+    values *= factors[place]
     hashes = mix(np.add.reduceat(values, begin) + lengths.astype(np.uint64) * _u(0xD6E8FEB86659FD93))
     bounds = np.searchsorted(where[begin], np.append(starts - base, ends[-1] - base))
     return hashes, np.diff(bounds)
