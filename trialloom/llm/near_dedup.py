@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from trialloom.llm import shingles as S
 from trialloom.llm.base import query, stored, table
@@ -80,13 +80,15 @@ def set_table(docs: DataFrame, wanted: DataFrame, k: int, id_col: str, text: str
                     pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary()),
                 ], names=["rep", "digest", "shingles"])
 
+    wanted = stored(wanted, "wanted")
     ids = wanted.select(F.col("rep").alias("__rep"))
     ids = F.broadcast(ids) if wanted.count() <= BROADCAST_IDS else ids.hint("shuffle_hash")
     rows = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text).alias("text"))
     rows = rows.join(ids, F.col("rep") == F.col("__rep"), "left_semi")
     made = stored(rows.mapInArrow(run, "rep long, digest binary, shingles binary"), "sets")
     # an id that comes twice with different texts has two sets; the digest tells the representative's
-    return made.join(wanted.select("rep", "digest"), ["rep", "digest"], "left_semi").dropDuplicates(["rep"]).select("rep", "shingles")
+    named = wanted.select(F.col("rep").alias("__rep"), F.col("digest").alias("__digest"))
+    return made.join(named, (F.col("rep") == F.col("__rep")) & (F.col("digest") == F.col("__digest")), "left_semi").dropDuplicates(["rep"]).select("rep", "shingles")
 
 
 def grow_trees(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -106,7 +108,7 @@ def grow_trees(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
             F.count(F.lit(1)).alias("size"), F.sum("n_shingles").alias("weight"), F.max("parent").alias("parent"),
             F.max("above").alias("above")).where("size > 1"), f"tree-sizes-{step}")
         if large is not None:
-            close = sizes.where(F.col("size") > STUCK * F.col("above")).select("tree", "parent").distinct()
+            close = sizes.where(F.col("size") > STUCK * F.col("above")).select("tree", "parent")
             stuck.append(large.join(close.withColumnRenamed("parent", "node"), ["tree", "node"], "left_semi").select("tree", "node", "rep"))
             sizes = sizes.join(close, ["tree", "parent"], "left_anti")
         fits = (F.col("size") <= NODE_DOCS) & (F.col("weight") <= NODE_SHINGLES)
@@ -250,9 +252,9 @@ def compare(nodes: DataFrame, labels: DataFrame | None, sets: DataFrame, percent
         if out:
             yield _rows(out, ["a", "b"], [pa.int64(), pa.int64()])
 
-    rows = _labelled(nodes, labels)
-    mixed = rows.groupBy("node").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("node")
-    rows = rows.join(mixed, "node", "left_semi").join(sets, "rep")
+    peers = W.partitionBy("node")  # bounded, as nodes are
+    rows = _labelled(nodes, labels).withColumns({"__lo": F.min("label").over(peers), "__hi": F.max("label").over(peers)})
+    rows = rows.where("__lo < __hi").drop("__lo", "__hi").join(sets, "rep")
     return _by_node(rows).mapInArrow(run, "a long, b long")
 
 
@@ -313,7 +315,11 @@ def block_nodes(nodes: DataFrame, labels: DataFrame | None, reps: DataFrame) ->
 
     Rows grow with the members times the number of blocks that the rows outside fill, not with the square of the members.
     """
-    rows, _ = outside_main(nodes, labels, reps)
+    return _blocked(outside_main(nodes, labels, reps)[0])
+
+
+def _blocked(rows: DataFrame) -> DataFrame:
+    """``block_nodes`` of the rows that ``outside_main`` gives."""
     rows = rows.withColumn("block", F.pmod(F.xxhash64("rep", "node"), F.col("blocks")).cast("int"))
     # rows outside the main label fill blocks of their own, however they are scattered
     pair = F.xxhash64("node", "open", "to").alias("node")
@@ -394,17 +400,16 @@ def rare_nodes(rows: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, Da
 
 def stuck_links(stuck: DataFrame, links: list[DataFrame], labels: DataFrame, sets: DataFrame, reps: DataFrame, percent: int) -> list[DataFrame]:
     """What is still to link in large groups (node, rep) of which ``links`` gave ``labels``; all similar rows are compared."""
-    _, info = outside_main(stuck, labels, reps)
-    rows = F.col("n") * F.col("opened") + F.col("m") * F.col("blocks")
-    info = stored(info.select("node", "n", (rows <= BLOCK_ROWS * F.col("n")).alias("few")), "stuck-kinds")
-    kinds = {r["few"]: r["n"] for r in info.groupBy("few").agg(F.sum("n").alias("n")).collect()}
-    near = lambda few: stuck.join(info.where("few" if few else "NOT few"), "node", "left_semi")
+    rows, _ = outside_main(stuck, labels, reps)
+    cost = F.col("n") * F.col("opened") + F.col("m") * F.col("blocks")
+    rows = stored(rows.withColumn("few", cost <= BLOCK_ROWS * F.col("n")), "stuck-kinds")
+    kinds = {r["few"]: r["n"] for r in rows.groupBy("few").agg(F.count(F.lit(1)).alias("n")).collect()}
     out = []
     if True in kinds:
-        out.append(stored(compare(block_nodes(near(True), labels, reps), labels, sets, percent), "block-links"))
+        out.append(stored(compare(_blocked(rows.where("few")), labels, sets, percent), "block-links"))
     if False not in kinds:
         return out
-    members = sets.join(near(False).select("rep").distinct(), "rep", "left_semi")
+    members = sets.join(rows.where("NOT few").select("rep"), "rep", "left_semi")
     rows = stored(rare_rows(stored(members, "rare-sets"), percent), "rare-rows")
     small, large = rare_nodes(rows, labels)
     alive = stored(screen(small, reps, percent), "rare-screened")
@@ -435,9 +440,10 @@ def classes(docs: DataFrame, k: int = 4, percent: int = 80, id_col: str = "doc_i
         F.min("id").alias("rep"), F.max("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("roots").alias("roots")), "representatives")
     small, stuck = grow_trees(reps)
     alive = stored(screen(small, reps, percent), "screened")
-    none = stuck.isEmpty()
-    stuck = stored(stuck.select("node", "rep") if none else merged_nodes(stuck), "stuck")
-    wanted = alive.select("rep").union(stuck.select("rep")).distinct().join(reps.select("rep", "digest"), "rep")
+    stuck = stored(stuck.select("node", "rep"), "stuck-rows")
+    none = stuck.count() == 0
+    stuck = stuck if none else stored(merged_nodes(stuck), "stuck")
+    wanted = reps.select("rep", "digest").join(alive.select("rep").union(stuck.select("rep")), "rep", "left_semi")
     sets = stored(set_table(docs, wanted, k, id_col, text), "full-sets")
     links = []
     if not none:
@@ -448,15 +454,16 @@ def classes(docs: DataFrame, k: int = 4, percent: int = 80, id_col: str = "doc_i
     if not none:
         more += stuck_links(stuck, links, labels, sets, reps, percent)
     # rows of one id with different sets are the same document
-    twice = stored(with_set.join(reps.select("digest", "rep"), "digest").groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"))
-                   .where("a < b").select("a", "b"), "same-ids")
-    if not twice.isEmpty():
+    twice = stored(with_set.groupBy("id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo < hi").select("id"), "same-ids")
+    if twice.count():
+        twice = with_set.join(twice, "id", "left_semi").join(reps.select("digest", "rep"), "digest").groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"))
+        twice = stored(twice.where("a < b").select("a", "b"), "same-id-links")
         named = twice.select(F.explode(F.array("a", "b")).alias("rep"), F.xxhash64("a", "b").alias("node"))
         more.append(_labelled(named, labels).groupBy("node").agg(F.max("label").alias("a"), F.min("label").alias("b")).select("a", "b"))
-    found = _labelled(reps.select(F.lit(0).alias("node"), "rep"), labels).join(reps.select("rep", "digest"), "rep").select("digest", "label")
+    found = reps.select("rep", "digest").join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("label"))
     # later links are between labels, so only they are joined to larger ones
     late = stored(_union(more), "later-links")
-    if not late.isEmpty():
+    if late.count():
         last = components(late).select(F.col("id").alias("label"), F.col("label").alias("last"))
         found = found.join(last, "label", "left").select("digest", F.coalesce("last", "label").alias("label"))
     out = rows.select("id", "n_shingles", "digest").join(found, "digest", "left")
