@@ -11,9 +11,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from trialloom.functions.columns import all_of
 from trialloom.functions.smallmath import SubjectSums, f_sf, normal_sf, ols, unpack
 from trialloom.operators.derive import drop_one_family, term_name
-from trialloom.session import spread
+from trialloom.session import cut_lineage, spread
 from trialloom.operators.linear import _key_types, _per_group, family_columns_of, model_gram
 
+FOLD_NUMBERS = 50_000  # folds times subject sizes that are searched together
 FOLD_SCHEMA = "fold string, predictor string, n_trials long, r2 double, delta_r2 double"
 
 
@@ -108,37 +109,43 @@ def _leave_one_out(grams, sums, keys, subject, terms, predictors, min_subjects,
         out = []
         if len(group) and len(folds):
             total = _sums(group.iloc[0], size)
-            for name, flat in zip(folds[subject], folds["gram"]):
-                g = unpack(flat, size)
-                r2 = score(total.without(g), g, cols)
-                if r2 is not None:
-                    out += [(*key[:-1], str(name), p, int(g[0, 0]), float(r2["full"]), float(r2["full"] - r2[p])) for p in predictors]
+            step = max(1, FOLD_NUMBERS // len(total.sizes))
+            for at in range(0, len(folds), step):
+                part = folds.iloc[at:at + step]
+                held = np.array([unpack(flat, size) for flat in part["gram"]])
+                for name, g, r2 in zip(part[subject], held, score(total, held, cols)):
+                    if r2 is not None:
+                        out += [(*key[:-1], str(name), p, int(g[0, 0]), float(r2["full"]), float(r2["full"] - r2[p])) for p in predictors]
         return pd.DataFrame(out, columns=[*keys, *names])
 
     folds = spread(left, *by).groupBy(*by).cogroup(spread(right, *by).groupBy(*by)).applyInPandas(solve, f"{_key_types(grams, keys)}, {FOLD_SCHEMA}")
+    folds = cut_lineage(folds)  # the folds and their means read it, and so may what follows
     overall = folds.groupBy(*keys, "predictor").agg(F.sum("n_trials").alias("n_trials"), F.avg("r2").alias("r2"), F.avg("delta_r2").alias("delta_r2"))
     return folds.unionByName(overall.withColumn("fold", F.lit("aggregate")))
 
 
 def crossval(grams: DataFrame, sums: DataFrame, keys: list[str], subject: str, terms, predictors: list[str], min_subjects: int = 3, min_test: int = 5) -> DataFrame:
     """Leave-one-subject-out R2 and drop-one loss; training sums are the total minus the subject's."""
-    def score(rest, g, cols):
-        if g[0, 0] < min_test or rest.subjects < 2:
-            return None
-        fits = {k: rest.fit(c, reml=False) for k, c in cols.items()}
-        if any(f is None for f in fits.values()):
-            return None
-        r2 = {k: f.held_out_r2(g) for k, f in fits.items()}
-        return None if any(v is None for v in r2.values()) else r2
+    def score(total, grams, cols):
+        out = [None] * len(grams)
+        able = np.flatnonzero(grams[:, 0, 0] >= min_test) if total.subjects - 1 >= 2 else []
+        if not len(able):
+            return out
+        fits = {k: total.fits_without(grams[able], c, reml=False) for k, c in cols.items()}
+        for i, at in enumerate(able):
+            if all(f[i] is not None for f in fits.values()):
+                r2 = {k: f[i].held_out_r2(grams[at]) for k, f in fits.items()}
+                out[at] = None if any(v is None for v in r2.values()) else r2
+        return out
 
     return _leave_one_out(grams, sums, keys, subject, terms, predictors, min_subjects, score)
 
 
 def jackknife(grams: DataFrame, sums: DataFrame, keys: list[str], subject: str, terms, predictors: list[str], min_subjects: int = 3) -> DataFrame:
     """In-sample marginal R2 and drop-one loss with one subject left out."""
-    def score(rest, g, cols):
-        fits = {k: rest.fit(c, reml=False) for k, c in cols.items()}
-        return None if any(f is None for f in fits.values()) else {k: f.variance_explained()[0] for k, f in fits.items()}
+    def score(total, grams, cols):
+        fits = {k: total.fits_without(grams, c, reml=False) for k, c in cols.items()}
+        return [None if any(f is None for f in of) else {k: f.variance_explained()[0] for k, f in zip(fits, of)} for of in zip(*fits.values())]
 
     return _leave_one_out(grams, sums, keys, subject, terms, predictors, min_subjects, score)
 
