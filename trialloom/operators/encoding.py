@@ -125,16 +125,14 @@ def design_gram(design: DataFrame, target: DataFrame, keys: list[str], bins: str
 
 
 def _fold_matrices(pdf: pd.DataFrame):
-    names = sorted(set(pdf["a"]) | set(pdf["b"]))
+    a, b = pdf["a"].tolist(), pdf["b"].tolist()
+    names = sorted({*a, *b})
     at = {n: i for i, n in enumerate(names)}
-    mats = []
-    for _, part in pdf.groupby("fold", sort=True):
-        g = np.zeros((len(names), len(names)))
-        i, j = part["a"].map(at).to_numpy(), part["b"].map(at).to_numpy()
-        g[i, j] = part["s"]
-        g[j, i] = part["s"]
-        mats.append(g)
-    return names, sum(mats), mats
+    i, j = [at[n] for n in a], [at[n] for n in b]
+    folds, fold = np.unique(pdf["fold"].to_numpy(), return_inverse=True)
+    mats = np.zeros((len(folds), len(names), len(names)))
+    mats[fold, i, j] = mats[fold, j, i] = pdf["s"].to_numpy()
+    return names, mats.sum(axis=0), list(mats)
 
 
 def fit_encoding(moments: DataFrame, keys: list[str], alphas: list[float]) -> DataFrame:
@@ -168,11 +166,11 @@ def encoding_block_loss(moments: DataFrame, keys: list[str], alphas: list[float]
 
         def r2(keep):
             idx = [0] + [i + 1 for i in keep] + [len(names) - 1]
-            z, zf = fit["z"][np.ix_(idx, idx)], [f[np.ix_(idx, idx)] for f in fit["folds"]]
+            z, zf = fit["z"][np.ix_(idx, idx)], fit["folds"][:, idx][:, :, idx]
             if not keep:
                 return 0.0
             if cross_validated:
-                return 1 - sum(fit["error"](f, *fit["solve"](z - f, fit["alpha"])) for f in zf) / fit["tss"]
+                return 1 - fit["error"](zf, *fit["solve"](z - zf, fit["alpha"])).sum() / fit["tss"]
             return 1 - fit["error"](z, *fit["solve"](z, fit["alpha"])) / fit["tss"]
 
         full = r2(list(range(len(blocks))))
