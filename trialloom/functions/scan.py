@@ -70,21 +70,27 @@ def ordered_scan(
     inside = W.partitionBy(*keys, CHUNK).orderBy(*order)
     upto = inside.rowsBetween(W.unboundedPreceding, 0)
     onward = inside.rowsBetween(0, W.unboundedFollowing)
-    rn = F.row_number().over(inside)
-    out = []
+    rn = F.col("__scan_rn")
+    within, out = [F.row_number().over(inside).alias("__scan_rn")], []
     if index:
         out.append((F.col("__scan_off") + rn - 1).alias(index))
     if total:
         out.append(F.col(total))
     for k, v in lag.items():
-        out.append(F.when(rn == 1, F.col(f"__lag_{k}")).otherwise(F.lag(v).over(inside)).alias(k))
+        within.append(F.lag(v).over(inside).alias(f"__in_lag_{k}"))
+        out.append(F.when(rn == 1, F.col(f"__lag_{k}")).otherwise(F.col(f"__in_lag_{k}")).alias(k))
     for k, v in lead.items():
-        out.append(F.when(rn == F.col("__scan_n"), F.col(f"__lead_{k}")).otherwise(F.lead(v).over(inside)).alias(k))
+        within.append(F.lead(v).over(inside).alias(f"__in_lead_{k}"))
+        out.append(F.when(rn == F.col("__scan_n"), F.col(f"__lead_{k}")).otherwise(F.col(f"__in_lead_{k}")).alias(k))
     for k, v in running.items():
-        out.append((F.coalesce(F.sum(v).over(upto), F.lit(0)) + F.col(f"__run_{k}")).alias(k))
+        within.append(F.coalesce(F.sum(v).over(upto), F.lit(0)).alias(f"__in_run_{k}"))
+        out.append((F.col(f"__in_run_{k}") + F.col(f"__run_{k}")).alias(k))
     for k, v in prev_valid.items():
-        out.append(F.coalesce(F.last(v, True).over(upto), F.col(f"__pv_{k}")).alias(k))
+        within.append(F.last(v, True).over(upto).alias(f"__in_pv_{k}"))
+        out.append(F.coalesce(f"__in_pv_{k}", f"__pv_{k}").alias(k))
     for k, v in next_valid.items():
-        out.append(F.coalesce(F.first(v, True).over(onward), F.col(f"__nv_{k}")).alias(k))
+        within.append(F.first(v, True).over(onward).alias(f"__in_nv_{k}"))
+        out.append(F.coalesce(f"__in_nv_{k}", f"__nv_{k}").alias(k))
     kept = [x for x in df.columns] + ([CHUNK] if keep_chunk else [])
-    return base.join(borders, [*keys, CHUNK]).select(*kept, *out)
+    # the windows first: their order is also that of the join, so rows are sorted once
+    return base.select("*", *within).join(borders, [*keys, CHUNK]).select(*kept, *out)
