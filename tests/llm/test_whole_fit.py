@@ -121,3 +121,20 @@ def test_windows_left_out_early_are_below_every_bound():
                 assert len(told) < hits or (abs(dot - size) > 1e-4).all()  # none is a matter of rounding
                 want |= {(r, int(group[k]), at - a) for k in np.flatnonzero(dot >= size)} if len(told) >= hits else set()
     assert got == want and any((r, j) == (0, 6) for r, j, _ in want)
+
+
+def test_rows_of_the_sparse_matrix_are_small(spark, monkeypatch):
+    """Readers take thousands of rows at once, so a row must not grow with the texts looked at together."""
+    made, stored = {}, D.stored
+
+    def kept(df, name):
+        made[name] = stored(df, name)
+        return made[name]
+
+    monkeypatch.setattr(D, "stored", kept)
+    texts = spark.range(400).select(F.expr("concat_ws(' ', transform(sequence(1, 300), i -> concat('w', (id * 7 + i * i) % 900)))").alias("text"), F.lit(1.0).alias("weight"), F.lit(False).alias("whole"))
+    vocabulary = D.benchmark_vocabulary(texts.limit(3), "text")
+    D.latent_basis(texts.coalesce(1), vocabulary, np.ones(len(vocabulary.hashes)))
+    rows = made["passages"].collect()
+    assert max(len(r.held) for r in rows) <= D.ROW_PASSAGES * D.WINDOW * 8
+    assert sum(len(r.sizes) for r in rows) == 4 * 400 * 13  # every window of every text, 13 a text

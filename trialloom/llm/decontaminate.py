@@ -53,6 +53,7 @@ SLACK = 0.7              # of the cosine bound: room for matches whose words wei
 WIDTH_RATIO = 1.25       # items whose windows differ by less share the windows of the longest
 SPAN_BYTES, SPAN_WORDS = 400_000, 65_536  # of texts, and of their codes, looked at together
 ROUNDING = 0.999         # of a bound that single precision may miss
+ROW_PASSAGES = 8         # in a row of the sparse matrix: readers take thousands of rows at once, whatever their size
 SUM_ENTRIES = 1500       # of sparse rows that are multiplied together
 SUM_BUCKETS = 64         # whose sums travel as one row
 CODES = "__words"        # column of the texts' words
@@ -136,6 +137,15 @@ def benchmark_vocabulary(benchmark: DataFrame, text: str) -> Vocabulary:
     return Vocabulary(np.sort(np.array([r.word for r in found], dtype=np.int64).view(np.uint64)))
 
 
+def _binary(data: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """The rows data[cuts[i]:cuts[i + 1]] as bytes."""
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * data.itemsize).astype(np.int32)), pa.py_buffer(data)])
+
+
+def _byte_offsets(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset: column.offset + len(column) + 1].astype(np.int64)
+
+
 def code_type(vocabulary: Vocabulary) -> type:
     """Of a word's code: its index in the vocabulary, or for words of no item the vocabulary's size plus their bucket."""
     return np.uint16 if len(vocabulary.hashes) + BUCKETS <= 1 << 16 else np.int32
@@ -152,8 +162,7 @@ def word_codes(rows: DataFrame, text: str, vocabulary: Vocabulary, carry: list[s
             for first, hashes, counts in _words(batch.column(0)):
                 at = known.find(hashes)
                 data = np.where(at >= 0, at, len(known.hashes) + bucket_of(hashes)).astype(kind)
-                ends = (np.cumsum(np.append(0, counts)) * data.itemsize).astype(np.int32)
-                words = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+                words = _binary(data, np.cumsum(np.append(0, counts)))
                 yield pa.RecordBatch.from_arrays([*(c.slice(first, len(counts)) for c in batch.columns[1:]), words], names=schema.names)
 
     return rows.select(F.col(text).alias("__text"), *carry).mapInArrow(run, schema)
@@ -161,7 +170,7 @@ def word_codes(rows: DataFrame, text: str, vocabulary: Vocabulary, carry: list[s
 
 def _codes(column: pa.Array, kind: type) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, codes, words per row) of consecutive row ranges of word_codes()."""
-    offsets = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset: column.offset + len(column) + 1].astype(np.int64)
+    offsets = _byte_offsets(column)
     data, size = column.buffers()[2], np.dtype(kind).itemsize
     for a, b in S.spans(offsets, SPAN_WORDS * size):
         n = offsets[b] - offsets[a]
@@ -225,7 +234,7 @@ def _passages(batch: pa.RecordBatch, kind: type, bucket: np.ndarray, weight: np.
 
 
 def sparse_rows(coded: DataFrame, vocabulary: Vocabulary, idf: np.ndarray) -> DataFrame:
-    """The TF-IDF rows of (CODES, weight, whole) as arrays in bytes, a row per span of text; words without weight are left out."""
+    """The TF-IDF rows of (CODES, weight, whole) as arrays in bytes, ROW_PASSAGES of them in a row; words without weight are left out."""
     other = float(idf.max()) if len(idf) else 1.0  # words of no item are rare for this purpose
     buckets_of, kind = np.concatenate([bucket_of(vocabulary.hashes), np.arange(BUCKETS)]), code_type(vocabulary)
     shared = coded.sparkSession.sparkContext.broadcast((buckets_of, np.concatenate([idf, np.full(BUCKETS, other)])))
@@ -236,8 +245,11 @@ def sparse_rows(coded: DataFrame, vocabulary: Vocabulary, idf: np.ndarray) -> Da
                 kept = values != 0
                 held = np.add.reduceat(kept, starts, dtype=np.int64)
                 some = held > 0
-                arrays = buckets[kept].astype(np.uint16), values[kept], held[some].astype(np.int32), weight[some]
-                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in arrays], names=["buckets", "held", "sizes", "weights"])
+                sizes = held[some].astype(np.int32)
+                cuts = np.append(np.arange(0, len(sizes), ROW_PASSAGES), len(sizes))
+                entries = np.append(0, np.cumsum(sizes, dtype=np.int64))[cuts]
+                arrays = (buckets[kept].astype(np.uint16), entries), (values[kept], entries), (sizes, cuts), (weight[some], cuts)
+                yield pa.RecordBatch.from_arrays([_binary(*x) for x in arrays], names=["buckets", "held", "sizes", "weights"])
 
     return coded.select(CODES, "weight", "whole").mapInArrow(run, "buckets binary, held binary, sizes binary, weights binary")
 
@@ -281,11 +293,14 @@ def latent_basis(passages: DataFrame, vocabulary: Vocabulary, idf: np.ndarray, s
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros((height, width))
+            kinds = np.uint16, np.float64, np.int32, np.float64
             for batch in batches:
-                for row in zip(*(c.to_pylist() for c in batch.columns)):
-                    buckets, values, sizes, weight = map(np.frombuffer, row, (np.uint16, np.float64, np.int32, np.float64))
-                    if not len(buckets):
+                ends = [_byte_offsets(c) for c in batch.columns]
+                for a, b in S.spans(ends[1], SPAN_WORDS * 8):  # rows on end, looked at together
+                    if ends[1][a] == ends[1][b]:
                         continue
+                    buckets, values, sizes, weight = (
+                        np.frombuffer(c.buffers()[2], np.uint8)[e[a]:e[b]].view(kind) for c, e, kind in zip(batch.columns, ends, kinds))
                     own = segment_sums(values, buckets, sizes, held.value)
                     seen = own * weight[:, None]
                     if small:
@@ -615,11 +630,11 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_col: str
 
         def run(batches: Iterator[pa.RecordBatch], matcher=matcher) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                keep = np.ones(batch.num_rows, dtype=bool)
                 for at, hashes, counts in _words(batch.column(rest.index(text))):
+                    keep = np.ones(len(counts), dtype=bool)
                     for r, *_ in matcher.value.search(matcher.value.items.vocabulary.find(hashes), counts):
-                        keep[at + r] = False
-                yield batch.filter(pa.array(keep))
+                        keep[r] = False
+                    yield batch.slice(at, len(counts)).filter(pa.array(keep))
 
         rows = rows.mapInArrow(run, docs.schema)
     return rows
