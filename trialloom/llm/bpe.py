@@ -22,6 +22,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType
 
@@ -222,10 +223,9 @@ def round_trip(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = worker_codec(held.value, pattern)
         for batch in batches:
-            texts = batch.column(0).to_pylist()
             kept = batch.columns[1:]
-            for a, b in _runs([len(t or "") for t in texts], BATCH_CHARS):
-                packed = [codec.encode(t or "") for t in texts[a:b]]
+            for a, b in _runs(pc.fill_null(pc.utf8_length(batch.column(0)), 0).to_pylist(), BATCH_CHARS):
+                packed = [codec.encode(t or "") for t in batch.column(0).slice(a, b - a).to_pylist()]
                 offsets = np.cumsum([0] + [len(x) // 4 for x in packed], dtype=np.int32)
                 flat = np.frombuffer(b"".join(packed), dtype="<i4")
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
