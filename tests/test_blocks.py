@@ -72,3 +72,25 @@ def test_copies_of_a_small_side_are_not_broadcast_unseen(spark, tmp_path):
     trimmed = signals.trim_to_session(samples, bounds, ["id"], "t", "s", "e")
     assert "BroadcastHashJoin" not in plan_of(trimmed)  # one copy would fit, the 16 that there are do not
     assert sorted(r.id for r in trimmed.collect()) == [i for i in range(0, 200_000, 9000) if 2 * i - 5 <= i * 2.2 <= 3 * i + 5]
+
+
+def test_vectors_are_written_compressed_and_products_with_ones_are_looked_up(spark, monkeypatch):
+    pdf = units_frame([40, 33, 55, 21], seed=4)
+    pdf["x"] = np.round(pdf["x"])  # few values, as a count or a flag has
+    made = {}
+
+    def kept(rows, keys, written=linear.written):
+        made["packed"] = written(rows, keys)
+        return made["packed"]
+
+    monkeypatch.setattr(linear, "written", kept)
+    pairs = linear.pair_regressions(spark.createDataFrame(pdf), ["g"], "u", "rk", "y", "x").toPandas()
+    packed = made["packed"].toPandas()
+    held = sum(len(b) for name in packed.columns if name[:2] in ("f_", "d_") for row in packed[name] for b in row)
+    assert held < len(pdf) * 3 * 8  # y, x and a column of ones; sums of squares are formed in the tasks
+    assert len(pairs) == 12
+    for r in pairs.itertuples():
+        y, x = pdf[pdf.u == r.u].y.to_numpy(), pdf[pdf.u == r.donor].x.to_numpy()
+        n = min(len(y), len(x))
+        c = np.corrcoef(y[:n], x[:n])[0, 1]
+        assert r.n == n and np.isclose(r.r2, c * c) and np.isclose(r.slope, c * y[:n].std() / x[:n].std())
