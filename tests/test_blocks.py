@@ -94,3 +94,28 @@ def test_vectors_are_written_compressed_and_products_with_ones_are_looked_up(spa
         n = min(len(y), len(x))
         c = np.corrcoef(y[:n], x[:n])[0, 1]
         assert r.n == n and np.isclose(r.r2, c * c) and np.isclose(r.slope, c * y[:n].std() / x[:n].std())
+
+
+def test_draws_meet_donors_without_pairs_as_rows(spark, monkeypatch):
+    lengths = [30, 22, 41, 30, 25, 37, 28, 33] * 5
+    pdf = pd.concat([units_frame(lengths), units_frame([9], "alone")])
+    pdf.loc[(pdf.g == "alone"), "u"] = 99
+    pdf.loc[(pdf.u == 3) & (pdf.rk % 4 == 0), "x"] = np.nan
+    pdf.loc[pdf.u == 5, "x"] = 2.5  # a donor without spread
+    rows = spark.createDataFrame(pdf).withColumn("x", F.when(~F.isnan("x"), F.col("x") + 1e6)).withColumn("y", F.col("y") - 1e6)
+    monkeypatch.setattr(linear, "_pair_rows", None)  # the join of pairs with their vectors
+    p = linear.session_permutation_test(rows, ["g"], "u", "rk", "y", "x", "r2", 9, seed=3).toPandas().set_index("u")
+    assert p.loc[99, "error"] == "no donor sessions" and len(p) == 41
+    units = list(range(40))
+    for u in units:
+        got = p.loc[u, "null_r2"]
+        assert len(got) == 9
+        for it, r2 in enumerate(got, 1):
+            import hashlib
+
+            h = int(hashlib.md5(f"{u}|{it}|3".encode()).hexdigest()[:15], 16) % 39
+            d = h + (h >= u)
+            y, x = pdf[(pdf.g == "g") & (pdf.u == u)].y.to_numpy(), pdf[(pdf.g == "g") & (pdf.u == d)].x.to_numpy()
+            n = min(len(y), len(x))
+            y, x = y[:n][~np.isnan(x[:n])], x[:n][~np.isnan(x[:n])]
+            assert r2 is None or np.isnan(r2) if d == 5 else np.isclose(r2, np.corrcoef(y, x)[0, 1] ** 2, rtol=1e-5)

@@ -511,13 +511,47 @@ def tail_pvalue(null: str, observed: str, alternative: str) -> Column:
     return {"greater": up, "less": down, "two-sided": F.least(F.lit(1.0), 2 * F.least(up, down))}[alternative]
 
 
+def drawn_place(unit: Column, it: Column, seed: int, own: Column, n: Column) -> Column:
+    """The place of the donor that ``unit`` (at place ``own`` of ``n``) draws in iteration ``it``: any but its own."""
+    hashed = F.conv(F.substring(F.md5(F.concat_ws("|", unit, it, F.lit(seed)).cast("binary")), 1, 15), 16, 10).cast("long") % (n - 1)
+    return hashed + F.when(hashed >= own, 1).otherwise(0)
+
+
+def _touched(others: Column, n_iter: int) -> Column:
+    """How many of ``others`` donors ``n_iter`` draws touch on average."""
+    return others * (1 - F.pow(1 - 1 / others, F.lit(n_iter)))
+
+
+def _drawn_regressions(rows: DataFrame, drawn: DataFrame, group: list[str], unit: str, rank: str, y: Column, x: Column) -> DataFrame:
+    """(group, unit, fits): slope and R2 of y ~ x for the donors drawn, as regr_slope and regr_r2 over the pair's rows give them.
+
+    Both are columns of doubles whose values are not far from 0, beside their spread.
+    """
+    f = {"has": y.isNotNull(), "y": F.coalesce(y, F.lit(0.0)), "yy": ("y", "y")}
+    d = {"has": x.isNotNull(), "x": F.coalesce(x, F.lit(0.0)), "xx": ("x", "x")}
+
+    def line(m: dict[str, np.ndarray]) -> tuple[dict, bool]:
+        n = m["n"]
+        sxx, syy, sxy = m["sxx"] - m["sx"] ** 2 / n, m["syy"] - m["sy"] ** 2 / n, m["sxy"] - m["sx"] * m["sy"] / n
+        # equal values leave rounding errors of their size
+        flat_x, flat_y = sxx <= ROUNDED * m["sxx"], syy <= ROUNDED * m["syy"]
+        none = (n < 1) | flat_x
+        r2 = np.where(flat_y, 1.0, sxy * sxy / np.where(none | flat_y, 1.0, sxx * syy))
+        columns = {"slope": sxy / np.where(none, 1.0, sxx), "r2": r2}
+        return {k: pa.array(v, mask=none, from_pandas=False) for k, v in columns.items()}, True
+
+    return paired_moments(rows, group, unit, rank, f, d, {"n": ("has", "has"), "sx": ("has", "x"), "sxx": ("has", "xx"), "sy": ("y", "has"), "syy": ("yy", "has"), "sxy": ("y", "x")},
+                          finish=("slope double, r2 double", line), drawn=drawn)
+
+
 def session_permutation_test(rows: DataFrame, group: list[str], unit: str, rank: str, fixed: str, swapped: str, statistic: str,
                              n_iter: int, seed: int = 0, alternative: str = "two-sided", model: str = "linear") -> DataFrame:
     """Session-swap test of a regression of ``fixed`` on ``swapped`` with ``n_iter`` random donors per unit.
 
-    Donors are drawn first (a hash of unit, draw and seed over the other units of the group), each
-    distinct pair is fitted once, so at most n_iter pairs per unit are formed; where the draws touch
-    most pairs anyway, all of them come from block products. ``model`` is linear (slope, r2) or logistic
+    Donors are drawn first (a hash of unit, draw and seed over the other units of the group), so at most n_iter pairs
+    per unit are formed. Linear models are fitted where blocks of units meet: the draws of a unit travel
+    there as an array, its vectors once; where the draws touch most pairs anyway, all of them come from block products.
+    For logistic models each distinct pair is fitted once, from its rows. ``model`` is linear (slope, r2) or logistic
     (intercept, slope, pseudo_r2; ``fixed`` is 0 or 1). An empty ``group`` pools all units.
     Output per unit: p_value, error, and observed_<k> and null_<k> (in draw order) of every quantity.
     """
@@ -528,26 +562,28 @@ def session_permutation_test(rows: DataFrame, group: list[str], unit: str, rank:
     pool = list(group) or ["__pool"]
     rows = rows if group else rows.withColumn("__pool", F.lit(0))
     w = W.partitionBy(*pool)
-    units = cut_lineage(rows.select(*pool, unit).distinct().select(
-        *pool, unit, (F.row_number().over(w.orderBy(unit)) - 1).alias("__i"), F.count(F.lit(1)).over(w).alias("__n")))
-    hashed = F.conv(F.substring(F.md5(F.concat_ws("|", unit, "it", F.lit(seed)).cast("binary")), 1, 15), 16, 10).cast("long") % (F.col("__n") - 1)
-    draws = units.where("__n > 1").withColumn("it", F.explode(F.sequence(F.lit(1), F.lit(n_iter)))).withColumn("__h", hashed)
-    draws = draws.withColumn("__j", F.col("__h") + F.when(F.col("__h") >= F.col("__i"), 1).otherwise(0))
-    draws = cut_lineage(draws.join(units.select(*pool, F.col("__i").alias("__j"), F.col(unit).alias("donor")), [*pool, "__j"]).select(*pool, unit, "it", "donor"))
-    pairs = cut_lineage(draws.select(*pool, unit, "donor").distinct())
-    every = units.where("__n > 1").agg(F.sum(F.col("__n") - 1)).first()[0] or 0
-    if model == "logistic":
-        fits = logistic_fit(_pair_rows(rows, pairs, pool, unit, rank, fixed, swapped), [*pool, unit, "donor"], "x", "y")
-        seen = logistic_fit(rows, [*pool, unit], swapped, fixed)
+    own = [F.regr_slope(fixed, swapped).alias("slope"), F.regr_r2(fixed, swapped).alias("r2")] if model == "linear" else []
+    units = rows.groupBy(*pool, unit).agg(F.min(F.col(fixed).cast("double")).alias("__y"), F.min(F.col(swapped).cast("double")).alias("__x"), *own)
+    units = cut_lineage(units.select("*", (F.row_number().over(w.orderBy(unit)) - 1).alias("__i"), F.count(F.lit(1)).over(w).alias("__n")))
+    every, hit, *near = units.where("__n > 1").select(F.sum(F.col("__n") - 1), F.sum(_touched(F.col("__n") - 1, n_iter)), F.avg("__y"), F.avg("__x")).first()
+    seen = units.select(*pool, unit, *stats) if own else logistic_fit(rows, [*pool, unit], swapped, fixed)
+    if model == "linear" and 2 * (hit or 0) <= (every or 0):
+        place = lambda it: drawn_place(F.col(unit), it, seed, F.col("__i"), F.col("__n"))
+        drawn = units.where("__n > 1").select(*pool, unit, F.col("__i").alias("place"), F.transform(F.sequence(F.lit(1), F.lit(n_iter)), lambda it: place(it).cast("int")).alias("draws"))
+        y, x = (F.col(c).cast("double") - F.lit(at if at is not None and np.isfinite(at) else 0.0) for c, at in zip((fixed, swapped), near))
+        fits = _drawn_regressions(rows, drawn, pool, unit, rank, y, x)
+        null = fits.groupBy(*pool, unit).agg(F.sort_array(F.flatten(F.collect_list("fits"))).alias("__d"))
     else:
-        seen = rows.groupBy(*pool, unit).agg(F.regr_slope(fixed, swapped).alias("slope"), F.regr_r2(fixed, swapped).alias("r2"))
-        if 2 * pairs.count() > every:
-            fits = pair_regressions(rows, pool, unit, rank, fixed, swapped)
+        draws = units.where("__n > 1").withColumn("it", F.explode(F.sequence(F.lit(1), F.lit(n_iter))))
+        draws = draws.withColumn("__j", drawn_place(F.col(unit), F.col("it"), seed, F.col("__i"), F.col("__n")))
+        draws = cut_lineage(draws.join(units.select(*pool, F.col("__i").alias("__j"), F.col(unit).alias("donor")), [*pool, "__j"]).select(*pool, unit, "it", "donor"))
+        if model == "logistic":
+            pairs = cut_lineage(draws.select(*pool, unit, "donor").distinct())
+            fits = logistic_fit(_pair_rows(rows, pairs, pool, unit, rank, fixed, swapped), [*pool, unit, "donor"], "x", "y")
         else:
-            fits = _pair_rows(rows, pairs, pool, unit, rank, fixed, swapped).groupBy(*pool, unit, "donor").agg(
-                F.regr_slope("y", "x").alias("slope"), F.regr_r2("y", "x").alias("r2"))
-    drawn = draws.join(fits.select(*pool, unit, "donor", *stats), [*pool, unit, "donor"], "left")
-    null = drawn.groupBy(*pool, unit).agg(F.sort_array(F.collect_list(F.struct("it", *stats))).alias("__d"))
+            fits = pair_regressions(rows, pool, unit, rank, fixed, swapped)
+        drawn = draws.join(fits.select(*pool, unit, "donor", *stats), [*pool, unit, "donor"], "left")
+        null = drawn.groupBy(*pool, unit).agg(F.sort_array(F.collect_list(F.struct("it", *stats))).alias("__d"))
     null = null.select(*pool, unit, *[F.col(f"__d.{k}").alias(f"null_{k}") for k in stats])
     seen = units.select(*pool, unit).join(seen, [*pool, unit], "left").select(*pool, unit, *[F.col(k).alias(f"observed_{k}") for k in stats])
     out = seen.join(null, [*pool, unit], "left")
