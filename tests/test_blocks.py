@@ -119,3 +119,16 @@ def test_draws_meet_donors_without_pairs_as_rows(spark, monkeypatch):
             n = min(len(y), len(x))
             y, x = y[:n][~np.isnan(x[:n])], x[:n][~np.isnan(x[:n])]
             assert r2 is None or np.isnan(r2) if d == 5 else np.isclose(r2, np.corrcoef(y, x)[0, 1] ** 2, rtol=1e-5)
+
+
+def test_lost_r2_by_elimination_equals_solved_fits():
+    from trialloom.functions.smallmath import ols_r2, r2_lost
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(50, 30, 4))  # 50 designs of a, b, c and y
+    x[:5, :, 2] = 2 * x[:5, :, 1] - 1  # c follows from b
+    x = np.concatenate([np.ones((50, 30, 1)), x], axis=2)
+    m = np.einsum("kni,knj->kij", x, x)
+    got = r2_lost([[m[:, i, j] for j in range(5)] for i in range(5)], [0, 1], [2, 3])
+    want = ols_r2(m, [0, 1, 2, 3]) - ols_r2(m, [0, 1])
+    assert np.isnan(got[:5]).all() and np.isnan(want[:5]).all() and np.allclose(got[5:], want[5:], atol=1e-12)
